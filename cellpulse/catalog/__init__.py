@@ -1,6 +1,6 @@
 """Every operator as a query over the test tables."""
 
-from cellpulse.catalog import panel  # noqa: F401
+from cellpulse.catalog import distribution, panel  # noqa: F401
 from cellpulse.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
