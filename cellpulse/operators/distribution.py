@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.operators.quality import PanelError
-from cellpulse.plans.ordering import exact_quantile, globally_ordered
+from cellpulse.plans.ordering import globally_ordered, quantile_of_ordered
 from cellpulse.settings import PanelSpec
 
 
-def moments(totals: DataFrame, value: str = "total") -> DataFrame:
-    """Order-free statistics in one pass: size, sum, spread, population skewness and excess kurtosis."""
-    return totals.agg(
+def _moments(value: str) -> list[Column]:
+    """Order-free statistics: size, sum, spread, population skewness and excess kurtosis."""
+    return [
         F.count(value).alias("n_cells"),
         F.sum(value).alias("total"),
         F.avg(value).alias("mean"),
@@ -29,17 +29,21 @@ def moments(totals: DataFrame, value: str = "total") -> DataFrame:
         F.skewness(value).alias("skewness"),
         F.kurtosis(value).alias("kurtosis"),
         F.count_if(F.col(value) == 0).alias("n_zero_cells"),
-    )
+    ]
+
+
+def _lognormal(value: str) -> list[Column]:
+    logs = F.when(F.col(value) > 0, F.log(F.nullif(value, F.lit(0.0))))
+    return [
+        F.count(logs).alias("n_positive"),
+        F.avg(logs).alias("lognormal_mu"),
+        F.stddev_pop(logs).alias("lognormal_sigma"),
+    ]
 
 
 def lognormal_fit(totals: DataFrame, value: str = "total") -> DataFrame:
     """Maximum-likelihood lognormal with location 0, over the positive cells."""
-    logs = totals.filter(F.col(value) > 0).select(F.log(value).alias("x"))
-    return logs.agg(
-        F.count("x").alias("n_positive"),
-        F.avg("x").alias("lognormal_mu"),
-        F.stddev_pop("x").alias("lognormal_sigma"),
-    )
+    return totals.filter(F.col(value) > 0).agg(*_lognormal(value))
 
 
 def lognormal_ks(totals: DataFrame, value: str = "total") -> DataFrame:
@@ -57,14 +61,15 @@ def check_non_negative(totals: DataFrame, value: str = "total") -> None:
         raise PanelError(f"{value} holds negative values; concentration is undefined")
 
 
+def _gini(value: str) -> Column:
+    weight = 2 * F.col("position") - F.col("n_rows") - 1
+    share = X.safe_div(F.sum(weight * F.col(value)), F.max("n_rows") * F.max("grand_total"))
+    return F.coalesce(share, F.lit(0.0)).alias("gini")
+
+
 def gini(ordered: DataFrame, value: str = "total") -> DataFrame:
     """Gini coefficient from an ascending ``globally_ordered`` table; 0 when everything is zero."""
-    weight = 2 * F.col("position") - F.col("n_rows") - 1
-    return ordered.agg(
-        F.coalesce(
-            X.safe_div(F.sum(weight * F.col(value)), F.max("n_rows") * F.max("grand_total")), F.lit(0.0)
-        ).alias("gini")
-    )
+    return ordered.agg(_gini(value))
 
 
 def _top_count(fraction: float) -> Column:
@@ -72,41 +77,43 @@ def _top_count(fraction: float) -> Column:
     return F.greatest(F.lit(1).cast("long"), F.bround(F.col("n_rows") * F.lit(fraction), 0).cast("long"))
 
 
-def top_share(ordered: DataFrame, fractions: Sequence[float] = (0.01, 0.05, 0.10), value: str = "total") -> DataFrame:
-    """Share of the total held by the largest cells; any ascending ordered table."""
+def _share(inside: Column, value: str) -> Column:
+    return X.safe_div(F.sum(F.when(inside, F.col(value)).otherwise(0.0)), F.max("grand_total"))
+
+
+def _top_shares(fractions: Sequence[float], value: str) -> list[Column]:
     from_top = F.col("n_rows") - F.col("position") + 1
-    return ordered.agg(
-        *[
-            X.safe_div(
-                F.sum(F.when(from_top <= _top_count(f), F.col(value)).otherwise(0.0)), F.max("grand_total")
-            ).alias(f"top_{round(f * 100)}pct_share")
-            for f in fractions
-        ]
-    )
+    return [_share(from_top <= _top_count(f), value).alias(f"top_{round(f * 100)}pct_share") for f in fractions]
+
+
+TOP_FRACTIONS = (0.01, 0.05, 0.10)
+
+
+def top_share(ordered: DataFrame, fractions: Sequence[float] = TOP_FRACTIONS, value: str = "total") -> DataFrame:
+    """Share of the total held by the largest cells of an ascending ordered table."""
+    return ordered.agg(*_top_shares(fractions, value))
+
+
+def _bottom_half(value: str) -> Column:
+    return _share(F.col("position") <= F.floor(F.col("n_rows") / 2), value).alias("bottom_50pct_share")
 
 
 def bottom_half_share(ordered: DataFrame, value: str = "total") -> DataFrame:
     """Share held by the lowest ``n // 2`` cells."""
-    low = F.col("position") <= F.floor(F.col("n_rows") / 2)
-    return ordered.agg(
-        X.safe_div(F.sum(F.when(low, F.col(value)).otherwise(0.0)), F.max("grand_total")).alias("bottom_50pct_share")
-    )
+    return ordered.agg(_bottom_half(value))
 
 
 def distribution_stats(totals: DataFrame, value: str = "total", unique: str = "area") -> DataFrame:
-    """The whole distribution record in one row."""
+    """The whole distribution record in one row, from one aggregate over the ordered table."""
     ordered = globally_ordered(totals.select(unique, value), value, unique)
-    parts = [
-        moments(ordered, value),
-        exact_quantile(ordered, value, 0.5).withColumnRenamed("quantile", "median"),
-        gini(ordered, value),
-        top_share(ordered, value=value),
-        bottom_half_share(ordered, value),
-        lognormal_fit(ordered, value),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(F.broadcast(part))  # one row each
+    out = ordered.agg(
+        *_moments(value),
+        *_lognormal(value),
+        quantile_of_ordered(value, 0.5).alias("median"),
+        _gini(value),
+        *_top_shares(TOP_FRACTIONS, value),
+        _bottom_half(value),
+    )
     return out.withColumn("max_over_median", X.safe_div(F.col("maximum"), F.col("median")))
 
 
@@ -137,8 +144,8 @@ def ccdf(totals: DataFrame, value: str = "total", unique: str = "area") -> DataF
 
 def ranked_cells(totals: DataFrame, value: str = "total", unique: str = "area") -> DataFrame:
     """Position of every cell by descending total; equal totals are ordered by id."""
-    ordered = globally_ordered(totals.select(unique, value), value, unique, descending=True)
-    return ordered.select(unique, value, F.col("position"), F.col("rank"))
+    ordered = globally_ordered(totals.select(unique, value), value, unique, descending=True, ties=True)
+    return ordered.select(unique, value, "position", "rank")
 
 
 def top_areas(totals: DataFrame, k: int = 3, value: str = "total", unique: str = "area") -> DataFrame:

@@ -43,9 +43,11 @@ def _key(value: Column, unique: Column) -> Column:
     return F.struct(value.cast("double").alias("v"), unique.cast("long").alias("u"))
 
 
-def globally_ordered(df: DataFrame, value: str, unique: str, *, descending: bool = False, stored: bool = False) -> DataFrame:
-    """Add ``position`` (1..n), ``rank`` (ties share the first position), ``running`` (sum of ``value``
-    up to and including the row) and ``n_rows`` / ``grand_total``.
+def globally_ordered(
+    df: DataFrame, value: str, unique: str, *, descending: bool = False, stored: bool = False, ties: bool = False
+) -> DataFrame:
+    """Add ``position`` (1..n), ``running`` (sum of ``value`` up to and including the row) and
+    ``n_rows`` / ``grand_total``; with ``ties`` also ``rank``, where equal values share a position.
 
     Rows with a NULL value have no place in the order and are left out. ``stored`` says that ``df``
     is already a written table; otherwise it is written once, because three passes read it.
@@ -79,12 +81,14 @@ def globally_ordered(df: DataFrame, value: str, unique: str, *, descending: bool
     inside = Window.partitionBy("_bucket").orderBy("_v", unique)
     placed = (
         rows.withColumn("_rn", F.row_number().over(inside))
-        .withColumn("_rk", F.rank().over(Window.partitionBy("_bucket").orderBy("_v")))
         .withColumn("_run", F.sum(value).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
         .join(F.broadcast(offsets), "_bucket")
         .withColumn("position", F.col("_rn") + F.col("_base"))
         .withColumn("running", (F.col("_run") + F.col("_base_sum")).cast("double"))
     )
+    if not ties:
+        return placed.select(*df.columns, "position", "running", "n_rows", "grand_total")
+    placed = placed.withColumn("_rk", F.rank().over(Window.partitionBy("_bucket").orderBy("_v")))
     # A tie that began in an earlier bucket: find where its value first appears. Only the value that
     # opens a bucket can be such a tie, so this table too has at most one row per bucket.
     opened = stats.select(F.col("_bucket").alias("_at"), F.col("_first").alias("_value"))
@@ -111,17 +115,13 @@ def globally_ordered(df: DataFrame, value: str, unique: str, *, descending: bool
             F.when(F.col("_v") == F.col("_first"), F.col("_start")).otherwise(F.col("_rk") + F.col("_base")),
         )
     )
-    return ranked.select(*df.columns, "position", "rank", "running", "n_rows", "grand_total")
+    return ranked.select(*df.columns, "position", "running", "n_rows", "grand_total", "rank")
 
 
-def exact_quantile(ordered: DataFrame, value: str, q: float) -> DataFrame:
-    """One-row frame with the linearly interpolated quantile of an ascending ``globally_ordered``."""
+
+def quantile_of_ordered(value: str, q: float) -> Column:
+    """Aggregate: the linearly interpolated quantile of an ascending ``globally_ordered`` table."""
     at = (F.col("n_rows") - 1) * F.lit(float(q)) + 1
-    low, high = F.floor(at), F.ceil(at)
-    near = ordered.filter((F.col("position") == low) | (F.col("position") == high))
-    return near.agg(
-        (
-            F.min(value)
-            + (F.max(value) - F.min(value)) * F.max(at - low)
-        ).alias("quantile")
-    )
+    low = F.max(F.when(F.col("position") == F.floor(at), F.col(value)))
+    high = F.max(F.when(F.col("position") == F.ceil(at), F.col(value)))
+    return low + (high - low) * F.max(at - F.floor(at))
