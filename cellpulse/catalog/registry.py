@@ -78,3 +78,30 @@ SUPPLIERS = (
     "panel AS (SELECT a.area, s.t_index, coalesce(o.value, 0.0) AS value "
     "FROM areas a CROSS JOIN steps s LEFT JOIN obs o ON o.area = a.area AND o.t_index = s.t_index)"
 )
+
+LABELLED = f"{PANEL}, lab AS (SELECT *, {SPLIT} AS split FROM panel)"
+PREDICTIONS = (
+    f"{LABELLED}, pp AS (SELECT area, t_index, local, split, value AS observed, lag(value, 1) OVER w AS persistence, lag(value, 24) OVER w AS seasonal "
+    "FROM lab WINDOW w AS (PARTITION BY area ORDER BY t_index)), "
+    "pred AS (SELECT area, split, t_index, local, observed, persistence, m.model, m.seed, "
+    "CASE m.model WHEN 'persistence' THEN persistence WHEN 'seasonal_naive' THEN seasonal ELSE persistence * m.w + seasonal * (1 - m.w) END AS predicted "
+    "FROM pp CROSS JOIN (SELECT model, seed, w::DOUBLE AS w FROM (VALUES ('persistence', 0, NULL), ('seasonal_naive', 0, NULL), ('blend', 0, 0.4), ('blend', 1, 0.5), ('blend', 2, 0.6)) v(model, seed, w)) m "
+    "WHERE split IN ('test', 'stress'))"
+)
+SCALE = (
+    "sc AS (SELECT area, avg(abs(d)) AS mase_scale FROM (SELECT area, value - lag(value, 24) OVER (PARTITION BY area ORDER BY t_index) AS d FROM lab WHERE split = 'train') GROUP BY area)"
+)
+# the two baselines and the seed-averaged blend: one forecast per (area, split, model)
+FORECASTS = (
+    f"{PREDICTIONS}, fc AS (SELECT area, split, t_index, local, observed, persistence, model, predicted FROM pred WHERE model <> 'blend' UNION ALL "
+    "SELECT area, split, t_index, local, max(observed), max(persistence), 'blend_ensemble', avg(predicted) FROM pred WHERE model = 'blend' GROUP BY 1, 2, 3, 4)"
+)
+SCORES_SQL = (
+    "count(*) AS n, avg(abs(predicted - observed)) AS mae, sqrt(avg(power(predicted - observed, 2))) AS rmse, avg(predicted - observed) AS bias, "
+    "100 * avg(abs(predicted - observed) / nullif(abs(observed), 0)) AS mape, "
+    "100 * avg(abs(predicted - observed) / nullif(abs(observed), 0)) FILTER (WHERE abs(observed) >= 1) AS mape_excl_small, "
+    "count(*) FILTER (WHERE abs(observed) < 1) AS n_small, "
+    "100 * avg(coalesce(2 * abs(predicted - observed) / nullif(abs(observed) + abs(predicted), 0), 0)) AS smape, "
+    "100 * sum(abs(predicted - observed)) / nullif(sum(abs(observed)), 0) AS wape, "
+    "1 - sum(power(predicted - observed, 2)) / nullif(var_pop(observed) * count(*), 0) AS r2"
+)

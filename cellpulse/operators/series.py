@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.operators.quality import PanelError
-from cellpulse.plans.series import chunk_size, over_series, with_halo
+from cellpulse.plans.series import chunk_size, over_series, spread, with_halo
 from cellpulse.settings import PanelSpec
 
 
@@ -78,7 +78,7 @@ def lag_products(
         return out
 
     schema = ", ".join([*key_types, "lag int", "product double"])
-    partial = parts.groupBy(*keys, "_chunk").applyInPandas(_drop_last(products), schema)
+    partial = spread(parts, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(_drop_last(products), schema)
     return partial.groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
 
 
@@ -195,7 +195,8 @@ def periodogram(panel: DataFrame, spec: PanelSpec, value: str = "value", chunk:
         return pd.DataFrame({"area": group[0], "k": k.astype("int32"), "re": f.real, "im": f.imag})
 
     sums = (
-        parts.groupBy("area", "_chunk")
+        spread(parts, "area", "_chunk")
+        .groupBy("area", "_chunk")
         .applyInPandas(transform, "area long, k int, re double, im double")
         .groupBy("area", "k")
         .agg(F.sum("re").alias("re"), F.sum("im").alias("im"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.operators.series import difference
-from cellpulse.plans.series import over_series, running_total, with_halo
+from cellpulse.plans.series import over_series, running_total, spread, with_halo
 from cellpulse.settings import PanelSpec
 
 # KPSS level test, Kwiatkowski et al. (1992), table 1.
@@ -125,7 +125,7 @@ def adf(panel: DataFrame, spec: PanelSpec, value: str = "value", max_lag: int |
             }
         )
 
-    partial = parts.groupBy("area", "_chunk").applyInPandas(
+    partial = spread(parts, "area", "_chunk").groupBy("area", "_chunk").applyInPandas(
         gram, "area long, gram array<double>, rows long, heads array<double>"
     )
 

@@ -84,3 +84,12 @@ def ordinal(df: DataFrame, t: str, name: str, keys: Sequence[str] = (), chunk: i
         .withColumn(name, F.col("_rn") + F.col("_base"))
         .drop("_chunk", "_rn", "_base")
     )
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for a grouped pandas step, keeping the full number of partitions.
+
+    Adaptive execution merges partitions by bytes; these steps cost time per group, not per byte. The
+    grouping that follows reuses this partitioning, so there is still a single shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
