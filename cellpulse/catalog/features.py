@@ -115,7 +115,7 @@ def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sliding_windows",
     f"WITH {PANEL}, w AS (SELECT area, t_index, value, array_agg(value) {W} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS win FROM panel) "
-    "SELECT area, t_index, round(value, 4) AS target, len(win) AS n, round(win[1], 4) AS oldest, round(win[24], 4) AS newest, round(list_sum(list_transform(win, (x, i) -> x * i)), 3) AS weighted FROM w WHERE len(win) = 24",
+    "SELECT area, t_index, round(value, 4) AS target, len(win) AS n, round(win[1], 4) AS oldest, round(win[24], 4) AS newest, round(list_sum(list_transform(win, lambda x, i: x * i)), 3) AS weighted FROM w WHERE len(win) = 24",
 )
 def sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
     panel, _ = T.events_panel(spark, sf)

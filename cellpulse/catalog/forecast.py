@@ -126,13 +126,16 @@ def baseline_mase(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ensemble_cost",
-    f"WITH {SCORES} SELECT area, split, 'blend_ensemble' AS model, round(sum(mae / 10), 6) AS train_wall_s, round(sum(rmse / 100), 6) AS inference_wall_s, CAST(sum(seed + 2) AS BIGINT) AS n_params, count(*) AS n_members FROM s WHERE model = 'blend' GROUP BY 1, 2",
+    f"WITH {SCORES} SELECT area, split, 'blend_ensemble' AS model, round(sum(mae / 10) + 1e-9, 6) AS train_wall_s, round(sum(rmse / 100) + 1e-9, 6) AS inference_wall_s, CAST(sum(seed + 2) AS BIGINT) AS n_params, count(*) AS n_members FROM s WHERE model = 'blend' GROUP BY 1, 2",
 )
 def ensemble_cost(spark: SparkSession, sf: str) -> DataFrame:
     rows = scores(spark, sf).filter("model = 'blend'").select(
         "area", "split", "model", (F.col("mae") / 10).alias("train_wall_s"), (F.col("rmse") / 100).alias("inference_wall_s"), (F.col("seed") + 2).cast("long").alias("n_params")
     )
-    return rounded(FC.ensemble_cost(rows), 6)
+    costs = FC.ensemble_cost(rows)
+    for name in ("train_wall_s", "inference_wall_s"):
+        costs = costs.withColumn(name, F.col(name) + F.lit(1e-9))
+    return rounded(costs, 6)
 
 
 @query(

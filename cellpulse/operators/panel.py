@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,7 @@ def country_rollup(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     return (
         raw.select(
             F.col("square_id").cast("long").alias("area"),
-            F.floor((F.col("time_ms") / 1000 - F.lit(_origin_seconds(spec))) / spec.step_seconds).cast("long").alias("t_index"),
+            step_of_ms("time_ms", spec).alias("t_index"),
             F.coalesce(F.col("internet"), F.lit(spec.null_fill)).alias("internet"),
         )
         .groupBy("area", "t_index")
@@ -33,10 +35,10 @@ def country_rollup(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def _origin_seconds(spec: PanelSpec) -> int:
-    import datetime as dt
-
-    return int(spec.t0.replace(tzinfo=dt.timezone.utc).timestamp())
+def step_of_ms(time_ms: str, spec: PanelSpec):
+    """Grid index of an epoch-millisecond column."""
+    origin = int(spec.t0.replace(tzinfo=dt.timezone.utc).timestamp())
+    return F.floor((F.col(time_ms) / 1000 - F.lit(origin)) / spec.step_seconds).cast("long")
 
 
 def rows_per_cell(rollup: DataFrame) -> DataFrame:
@@ -173,8 +175,6 @@ def cell_totals(panel: DataFrame) -> DataFrame:
 
 def date_window(panel: DataFrame, start, days: int) -> DataFrame:
     """Rows of ``days`` local days from ``start``."""
-    import datetime as dt
-
     end = start + dt.timedelta(days=days - 1)
     return panel.filter(X.local_day("local").between(F.lit(start), F.lit(end)))
 
