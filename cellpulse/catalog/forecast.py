@@ -23,23 +23,21 @@ def predictions(spark: SparkSession, sf: str):
 
 
 def forecasts(spark: SparkSession, sf: str):
-    """One forecast per (area, split, model): both baselines and the seed-averaged blend."""
-    preds, rows, spec = predictions(spark, sf)
-    names = ["area", "split", "model", "t_index", "local", "observed", "persistence", "predicted"]
-    single = preds.filter("model <> 'blend'").select(*names)
-    return single.unionByName(FC.seed_ensemble(preds, "blend").select(*names)), rows, spec
+    """One forecast per (area, split, model): both baselines and their even blend."""
+    rows, spec = labelled(spark, sf)
+    return FC.baseline_predictions(rows, spec, blends=(0.5,)), rows, spec
 
 
 @query("forecast_persistence", f"WITH {LABELLED}, f AS (SELECT area, t_index, split, value AS observed, lag(value, 1) OVER (PARTITION BY area ORDER BY t_index) AS predicted FROM lab) SELECT area, t_index, round(observed, 4) AS observed, round(predicted, 4) AS predicted FROM f WHERE split = 'test'")
 def forecast_persistence(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = labelled(spark, sf)
-    return rounded(FC.walk_forward(FC.persistence(), rows, "test").select("area", "t_index", "observed", "predicted"), 4)
+    rows, spec = labelled(spark, sf)
+    return rounded(FC.walk_forward(FC.persistence(), rows, spec, "test").select("area", "t_index", "observed", "predicted"), 4)
 
 
 @query("forecast_seasonal_naive", f"WITH {LABELLED}, f AS (SELECT area, t_index, split, value AS observed, lag(value, 24) OVER (PARTITION BY area ORDER BY t_index) AS predicted FROM lab) SELECT area, t_index, round(observed, 4) AS observed, round(predicted, 4) AS predicted FROM f WHERE split = 'stress'")
 def forecast_seasonal_naive(spark: SparkSession, sf: str) -> DataFrame:
     rows, spec = labelled(spark, sf)
-    return rounded(FC.walk_forward(FC.seasonal_naive(spec), rows, "stress").select("area", "t_index", "observed", "predicted"), 4)
+    return rounded(FC.walk_forward(FC.seasonal_naive(spec), rows, spec, "stress").select("area", "t_index", "observed", "predicted"), 4)
 
 
 @query("walk_forward", f"WITH {PREDICTIONS} SELECT area, split, model, seed, t_index, local, round(observed, 4) AS observed, round(persistence, 4) AS persistence, round(predicted, 4) AS predicted FROM pred WHERE model <> 'blend'")

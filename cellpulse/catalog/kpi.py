@@ -94,12 +94,12 @@ def fact_persistence_wins(spark: SparkSession, sf: str) -> DataFrame:
     return K.fact_persistence_wins(stress_scores(spark, sf))
 
 
-@query("fact_copy_min", f"WITH {COPY} SELECT round(min(ratio), 8) AS copy_ratio_min FROM ra WHERE model = 'blend_ensemble'")
+@query("fact_copy_min", f"WITH {COPY} SELECT round(min(ratio), 8) AS copy_ratio_min FROM ra WHERE model = 'blend'")
 def fact_copy_min(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.fact_copy_min(DG.copying_report(forecasts(spark, sf)[0])), 8)
 
 
-@query("fact_collapsed", f"WITH {COPY} SELECT count(*) FILTER (WHERE ratio < 0.25) AS models_collapsed FROM ra WHERE model = 'blend_ensemble'")
+@query("fact_collapsed", f"WITH {COPY} SELECT count(*) FILTER (WHERE ratio < 0.25) AS models_collapsed FROM ra WHERE model = 'blend'")
 def fact_collapsed(spark: SparkSession, sf: str) -> DataFrame:
     return K.fact_collapsed(DG.copying_report(forecasts(spark, sf)[0]))
 

@@ -52,7 +52,7 @@ ACF_SQL = (
 
 @query("acf", f"WITH {ACF_SQL} SELECT area, lag::INTEGER AS lag, round(acf, 8) + 0.0 AS acf, round(acf - half, 8) + 0.0 AS lower, round(acf + half, 8) + 0.0 AS upper FROM band")
 def acf(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(S.acf(T.events_panel(spark, sf)[0], N_LAGS), 8)
+    return rounded(S.acf(T.events_panel(spark, sf)[0], N_LAGS).drop("n"), 8)
 
 
 @query(
@@ -224,6 +224,16 @@ def holiday_flags(spark: SparkSession, sf: str) -> DataFrame:
     return official.select("area", "t_index", F.col("any").alias("is_holiday"), F.col("is_holiday").alias("is_official"))
 
 
+@query(
+    "holiday_dim",
+    f"WITH {HOLIDAYS} SELECT hol.date, hol.holiday AS name, CASE WHEN hol.holiday = 'Local observance' THEN 'observance' ELSE 'national' END AS scope, count(event_id) AS n_events FROM hol LEFT JOIN events ON CAST(ts AS DATE) = hol.date GROUP BY 1, 2, 3",
+)
+def holiday_dim(spark: SparkSession, sf: str) -> DataFrame:
+    per_day = T.table(spark, sf, "events").groupBy(F.to_date("ts").alias("date")).agg(F.count(F.lit(1)).alias("n"))
+    days = A.holiday_dim(spark, T.HOURLY).drop("note")
+    return days.join(per_day, "date", "left").select("date", "name", "scope", F.coalesce("n", F.lit(0).cast("long")).alias("n_events"))
+
+
 ENRICHED = f"{Z_SQL}, {HOLIDAYS}, en AS (SELECT z.*, CAST(local AS DATE) AS date, dayname(local) AS weekday, hol.holiday, hol.holiday IS NOT NULL AS is_holiday FROM z LEFT JOIN hol ON hol.date = CAST(local AS DATE) WHERE z > 4)"
 
 

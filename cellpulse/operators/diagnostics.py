@@ -70,60 +70,68 @@ def residual_acf(predictions: DataFrame, n_lags: int, keys: Sequence[str] = KEYS
     sizes = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.min("residual").alias("_lo"), F.max("residual").alias("_hi")
     )
-    products = lag_products(rows, n_lags, keys, "residual")
-    zero = products.filter("lag = 0").select(*keys, F.col("product").alias("_c0"))
-    joined = products.join(zero, list(keys)).join(sizes, list(keys)).filter(F.col("lag") <= F.col("n") - 1)
+    products = lag_products(rows, n_lags, keys, "residual").drop("n")
+    joined = products.join(sizes, list(keys)).filter(F.col("lag") <= F.col("n") - 1)
     flat = F.col("_lo") == F.col("_hi")
     return joined.select(
         *keys,
         "lag",
-        F.when(~flat, X.safe_div(F.col("product"), F.col("_c0"))).alias("acf"),
+        F.when(~flat, X.safe_div(F.col("product"), F.col("c0"))).alias("acf"),
         F.when(flat, F.lit(0.0)).otherwise(1.96 / F.sqrt(F.col("n").cast("double"))).alias("confidence"),
     )
 
 
-def cross_correlation(predictions: DataFrame, max_lag: int = 12, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Correlation of the forecast at ``t + lag`` with the observation at ``t``, normed on the full window.
+def _correlation_sums(predictions: DataFrame, max_lag: int, keys: Sequence[str], extra: dict | None = None) -> DataFrame:
+    """Per key: the products of every lag as ``_c``, and whatever ``extra`` aggregates, in one pass.
 
-    Each series' products for all lags come from one window pass; the shuffle carries only their sums.
+    Each series' products for all lags come from one window; the shuffle carries only their sums.
     """
     means = predictions.groupBy(*keys).agg(F.avg("observed").alias("_mx"), F.avg("predicted").alias("_my"))
+    kept = ["observed", "predicted", "persistence"] if extra else []
     centred = predictions.join(means, list(keys)).select(
-        *keys, "t_index", (F.col("observed") - F.col("_mx")).alias("x"), (F.col("predicted") - F.col("_my")).alias("y")
+        *keys, "t_index", *kept, (F.col("observed") - F.col("_mx")).alias("x"), (F.col("predicted") - F.col("_my")).alias("y")
     )
     lags = list(range(-max_lag, max_lag + 1))
 
     def build(w):
         shifted = {k: (F.lead("y", k) if k >= 0 else F.lag("y", -k)).over(w) for k in lags}
-        return {f"p{i}": F.col("x") * shifted[k] for i, k in enumerate(lags)}
+        cols = {f"p{i}": F.col("x") * shifted[k] for i, k in enumerate(lags)}
+        return {**cols, "_step": F.abs(F.col("observed") - F.lag("observed", 1).over(w))} if extra else cols
 
     rows = over_series(centred, build, before=max_lag, after=max_lag, keys=keys)
     sums = rows.groupBy(*keys).agg(
         F.sum(F.col("x") * F.col("x")).alias("_xx"),
         F.sum(F.col("y") * F.col("y")).alias("_yy"),
         *[F.sum(f"p{i}").alias(f"p{i}") for i in range(len(lags))],
+        *[c.alias(n) for n, c in (extra or {}).items()],
     )
     scale = F.sqrt(F.col("_xx") * F.col("_yy"))
     entries = [
         F.struct(F.lit(k).alias("lag"), X.safe_div(F.coalesce(F.col(f"p{i}"), F.lit(0.0)), scale).alias("correlation"))
         for i, k in enumerate(lags)
     ]
-    return sums.select(*keys, F.inline(F.array(*entries)))
+    return sums.select(*keys, F.array(*entries).alias("_c"), *(extra or {}))
 
 
-def correlation_peak(correlations: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The lag of the largest correlation, the smallest lag among equals (to nine digits)."""
-    order = F.struct(F.round("correlation", 9), -F.col("lag"))
-    best = F.max_by(F.struct("lag", "correlation"), F.when(F.col("correlation").isNotNull(), order))
-    at = lambda k: F.max(F.when(F.col("lag") == k, F.col("correlation")))
-    return correlations.groupBy(*keys).agg(best.alias("b"), at(0).alias("lag0_correlation"), at(1).alias("lag1_correlation")).select(
-        *keys,
-        F.coalesce("b.lag", F.lit(0)).alias("peak_lag"),
-        F.col("b.correlation").alias("peak_correlation"),
-        "lag0_correlation",
-        "lag1_correlation",
-        (F.col("lag1_correlation") - F.col("lag0_correlation")).alias("lag_margin"),
+def cross_correlation(predictions: DataFrame, max_lag: int = 12, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Correlation of the forecast at ``t + lag`` with the observation at ``t``, normed on the full window."""
+    return _correlation_sums(predictions, max_lag, keys).select(*keys, F.inline("_c"))
+
+
+def _peak_columns() -> list[Column]:
+    """Peak lag (the smallest among equals to nine digits) and the two lags the reading rests on."""
+    usable = F.filter("_c", lambda e: e["correlation"].isNotNull())
+    ordered = F.array_max(
+        F.transform(usable, lambda e: F.struct(F.round(e["correlation"], 9).alias("r"), (-e["lag"]).alias("k"), e["correlation"].alias("c")))
     )
+    at = lambda k: F.element_at(F.filter("_c", lambda e: e["lag"] == k), 1)["correlation"]
+    return [
+        F.coalesce(-ordered["k"], F.lit(0)).alias("peak_lag"),
+        ordered["c"].alias("peak_correlation"),
+        at(0).alias("lag0_correlation"),
+        at(1).alias("lag1_correlation"),
+        (at(1) - at(0)).alias("lag_margin"),
+    ]
 
 
 def copy_verdict(ratio: Column) -> Column:
@@ -145,8 +153,10 @@ def copy_ratio(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def copying_report(predictions: DataFrame, max_lag: int = 12, keys: Sequence[str] = KEYS) -> DataFrame:
     """Is the forecast more than its last input? The verdict rests on the copy ratio alone."""
-    peaks = correlation_peak(cross_correlation(predictions, max_lag, keys), keys)
-    return peaks.join(copy_ratio(predictions, keys), list(keys)).withColumn("verdict", copy_verdict(F.col("copy_ratio")))
+    apart = F.avg(F.abs(F.col("predicted") - F.col("persistence")))
+    extra = {"copy_ratio": X.safe_div(apart, F.avg("_step"))}
+    sums = _correlation_sums(predictions, max_lag, keys, extra)
+    return sums.select(*keys, *_peak_columns(), "copy_ratio", copy_verdict(F.col("copy_ratio")).alias("verdict"))
 
 
 def lag1_copy_ratio(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A forecaster's ``fit`` turns training rows into a model table and its ``predict`` turns the whole
 panel and that table into ``predicted`` for every step. ``walk_forward`` restricts the result to a
-split afterwards: cutting the panel before the window functions run would drop the history.
+split afterwards: cutting the panel to the split before the window functions run would drop the
+history, so only rows beyond the forecaster's reach are left out beforehand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -21,6 +23,7 @@ from cellpulse.settings import PanelSpec
 
 class Forecaster(Protocol):
     name: str
+    reach: int
 
     def fit(self, labelled: DataFrame) -> DataFrame | None: ...
 
@@ -34,6 +37,10 @@ class Naive:
     name: str
     lag: int
 
+    @property
+    def reach(self) -> int:
+        return self.lag
+
     def fit(self, labelled: DataFrame) -> None:
         return None
 
@@ -49,10 +56,27 @@ def seasonal_naive(spec: PanelSpec) -> Naive:
     return Naive("seasonal_naive", spec.daily)
 
 
-def walk_forward(forecaster: Forecaster, labelled: DataFrame, split: str, model: DataFrame | None = None) -> DataFrame:
-    """Forecasts of one split, each made from the true values before it."""
-    rows = forecaster.predict(labelled, model).filter(F.col("split") == split)
-    return rows.select(
+def with_reach(labelled: DataFrame, spec: PanelSpec, splits: Sequence[str], reach: int) -> DataFrame:
+    """The rows of some splits and at least ``reach`` steps before them; the rest is never read.
+
+    Step numbers follow from dates; a day on either side covers any offset of the local zone.
+    """
+    parts = [spec.split(name) for name in splits]
+    first = min((p.start - spec.start).days for p in parts) * spec.daily
+    last = (max((p.end - spec.start).days for p in parts) + 1) * spec.daily
+    return labelled.filter(F.col("t_index").between(first - spec.daily - reach, last + spec.daily))
+
+
+def walk_forward(
+    forecaster: Forecaster, labelled: DataFrame, spec: PanelSpec, split: str, model: DataFrame | None = None
+) -> DataFrame:
+    """Forecasts of one split, each made from the true values before it.
+
+    The panel is cut to the split plus the forecaster's ``reach``, not to the split itself. Pooled
+    models also need the train rows they were scaled on, so they see the whole panel.
+    """
+    rows = labelled if getattr(forecaster, "pooled", False) else with_reach(labelled, spec, [split], forecaster.reach)
+    return forecaster.predict(rows, model).filter(F.col("split") == split).select(
         "area",
         "split",
         F.lit(forecaster.name).alias("model"),
@@ -76,10 +100,8 @@ def baseline_predictions(
 
     ``persistence`` rides along as a column, because the diagnostics compare against it.
     """
-    for name in splits:
-        spec.split(name)
     rows = over_series(
-        labelled.select("area", "t_index", "local", "split", "value"),
+        with_reach(labelled, spec, splits, spec.daily).select("area", "t_index", "local", "split", "value"),
         lambda w: {"_p": F.lag("value", 1).over(w), "_s": F.lag("value", spec.daily).over(w)},
         before=spec.daily,
     ).filter(F.col("split").isin(list(splits)))

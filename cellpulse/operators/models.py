@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,7 @@ from cellpulse.functions import exprs as X
 from cellpulse.operators import features as FE
 from cellpulse.operators import forecast as FC
 from cellpulse.operators import metrics as M
+from cellpulse.operators.series import column, key_columns
 from cellpulse.plans.dims import literal_table
 from cellpulse.plans.series import over_series, spread, with_halo
 from cellpulse.plans.storage import durable
@@ -44,26 +45,37 @@ def _angles(t: np.ndarray, periods: Mapping[int, int]) -> np.ndarray:
     return np.column_stack(cols)
 
 
-def _solve(gram: np.ndarray) -> tuple[np.ndarray, float]:
-    """Least squares of the last variable on the others from their Gram matrix: coefficients, RSS."""
-    a, b, yy = gram[:-1, :-1], gram[:-1, -1], gram[-1, -1]
-    beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    return beta, max(0.0, float(yy - 2 * beta @ b + beta @ a @ beta))
+def harmonic_sums(t: np.ndarray, y: np.ndarray, own: np.ndarray, periods: Mapping[int, int], p: int):
+    """Cross products of (regressors, y): within a step for all own rows, and between a step and its
+    ``p`` predecessors for the own rows that have them."""
+    v = np.column_stack([_angles(t, periods), y])
+    now = v[own]
+    at = np.flatnonzero(own)
+    at = at[at >= p]
+    at = at[t[at] - t[at - p] == p]
+    stacked = np.concatenate([v[at - i] for i in range(p + 1)], axis=1) if len(at) else np.zeros((0, v.shape[1] * (p + 1)))
+    return now.T @ now, stacked.T @ stacked, len(now), len(at)
 
 
-def _merge_and_solve(name: str):
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        width = int(round(len(rows["gram"].iloc[0]) ** 0.5))
-        gram = np.sum([np.asarray(g, dtype=float) for g in rows["gram"]], axis=0).reshape(width, width)
-        beta, rss = _solve(gram)
-        return pd.DataFrame({"area": [rows["area"].iloc[0]], name: [beta], "rss": [rss], "n": [int(rows["n"].sum())]})
-
-    return solve
+def harmonic_solve(level: np.ndarray, cross: np.ndarray, p: int):
+    """Regression coefficients, then the AR coefficients of its residuals, from the summed products."""
+    beta = np.linalg.lstsq(level[:-1, :-1], level[:-1, -1], rcond=None)[0]
+    c = np.append(-beta, 1.0)  # residual = (regressors, y) . c
+    if p == 0:
+        return beta, np.zeros(0), float(c @ level @ c)
+    w = len(c)
+    e = np.array([[c @ cross[i * w : (i + 1) * w, j * w : (j + 1) * w] @ c for j in range(p + 1)] for i in range(p + 1)])
+    phi = np.linalg.lstsq(e[1:, 1:], e[1:, 0], rcond=None)[0]
+    return beta, phi, max(0.0, float(e[0, 0] - 2 * phi @ e[1:, 0] + phi @ e[1:, 1:] @ phi))
 
 
 @dataclass(frozen=True)
 class Harmonic:
-    """Fourier regression on the log-standard scale, then an AR(p) on its residuals."""
+    """Fourier regression of log1p, then an AR(p) on its residuals, one coefficient row per area.
+
+    Least squares with an intercept does not depend on the scale, so the standardisation the other
+    models need is left out. One pass over the panel gives the products both stages are solved from.
+    """
 
     spec: PanelSpec
     k_daily: int = 4
@@ -77,66 +89,65 @@ class Harmonic:
         return {self.spec.daily: self.k_daily, self.spec.weekly: self.k_weekly}
 
     def fit(self, labelled: DataFrame) -> DataFrame:
-        """One row per area: scaler, ``beta``, ``phi``, residual sum of squares, sizes."""
-        rows = labelled.filter(F.col("split").isin(list(self.fit_on))).select("area", "t_index", "split", "value")
-        stats = FE.scaler_fit(rows.filter("split = 'train'"))
-        scaled = FE.scaler_transform(rows, stats).filter("scaled is not null").select("area", "t_index", "scaled")
+        """One row per area: ``beta``, ``phi``, residual sum of squares, rows used, parameters."""
+        rows = labelled.filter(F.col("split").isin(list(self.fit_on)) & F.col("value").isNotNull())
+        parts = with_halo(rows.select("area", "t_index", F.log1p("value").alias("y")), before=self.ar)
         periods, p = self.periods, self.ar
-
-        def sums(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            x = _angles(part["t_index"].to_numpy(), periods)
-            z = np.column_stack([x, part["scaled"].to_numpy(dtype=float)])
-            return pd.DataFrame({"area": [group[0]], "gram": [(z.T @ z).ravel()], "n": [len(part)]})
-
-        first = (
-            spread(with_halo(scaled), "area", "_chunk")
-            .groupBy("area", "_chunk")
-            .applyInPandas(sums, "area long, gram array<double>, n long")
-            .groupBy("area")
-            .applyInPandas(_merge_and_solve("beta"), "area long, beta array<double>, rss double, n long")
-        )
-        if p == 0:
-            fitted = first.withColumn("phi", F.array().cast("array<double>"))
-            return stats.join(fitted, "area").withColumn("k", F.size("beta") + 1)
-
-        resid = scaled.join(first.select("area", "beta"), "area")
-
-        def lag_sums(group: tuple, part: pd.DataFrame) -> pd.DataFrame:
-            part = part.sort_values("t_index")
-            beta = np.asarray(part["beta"].iloc[0], dtype=float)
-            t = part["t_index"].to_numpy()
-            e = part["scaled"].to_numpy(dtype=float) - _angles(t, periods) @ beta
-            at = np.flatnonzero(part["_home"].to_numpy())
-            at = at[at >= p]
-            at = at[t[at] - t[at - p] == p]  # full history inside the fit rows
-            z = np.column_stack([*[e[at - i] for i in range(1, p + 1)], e[at]]) if len(at) else np.zeros((0, p + 1))
-            return pd.DataFrame({"area": [group[0]], "gram": [(z.T @ z).ravel()], "n": [len(at)]})
-
-        second = (
-            spread(with_halo(resid, before=p), "area", "_chunk")
+        listed = pa.list_(pa.float64())
+
+        def sums(group: tuple, part: pa.Table) -> pa.Table:
+            part = part.sort_by("t_index")
+            level, cross, n, n_cross = harmonic_sums(
+                column(part, "t_index"), column(part, "y"), column(part, "_home").astype(bool), periods, p
+            )
+            return pa.table(
+                {
+                    **key_columns(("area",), group, 1),
+                    "level": pa.array([level.ravel()], type=listed),
+                    "cross": pa.array([cross.ravel()], type=listed),
+                    "n": pa.array([n_cross if p else n], type=pa.int64()),
+                }
+            )
+
+        def solve(group: tuple, part: pa.Table) -> pa.Table:
+            level, cross = (np.sum(np.array(part.column(c).to_pylist(), dtype=float), axis=0) for c in ("level", "cross"))
+            square = lambda m: m.reshape(int(round(len(m) ** 0.5)), -1)
+            beta, phi, rss = harmonic_solve(square(level), square(cross), p)
+            return pa.table(
+                {
+                    **key_columns(("area",), group, 1),
+                    "beta": pa.array([beta], type=listed),
+                    "phi": pa.array([phi], type=listed),
+                    "rss": pa.array([rss]),
+                    "n": pa.array([int(column(part, "n").sum())], type=pa.int64()),
+                }
+            )
+
+        partial = (
+            spread(parts, "area", "_chunk")
             .groupBy("area", "_chunk")
-            .applyInPandas(lag_sums, "area long, gram array<double>, n long")
-            .groupBy("area")
-            .applyInPandas(_merge_and_solve("phi"), "area long, phi array<double>, rss double, n long")
+            .applyInArrow(sums, "area long, level array<double>, cross array<double>, n long")
         )
-        both = first.select("area", "beta").join(second, "area")
-        return stats.join(both, "area").withColumn("k", F.size("beta") + F.size("phi") + 1)
+        fitted = spread(partial, "area").groupBy("area").applyInArrow(solve, "area long, beta array<double>, phi array<double>, rss double, n long")
+        return fitted.withColumn("k", F.size("beta") + F.size("phi") + 1)
 
     def predict(self, labelled: DataFrame, model: DataFrame) -> DataFrame:
-        """ẑ(t) = x(t) beta + sum of phi_i e(t - i), with e from the true past; back in original units."""
-        rows = labelled.join(model.select("area", "log_mean", "log_std", "beta", "phi"), "area", "left")
+        """x(t) beta plus phi-weighted residuals of the true past, back in original units."""
+        rows = labelled.join(model.select("area", "beta", "phi"), "area", "left")
         terms = [F.lit(1.0), *X.fourier_columns("t_index", self.periods).values()]
         fit = sum((F.get("beta", F.lit(i)) * c for i, c in enumerate(terms)), F.lit(0.0))
-        scaled = X.safe_div(F.log1p("value") - F.col("log_mean"), F.col("log_std"))
-        rows = rows.withColumn("_fit", fit).withColumn("_e", scaled - F.col("_fit"))
+        weights = [F.get("phi", F.lit(i)).alias(f"_phi{i}") for i in range(self.ar)]
+        rows = rows.select(*labelled.columns, fit.alias("_fit"), *weights).withColumn("_e", F.log1p("value") - F.col("_fit"))
 
         def build(w):
-            carried = sum((F.get("phi", F.lit(i - 1)) * F.lag("_e", i).over(w) for i in range(1, self.ar + 1)), F.lit(0.0))
-            z = F.col("_fit") + carried
-            return {"predicted": F.greatest(F.lit(0.0), F.expm1(z * F.col("log_std") + F.col("log_mean")))}
+            carried = sum((F.col(f"_phi{i}") * F.lag("_e", i + 1).over(w) for i in range(self.ar)), F.lit(0.0))
+            return {"predicted": F.greatest(F.lit(0.0), F.expm1(F.col("_fit") + carried))}
 
-        out = over_series(rows, build, before=max(1, self.ar))
-        return out.drop("log_mean", "log_std", "beta", "phi", "_fit", "_e")
+        return over_series(rows, build, before=max(1, self.ar)).select(*labelled.columns, "predicted")
+
+    @property
+    def reach(self) -> int:
+        return max(1, self.ar)
 
     def complexity(self, model: DataFrame) -> DataFrame:
         return model.select("area", F.lit(self.name).alias("model"), F.col("k").cast("long").alias("n_params"))
@@ -173,6 +184,7 @@ class BoostedTrees:
     calendar: bool = True
     fit_on: tuple[str, ...] = TRAIN
     name: str = "boosted_trees"
+    pooled: bool = True
 
     @property
     def columns(self) -> list[str]:
@@ -182,6 +194,10 @@ class BoostedTrees:
         rows, stats = _scaled_rows(labelled)
         return FE.design_matrix(rows, self.spec, "scaled", self.calendar), stats
 
+    @property
+    def reach(self) -> int:
+        return FE.history(self.spec)
+
     def fit(self, labelled: DataFrame):
         design, _ = self.design(labelled)
         seen = {*self.fit_on, *(("validation",) if self.early_stop else ())}
@@ -227,6 +243,7 @@ class WindowRegression:
     calendar: bool = True
     fit_on: tuple[str, ...] = TRAIN
     name: str = "window_regression"
+    pooled: bool = True
 
     def design(self, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows, stats = _scaled_rows(labelled)
@@ -237,6 +254,10 @@ class WindowRegression:
             inputs = F.concat("window", F.array(*X.calendar_columns("local", [])))
         return windows.withColumn("features", array_to_vector(inputs)), stats
 
+    @property
+    def reach(self) -> int:
+        return self.length
+
     def fit(self, labelled: DataFrame):
         design, _ = self.design(labelled)
         rows = design.filter(F.col("split").isin(list(self.fit_on))).select("features", F.col("scaled").alias("label"))
@@ -268,7 +289,7 @@ def tune_grid(
     """
     table = None
     for label, forecaster in candidates:
-        rows = FC.walk_forward(forecaster, labelled, "validation", forecaster.fit(labelled))
+        rows = FC.walk_forward(forecaster, labelled, spec, "validation", forecaster.fit(labelled))
         score = rows.groupBy("model").agg(
             F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("valid_mae"),
             F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("observed"), F.lit(2)))).alias("valid_rmse"),
@@ -287,5 +308,5 @@ def final_scores(forecaster: FC.Forecaster, labelled: DataFrame, spec: PanelSpec
     if hasattr(forecaster, "early_stop"):
         changes["early_stop"] = False
     settled = dataclasses.replace(forecaster, **changes)
-    rows = FC.walk_forward(settled, labelled, split, settled.fit(labelled))
+    rows = FC.walk_forward(settled, labelled, spec, split, settled.fit(labelled))
     return M.metric_table(rows, M.mase_scale(labelled, spec), spec)

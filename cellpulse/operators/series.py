@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +37,19 @@ def rolling_stats(panel: DataFrame, window: int, value: str = "value") -> DataFr
 # --- autocorrelation -----------------------------------------------------------------------------
 
 
-def series_moments(panel: DataFrame, keys: Sequence[str] = ("area",), value: str = "value") -> DataFrame:
-    """Length, mean and centred sum of squares of each series."""
-    return panel.groupBy(*keys).agg(
-        F.count(value).alias("n"),
-        F.avg(value).alias("series_mean"),
-        (F.var_pop(value) * F.count(value)).alias("sum_sq"),
-        F.max("t_index").alias("t_last"),
-    )
+def dense(t: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values placed by time from the first step on; a missing step counts as zero."""
+    out = np.zeros(int(t[-1] - t[0]) + 1)
+    out[t - t[0]] = np.nan_to_num(x)
+    return out
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy(zero_copy_only=False)
+
+
+def key_columns(keys: Sequence[str], group: tuple, n: int) -> dict:
+    return {k: pa.array([v.as_py()] * n, type=v.type) for k, v in zip(keys, group)}
 
 
 def lag_products(
@@ -54,60 +59,45 @@ def lag_products(
 
     Exploding the lags and joining would multiply the panel by ``n_lags``. Here Spark cuts each series
     into chunks with a halo of ``n_lags`` rows, each chunk is reduced to its ``n_lags + 1`` products
-    where it lies, and only those partial sums are shuffled and added.
+    where it lies, and only those partial sums are shuffled and added. ``n`` is the series length.
     """
     means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     centred = panel.join(means, list(keys)).select(*keys, "t_index", (F.col(value) - F.col("_mean")).alias("x"))
     parts = with_halo(centred, before=n_lags, chunk=chunk)
-    key_types = [f"{k} {dict(panel.dtypes)[k]}" for k in keys]
-
-    def products(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t_index")
-        first = int(rows["t_index"].iloc[0])
-        # place values by time, so a missing step counts as zero deviation
-        x = np.zeros(int(rows["t_index"].iloc[-1]) - first + 1)
-        x[rows["t_index"].to_numpy() - first] = np.nan_to_num(rows["x"].to_numpy(dtype=float))
-        home = np.zeros_like(x)
-        own = rows["_home"].to_numpy()
-        home[rows["t_index"].to_numpy()[own] - first] = x[rows["t_index"].to_numpy()[own] - first]
-        lags = np.arange(min(n_lags, len(x) - 1) + 1)
-        sums = [float(home[k:] @ x[: len(x) - k]) for k in lags]
-        out = pd.DataFrame({"lag": lags.astype("int32"), "product": sums})
-        for name, part in zip(keys, group):
-            out.insert(0, name, part)
-        return out
-
-    schema = ", ".join([*key_types, "lag int", "product double"])
-    partial = spread(parts, *keys, "_chunk").groupBy(*keys, "_chunk").applyInPandas(_drop_last(products), schema)
-    return partial.groupBy(*keys, "lag").agg(F.sum("product").alias("product"))
-
-
-def _drop_last(fn):
-    """The chunk number is part of the grouping key but not of the result."""
 
-    def call(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return fn(group[:-1], rows)
-
-    return call
+    def products(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t_index")
+        t, x, own = column(rows, "t_index"), column(rows, "x"), column(rows, "_home").astype(bool)
+        full = dense(t, x)
+        home = np.zeros_like(full)
+        home[t[own] - t[0]] = np.nan_to_num(x[own])
+        lags = np.arange(min(n_lags, len(full) - 1) + 1, dtype=np.int32)
+        sums = np.array([home[k:] @ full[: len(full) - k] for k in lags])
+        seen = np.full(len(lags), int((own & ~np.isnan(x)).sum()))
+        return pa.table({**key_columns(keys, group, len(lags)), "lag": lags, "product": sums, "n": seen})
+
+    types = dict(panel.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "lag int", "product double", "n long"])
+    partial = spread(parts, *keys, "_chunk").groupBy(*keys, "_chunk").applyInArrow(products, schema)
+    # a short chunk reports fewer lags, so the length is counted at lag 0, which all report
+    sums = partial.groupBy(*keys, "lag").agg(F.sum("product").alias("product"), F.sum("n").alias("_n"))
+    first = Window.partitionBy(*keys).orderBy("lag")  # at most n_lags + 1 rows per series
+    return sums.select(
+        *keys, "lag", "product", F.first("_n").over(first).alias("n"), F.first("product").over(first).alias("c0")
+    )
 
 
 def acf(
     panel: DataFrame, n_lags: int, keys: Sequence[str] = ("area",), value: str = "value", z: float = 1.959963984540054
 ) -> DataFrame:
     """Biased autocorrelation with Bartlett bands, one row per series and lag. NULL for a constant series."""
-    products = lag_products(panel, n_lags, keys, value)
-    sizes = panel.groupBy(*keys).agg(F.count(value).alias("n"))
-    zero = products.filter("lag = 0").select(*keys, F.col("product").alias("_c0"))
-    rows = products.join(zero, list(keys)).join(sizes, list(keys))
-    rho = X.safe_div(F.col("product"), F.col("_c0"))
-    rows = rows.withColumn("acf", rho)
-    # at most n_lags + 1 rows per series
+    rows = lag_products(panel, n_lags, keys, value).withColumn("acf", X.safe_div(F.col("product"), F.col("c0")))
     earlier = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     square = F.when(F.col("lag") > 0, F.col("acf") * F.col("acf")).otherwise(F.lit(0.0))
-    spread = F.sqrt((1 + 2 * F.coalesce(F.sum(square).over(earlier), F.lit(0.0))) / F.col("n"))
-    band = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(F.lit(z) * spread)
+    spread_ = F.sqrt((1 + 2 * F.coalesce(F.sum(square).over(earlier), F.lit(0.0))) / F.col("n"))
+    band = F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(F.lit(z) * spread_)
     return rows.withColumn("_band", band).select(
-        *keys, "lag", "acf", (F.col("acf") - F.col("_band")).alias("lower"), (F.col("acf") + F.col("_band")).alias("upper")
+        *keys, "lag", "acf", (F.col("acf") - F.col("_band")).alias("lower"), (F.col("acf") + F.col("_band")).alias("upper"), "n"
     )
 
 
@@ -133,22 +123,19 @@ def pacf(panel: DataFrame, spec: PanelSpec, n_lags: int, value: str = "value") -
     401 numbers per series.
     """
     limit = min(n_lags, max(1, spec.n_steps // 2 - 1), 400)
-    rho = acf(panel, limit, value=value).filter("acf is not null").select("area", "lag", "acf")
-    sizes = panel.groupBy("area").agg(F.count(value).alias("n"))
-
-    def recursion(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("lag")
-        values = levinson(rows["acf"].to_numpy(dtype=float))
-        n = int(rows["n"].iloc[0])
-        band = 1.959963984540054 / math.sqrt(n)
-        lags = np.arange(len(values))
-        half = np.where(lags == 0, 0.0, band)
-        return pd.DataFrame(
-            {"area": rows["area"].iloc[0], "lag": lags.astype("int32"), "pacf": values, "lower": values - half, "upper": values + half}
+    rho = acf(panel, limit, value=value).filter("acf is not null").select("area", "lag", "acf", "n")
+
+    def recursion(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("lag")
+        values = levinson(column(rows, "acf"))
+        lags = np.arange(len(values), dtype=np.int32)
+        half = np.where(lags == 0, 0.0, 1.959963984540054 / math.sqrt(column(rows, "n")[0]))
+        return pa.table(
+            {**key_columns(("area",), group, len(lags)), "lag": lags, "pacf": values, "lower": values - half, "upper": values + half}
         )
 
     schema = "area long, lag int, pacf double, lower double, upper double"
-    return rho.join(sizes, "area").groupBy("area").applyInPandas(recursion, schema)
+    return spread(rho, "area").groupBy("area").applyInArrow(recursion, schema)
 
 
 def levinson(rho: np.ndarray) -> np.ndarray:
@@ -176,28 +163,24 @@ def periodogram(panel: DataFrame, spec: PanelSpec, value: str = "value", chunk:
 
     Each chunk is transformed on the frequencies of the whole series (zero-padded), turned by its
     start time and summed over chunks, so no task holds more than one chunk of one series. The mean
-    only affects k = 0, which is left out.
+    only affects k = 0, which is left out, so it is not removed first.
     """
     n = spec.n_steps
     half = n // 2
-    size = chunk_size(0, 0, chunk)
-    parts = with_halo(panel.select("area", "t_index", F.col(value).alias("x")), chunk=size)
-    means = panel.groupBy("area").agg(F.avg(value).alias("_mean"))
-    parts = parts.join(means, "area").withColumn("x", F.col("x") - F.col("_mean"))
-
-    def transform(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        start = int(rows["t_index"].min())
-        x = np.zeros(int(rows["t_index"].max()) - start + 1)
-        x[rows["t_index"].to_numpy() - start] = np.nan_to_num(rows["x"].to_numpy(dtype=float))
-        k = np.arange(1, half + 1)
-        turn = np.exp(-2j * np.pi * ((k * start) % n) / n)
-        f = np.fft.rfft(x, n)[1 : half + 1] * turn
-        return pd.DataFrame({"area": group[0], "k": k.astype("int32"), "re": f.real, "im": f.imag})
+    parts = with_halo(panel.select("area", "t_index", F.col(value).alias("x")), chunk=chunk)
+    k = np.arange(1, half + 1)
+
+    def transform(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t_index")
+        t = column(rows, "t_index")
+        turn = np.exp(-2j * np.pi * ((k * int(t[0])) % n) / n)
+        f = np.fft.rfft(dense(t, column(rows, "x")), n)[1 : half + 1] * turn
+        return pa.table({**key_columns(("area",), group, half), "k": k.astype(np.int32), "re": f.real, "im": f.imag})
 
     sums = (
         spread(parts, "area", "_chunk")
         .groupBy("area", "_chunk")
-        .applyInPandas(transform, "area long, k int, re double, im double")
+        .applyInArrow(transform, "area long, k int, re double, im double")
         .groupBy("area", "k")
         .agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
     )
@@ -260,9 +243,11 @@ def seasonal_decompose(panel: DataFrame, spec: PanelSpec, periods: Sequence[int]
         .drop("_sum", "_cnt", "_chunk", "_home")
         .withColumn("residual", F.col(value) - F.col("trend"))
     )
-    for period in ordered:
-        out = _take_cycle(out, period)
-    return out
+    if any(long % short for short, long in zip(ordered, ordered[1:])):
+        for period in ordered:
+            out = _take_cycle(out, period)
+        return out
+    return _take_nested_cycles(out, ordered)
 
 
 def _take_cycle(rows: DataFrame, period: int) -> DataFrame:
@@ -279,6 +264,28 @@ def _take_cycle(rows: DataFrame, period: int) -> DataFrame:
     )
 
 
+def _take_nested_cycles(rows: DataFrame, periods: Sequence[int]) -> DataFrame:
+    """The same for periods that divide each other, from one aggregate by phase of the longest.
+
+    A phase of the longest period fixes the phase of every shorter one, so all seasonal shapes follow
+    from a table of ``longest`` rows per area, and the panel is read once for it instead of once per
+    period.
+    """
+    longest = periods[-1]
+    phase = F.pmod(F.col("t_index"), F.lit(longest))
+    shape = rows.groupBy("area", phase.alias("_phase")).agg(F.sum("residual").alias("_s"), F.count("residual").alias("_n"))
+    for period in periods:
+        same = Window.partitionBy("area", F.pmod(F.col("_phase"), F.lit(period)))
+        mean = X.safe_div(F.sum("_s").over(same), F.sum("_n").over(same).cast("double"))
+        shape = shape.withColumn("_m", mean)
+        level = F.avg("_m").over(Window.partitionBy("area"))
+        name = f"seasonal_{period}"
+        shape = shape.withColumn(name, F.col("_m") - level).withColumn("_s", F.col("_s") - F.col(name) * F.col("_n"))
+    names = [f"seasonal_{p}" for p in periods]
+    joined = rows.withColumn("_phase", phase).join(shape.select("area", "_phase", *names), ["area", "_phase"])
+    return joined.withColumn("residual", F.col("residual") - sum((F.col(n) for n in names), F.lit(0.0))).drop("_phase")
+
+
 def component_strength(components: DataFrame, periods: Sequence[int], value: str = "value") -> DataFrame:
     """Variance share of each component and strength max(0, 1 - var(r) / var(c + r)), long form."""
     names = ["trend", *[f"seasonal_{p}" for p in sorted(periods)]]

@@ -10,12 +10,12 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
-from cellpulse.operators.series import difference
+from cellpulse.operators.series import column, difference, key_columns
 from cellpulse.plans.series import over_series, running_total, spread, with_halo
 from cellpulse.settings import PanelSpec
 
@@ -97,50 +97,53 @@ def adf(panel: DataFrame, spec: PanelSpec, value: str = "value", max_lag: int |
     n_steps = spec.n_steps
     p = adf_max_lag(n_steps) if max_lag is None else max_lag
     clean = panel.filter(F.col(value).isNotNull()).select("area", "t_index", F.col(value).alias("v"))
-    first = clean.groupBy("area").agg(F.min("t_index").alias("t_first"))
-    parts = with_halo(clean.join(first, "area"), before=p + 1, chunk=chunk)
-
-    def gram(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("t_index")
-        t = rows["t_index"].to_numpy()
-        y = rows["v"].to_numpy(dtype=float)
-        start = int(rows["t_first"].iloc[0])
+    parts = with_halo(clean, before=p + 1, chunk=chunk)
+
+    def gram(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t_index")
+        y, own = column(rows, "v"), column(rows, "_home").astype(bool)
         dy = np.diff(y)  # dy[i] = y[i + 1] - y[i]
-        at = np.flatnonzero(rows["_home"].to_numpy() & (t - start >= p + 1))
-        at = at[at >= p + 1]
-        cols = [dy[at - 1], y[at - 1], *[dy[at - 1 - k] for k in range(1, p + 1)], np.ones(len(at))]
-        z = np.column_stack(cols) if len(at) else np.zeros((0, p + 3))
-        # the tail rows that only lower orders may use: with fewer lags more early rows qualify
-        early = np.flatnonzero(rows["_home"].to_numpy() & (t - start >= 1) & (t - start < p + 1))
-        heads = [
-            (int(t[i] - start), float(dy[i - 1]), float(y[i - 1]), [float(dy[i - 1 - k]) if i - 1 - k >= 0 else 0.0 for k in range(1, p + 1)])
-            for i in early
-        ]
-        return pd.DataFrame(
+        at = np.flatnonzero(own)
+        # fewer than p + 1 rows before the first own row: the series starts in this chunk
+        full = at[at >= p + 1]
+        z = np.column_stack([dy[full - 1], y[full - 1], *[dy[full - 1 - k] for k in range(1, p + 1)], np.ones(len(full))])
+        # rows that only lower lag orders can use: position, dy, level, lagged dy as far as they exist
+        heads = []
+        for i in at[(at >= 1) & (at < p + 1)]:
+            lags = [dy[i - 1 - k] if i - 1 - k >= 0 else 0.0 for k in range(1, p + 1)]
+            heads += [float(i), dy[i - 1], y[i - 1], *lags]
+        return pa.table(
             {
-                "area": [group[0]],
-                "gram": [(z.T @ z).ravel()],
-                "rows": [np.array([len(at)], dtype="int64")[0]],
-                "heads": [np.array([v for h in heads for v in (h[0], h[1], h[2], *h[3])], dtype=float)],
+                **key_columns(("area",), group, 1),
+                "gram": pa.array([(z.T @ z).ravel()], type=pa.list_(pa.float64())),
+                "rows": pa.array([len(full)], type=pa.int64()),
+                "heads": pa.array([heads], type=pa.list_(pa.float64())),
             }
         )
 
-    partial = spread(parts, "area", "_chunk").groupBy("area", "_chunk").applyInPandas(
-        gram, "area long, gram array<double>, rows long, heads array<double>"
+    partial = (
+        spread(parts, "area", "_chunk")
+        .groupBy("area", "_chunk")
+        .applyInArrow(gram, "area long, gram array<double>, rows long, heads array<double>")
     )
 
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(group: tuple, rows: pa.Table) -> pa.Table:
         width = p + 3
-        g = np.sum([np.asarray(v, dtype=float).reshape(width, width) for v in rows["gram"]], axis=0)
-        n = int(rows["rows"].sum())
-        heads = np.concatenate([np.asarray(v, dtype=float) for v in rows["heads"]]).reshape(-1, 3 + p)
-        stat, lags, used = adf_from_gram(g, n, heads, p)
-        return pd.DataFrame(
-            {"area": [rows["area"].iloc[0]], "adf_stat": [stat], "adf_pvalue": [mackinnon_p(stat)], "adf_lags": [lags], "adf_nobs": [used]}
+        g = np.sum(np.array(rows.column("gram").to_pylist(), dtype=float), axis=0).reshape(width, width)
+        heads = np.array([v for part in rows.column("heads").to_pylist() for v in part], dtype=float).reshape(-1, 3 + p)
+        stat, lags, used = adf_from_gram(g, int(column(rows, "rows").sum()), heads, p)
+        return pa.table(
+            {
+                **key_columns(("area",), group, 1),
+                "adf_stat": pa.array([stat]),
+                "adf_pvalue": pa.array([mackinnon_p(stat)]),
+                "adf_lags": pa.array([lags], type=pa.int32()),
+                "adf_nobs": pa.array([used], type=pa.int64()),
+            }
         )
 
     schema = "area long, adf_stat double, adf_pvalue double, adf_lags int, adf_nobs long"
-    return partial.groupBy("area").applyInPandas(solve, schema)
+    return spread(partial, "area").groupBy("area").applyInArrow(solve, schema)
 
 
 def _fit(g: np.ndarray, index: Sequence[int]):
