@@ -18,6 +18,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def idiv(a: Column | str, n: int) -> Column:
+    """Whole-number quotient of a non-negative integer, without going through doubles."""
+    return F.call_function("div", col(a), F.lit(n))
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """``a / b``, NULL when ``b`` is zero or NULL."""
     return a / F.nullif(b, F.lit(0).cast("double"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from cellpulse.functions import exprs as X
 from cellpulse.operators.quality import PanelError
 from cellpulse.operators.series import difference
 from cellpulse.plans.dims import literal_table
+from cellpulse.plans.series import running_total, whole_numbers
+from cellpulse.plans.storage import durable
 from cellpulse.settings import PanelSpec
 
 MAD_TO_SIGMA = 1.4826  # fixed value: makes the MAD of a normal sample estimate its sigma
@@ -94,21 +97,14 @@ def binomial_upper_tail(counts: DataFrame, k: str, n: str, p: float, name: str)
     ``ln i!`` is a running sum over 1..n built in blocks, so the table of logarithms is spread over
     tasks and no factorial overflows.
     """
-    import math
-
-    from cellpulse.plans.series import running_total
-
-    block = 4096
-    top = counts.agg(F.max(n).alias("top"))
-    numbers = top.select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("top") / block))).alias("b")).select(
-        F.explode(F.sequence(F.col("b") * block, F.least(F.col("top"), (F.col("b") + 1) * block - 1))).alias("i")
-    )
+    top = counts.agg(F.lit(0).cast("long").alias("zero"), F.max(n).alias("top"))
+    numbers = whole_numbers(top, "zero", "top", "i")
     logs = numbers.select(
         F.lit(0).alias("area"), F.col("i").alias("t_index"), F.when(F.col("i") > 0, F.log(F.greatest(F.col("i"), F.lit(1)).cast("double"))).otherwise(0.0).alias("l")
     )
     fact = running_total(logs, "l", "ln_fact").select(F.col("t_index").alias("i"), "ln_fact")
     # every group needs the terms i = k .. n: an equi-join after expanding its own tail
-    tails = counts.select("*", F.explode(F.sequence(F.col(k), F.col(n))).alias("i"))
+    tails = whole_numbers(counts, k, n, "i")
     terms = (
         tails.join(fact, "i")
         .join(fact.select(F.col("i").alias("_j"), F.col("ln_fact").alias("ln_rest")), F.col(n) - F.col("i") == F.col("_j"))
@@ -126,6 +122,8 @@ def holiday_enrichment(enriched: DataFrame, spec: PanelSpec) -> DataFrame:
     days = [h for h in spec.holidays if spec.start <= h[0] <= spec.end]
     share = len(days) / spec.n_days
     counts = enriched.agg(F.count_if("is_holiday").alias("on_holiday"), F.count(F.lit(1)).alias("n_flagged"))
+    # one row, written so that the detection behind it runs once
+    counts = durable(counts, "flags")
     tail = binomial_upper_tail(counts, "on_holiday", "n_flagged", share, "p_value")
     return tail.select(
         "on_holiday",

@@ -171,7 +171,8 @@ def worst_windows(predictions: DataFrame, window: int, top: int = 3, keys: Seque
     """The ``top`` worst non-overlapping windows by MAE, chosen greedily; equals (to nine digits) by start.
 
     The greedy choice is a fixed number of rounds, each one aggregate over the candidate windows and
-    one equi-join that removes those overlapping a chosen one.
+    one equi-join that removes those overlapping a chosen one. Candidates and choices are written, so
+    every round reads the windows once instead of repeating the rounds before it.
     """
     keys = list(keys)
 
@@ -203,6 +204,8 @@ def worst_windows(predictions: DataFrame, window: int, top: int = 3, keys: Seque
             .agg(F.max_by(F.struct("start_index", "start", "stop", "mae", "baseline_mae"), rank).alias("b"))
             .select(*keys, F.lit(place).alias("place"), "b.*")
         )
+        if place < top:
+            best = durable(best, "chosen")
         chosen = best if chosen is None else chosen.unionByName(best)
     return chosen.withColumn("n_steps", F.lit(window)).withColumn(
         "ratio_to_persistence", X.safe_div(F.col("mae"), F.col("baseline_mae"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.plans.dims import in_dates
-from cellpulse.plans.series import ordinal, over_series
+from cellpulse.plans.series import ordinal, over_series, whole_numbers
 from cellpulse.settings import PanelSpec
 
 
@@ -64,13 +64,13 @@ def seen_steps(rollup: DataFrame) -> DataFrame:
 def densify(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every area at every *seen* step; silence becomes 0.0 and keeps ``n_rows`` 0.
 
-    Each seen step is expanded to the areas 1..N by a generator, and the observations are joined on
-    the full ``(area, t_index)`` key, whose rows are unique on both sides.
+    Each seen step is expanded to the areas 1..N by generators, in blocks that are spread over all
+    tasks, and the observations are joined on the full ``(area, t_index)`` key, whose rows are unique
+    on both sides.
     """
-    grid = seen_steps(rollup).select(
-        F.explode(F.sequence(F.lit(1).cast("long"), F.lit(spec.n_areas).cast("long"))).alias("area"), "t_index"
-    )
-    return _filled(grid, rollup)
+    ends = seen_steps(rollup).select("t_index", F.lit(1).cast("long").alias("_lo"), F.lit(spec.n_areas).cast("long").alias("_hi"))
+    grid = whole_numbers(ends, "_lo", "_hi", "area")
+    return _filled(grid.select("area", "t_index"), rollup)
 
 
 def full_panel(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -78,11 +78,13 @@ def full_panel(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
 
     The grid is generated by ``spark.range``: no shuffle, no source scan, even partitions.
     """
-    grid = rollup.sparkSession.range(spec.n_areas * spec.n_steps).select(
-        (F.floor(F.col("id") / spec.n_steps) + 1).cast("long").alias("area"),
-        (F.col("id") % spec.n_steps).cast("long").alias("t_index"),
+    return with_times(_filled(_whole_grid(rollup, spec), rollup), spec)
+
+
+def _whole_grid(like: DataFrame, spec: PanelSpec) -> DataFrame:
+    return like.sparkSession.range(spec.n_areas * spec.n_steps).select(
+        (X.idiv("id", spec.n_steps) + 1).alias("area"), (F.col("id") % spec.n_steps).alias("t_index")
     )
-    return with_times(_filled(grid, rollup), spec)
 
 
 def _filled(grid: DataFrame, rollup: DataFrame) -> DataFrame:
@@ -107,11 +109,7 @@ def time_index(spec: PanelSpec, spark) -> DataFrame:
 
 def stack_days(dense: DataFrame, spec: PanelSpec) -> DataFrame:
     """Place day blocks on the step grid of the period; a step seen in no area stays NULL."""
-    grid = dense.sparkSession.range(spec.n_areas * spec.n_steps).select(
-        (F.floor(F.col("id") / spec.n_steps) + 1).cast("long").alias("area"),
-        (F.col("id") % spec.n_steps).cast("long").alias("t_index"),
-    )
-    placed = grid.join(dense.select("area", "t_index", "value"), ["area", "t_index"], "left")
+    placed = _whole_grid(dense, spec).join(dense.select("area", "t_index", "value"), ["area", "t_index"], "left")
     return with_times(placed, spec)
 
 

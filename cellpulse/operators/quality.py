@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
+from cellpulse.plans.series import whole_numbers
 from cellpulse.settings import PanelSpec
 
 
@@ -74,21 +75,11 @@ def missing_days(present: DataFrame, spec: PanelSpec) -> DataFrame:
 def grid_gaps(times: DataFrame) -> DataFrame:
     """Steps between the first and last seen one that were not seen.
 
-    A gap follows a seen step whose successor is absent; the ends come from an anti join on
-    ``t_index + 1``, so the full sequence is never built in one row.
+    The full sequence is generated in blocks over all tasks; no row or task holds all of it.
     """
     seen = times.select("t_index").distinct()
-    bounds = seen.agg(F.min("t_index").alias("lo"), F.max("t_index").alias("hi"))
-    # blocks of steps, then the steps of each block: both generators stay small per row
-    block = 4096
-    blocks = bounds.select(
-        "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("b")
-    )
-    full = blocks.select(
-        F.explode(
-            F.sequence(F.greatest("lo", F.col("b") * block), F.least("hi", (F.col("b") + 1) * block - 1))
-        ).alias("t_index")
-    )
+    ends = seen.agg(F.min("t_index").alias("lo"), F.max("t_index").alias("hi")).filter("lo is not null")
+    full = whole_numbers(ends, "lo", "hi", "t_index").select("t_index")
     return full.join(seen, "t_index", "left_anti")
 
 

@@ -198,15 +198,21 @@ def mackinnon_p(stat: float) -> float:
     return 0.5 * math.erfc(-z / math.sqrt(2.0))
 
 
+# The four readings of the two tests taken together.
+BOTH_STATIONARY = "stationary (both agree)"
+BOTH_NOT = "non-stationary (both agree)"
+BOTH_REJECT = "conflicting: difference-stationary or heteroscedastic"
+NEITHER_REJECTS = "conflicting: inconclusive, likely near-unit-root"
+
+
 def verdict(adf_p: Column, kpss_p: Column, alpha: float) -> Column:
-    """Plain reading of both tests: the first assumes a unit root, the second stationarity."""
-    unit_root_rejected, level_rejected = adf_p < alpha, kpss_p < alpha
+    """The first test assumes a unit root, the second stationarity; NULL where either is undefined."""
+    unit_root_out, level_out = adf_p < alpha, kpss_p < alpha
+    undefined = adf_p.isNull() | F.isnan(adf_p) | kpss_p.isNull()
     return (
-        F.when(adf_p.isNull() | F.isnan(adf_p) | kpss_p.isNull(), F.lit(None).cast("string"))
-        .when(unit_root_rejected & ~level_rejected, "stationary (both agree)")
-        .when(~unit_root_rejected & level_rejected, "non-stationary (both agree)")
-        .when(unit_root_rejected & level_rejected, "conflicting: difference-stationary or heteroscedastic")
-        .otherwise("conflicting: inconclusive, likely near-unit-root")
+        F.when(undefined, F.lit(None).cast("string"))
+        .when(unit_root_out, F.when(level_out, BOTH_REJECT).otherwise(BOTH_STATIONARY))
+        .otherwise(F.when(level_out, BOTH_NOT).otherwise(NEITHER_REJECTS))
     )
 
 

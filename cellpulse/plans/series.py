@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cellpulse.functions.exprs import idiv
+
 CHUNK_STEPS = 8_192
 
 
@@ -24,12 +26,12 @@ def chunk_size(before: int, after: int, chunk: int | None = None) -> int:
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, t: str = "t_index", chunk: int | None = None) -> DataFrame:
     """Add ``_chunk`` and ``_home``; rows near a border are repeated in the neighbouring chunk."""
     size = chunk_size(before, after, chunk)
-    home = F.floor(F.col(t) / F.lit(size)).cast("long")
+    home = idiv(t, size)
     if not (before or after):
         return df.withColumn("_chunk", home).withColumn("_home", F.lit(True))
-    first = F.greatest(F.floor((F.col(t) - F.lit(after)) / F.lit(size)).cast("long"), F.lit(0).cast("long"))
-    last = F.floor((F.col(t) + F.lit(before)) / F.lit(size)).cast("long")
-    out = df.withColumn("_chunk", F.explode(F.sequence(F.least(first, home), last)))
+    first = idiv(F.greatest(F.col(t) - after, F.lit(0)), size)
+    last = idiv(F.col(t) + before, size)
+    out = df.withColumn("_chunk", F.explode(F.sequence(first, last)))
     return out.withColumn("_home", F.col("_chunk") == home)
 
 
@@ -58,7 +60,7 @@ def over_series(
 
 def running_total(df: DataFrame, value: str, name: str, keys: Sequence[str] = ("area",), t: str = "t_index", chunk: int | None = None) -> DataFrame:
     """Cumulative sum over the whole series: within chunks first, then shifted by chunk totals."""
-    parts = df.withColumn("_chunk", F.floor(F.col(t) / F.lit(chunk or CHUNK_STEPS)).cast("long"))
+    parts = df.withColumn("_chunk", idiv(t, chunk or CHUNK_STEPS))
     totals = parts.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_base"))
@@ -73,7 +75,7 @@ def running_total(df: DataFrame, value: str, name: str, keys: Sequence[str] = ("
 
 def ordinal(df: DataFrame, t: str, name: str, keys: Sequence[str] = (), chunk: int = CHUNK_STEPS) -> DataFrame:
     """Exact 1-based position of each distinct integer ``t`` in order, without a single-task sort."""
-    parts = df.withColumn("_chunk", F.floor(F.col(t) / F.lit(chunk)).cast("long"))
+    parts = df.withColumn("_chunk", idiv(t, chunk))
     sizes = parts.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
@@ -86,10 +88,25 @@ def ordinal(df: DataFrame, t: str, name: str, keys: Sequence[str] = (), chunk: i
     )
 
 
+BLOCK = 4_096
+
+
+def whole_numbers(bounds: DataFrame, low: str, high: str, name: str) -> DataFrame:
+    """Every integer from ``low`` to ``high`` of each row of ``bounds``, spread over all tasks.
+
+    One generator makes blocks, the blocks are shuffled, and a second generator fills them. A single
+    row of bounds therefore does not turn into one task that emits everything.
+    """
+    kept = [c for c in bounds.columns if c != name]
+    blocks = bounds.select(*kept, F.explode(F.sequence(idiv(low, BLOCK), idiv(high, BLOCK))).alias("_block"))
+    inside = F.sequence(F.greatest(F.col(low), F.col("_block") * BLOCK), F.least(F.col(high), (F.col("_block") + 1) * BLOCK - 1))
+    return spread(blocks, "_block").select(*kept, F.explode(inside).alias(name))
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition for a grouped pandas step, keeping the full number of partitions.
+    """Hash-partition by ``keys`` and keep the full number of partitions.
 
-    Adaptive execution merges partitions by bytes; these steps cost time per group, not per byte. The
-    grouping that follows reuses this partitioning, so there is still a single shuffle.
+    Adaptive execution merges partitions by bytes; the steps after this one cost time per group or
+    multiply their rows. A grouping on the same keys reuses this partitioning, so it adds no shuffle.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

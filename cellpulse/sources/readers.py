@@ -60,19 +60,18 @@ def undated_files(files: DataFrame) -> DataFrame:
 def file_integrity_audit(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
     """Size and MD5 of each file against the published ``(name, length, md5)``.
 
-    The digest is computed where the file is read. A file that differs in size is not hashed at all.
+    The digest is computed where the file is read, so only names, sizes and digests are joined.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.md5("content").alias("md5"))
     wanted = manifest.select("name", F.col("length").alias("expected_length"), F.col("md5").alias("expected_md5"))
     joined = named.join(wanted, "name", "full_outer")
     same_size = F.col("length") == F.col("expected_length")
-    digest = F.when(same_size, F.md5("content"))
     status = (
         F.when(F.col("length").isNull(), "missing")
         .when(F.col("expected_length").isNull(), "unlisted")
         .when(~same_size, "size differs")
-        .when(digest == F.col("expected_md5"), "match")
+        .when(F.col("md5") == F.col("expected_md5"), "match")
         .otherwise("digest differs")
     )
     return joined.select("name", "length", "expected_length", status.alias("status"))

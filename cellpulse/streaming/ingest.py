@@ -34,9 +34,12 @@ def day_cells(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def store_cells(cells: DataFrame, target: str) -> None:
+def store_cells(cells: DataFrame, target: str, parts_per_file: int = 1) -> None:
+    """Replace the partitions of the source files in ``cells``; each is written by ``parts_per_file`` tasks."""
+    part = F.pmod(F.xxhash64("area"), F.lit(parts_per_file))
     (
-        cells.write.mode("overwrite")
+        cells.repartition("date", "file_key", part)
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy("date", "file_key")
