@@ -1,5 +1,5 @@
 """Panel analytics for dense spatio-temporal activity data, expressed as Spark DataFrame operators."""
 
-from cellpulse.settings import MILAN_2013, PanelSpec, SplitRange
+from cellpulse.settings import CITY_2013, PanelSpec, SplitRange
 
-__all__ = ["MILAN_2013", "PanelSpec", "SplitRange"]
+__all__ = ["CITY_2013", "PanelSpec", "SplitRange"]

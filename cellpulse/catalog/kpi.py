@@ -70,7 +70,7 @@ def fact_gain(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.fact_gain_over_persistence(split_scores(spark, sf, "test")), 6)
 
 
-@query("fact_models_beating", f"WITH {MEANS} SELECT CAST(count(*) FILTER (WHERE model <> 'persistence' AND m < base) AS INTEGER) AS models_beating_persistence FROM me, ba")
+@query("fact_models_beating", f"WITH {MEANS} SELECT CAST(count(*) FILTER (WHERE model <> 'persistence' AND round(m, 9) < round(base, 9)) AS INTEGER) AS models_beating_persistence FROM me, ba")
 def fact_beating(spark: SparkSession, sf: str) -> DataFrame:
     return K.fact_models_beating(split_scores(spark, sf, "test"))
 
@@ -89,7 +89,7 @@ def fact_stress_ratio(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(K.fact_stress_ratio(stress_scores(spark, sf)), 8)
 
 
-@query("fact_persistence_wins", f"WITH {STRESS} SELECT count(*) AS areas_persistence_wins FROM b WHERE base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.area = b.area AND t.mase < b.base)")
+@query("fact_persistence_wins", f"WITH {STRESS} SELECT count(*) AS areas_persistence_wins FROM b WHERE base IS NOT NULL AND NOT EXISTS (SELECT 1 FROM t WHERE t.area = b.area AND round(t.mase, 9) < round(b.base, 9))")
 def fact_persistence_wins(spark: SparkSession, sf: str) -> DataFrame:
     return K.fact_persistence_wins(stress_scores(spark, sf))
 
@@ -159,11 +159,14 @@ def sweep_spread(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "ablation_delta",
     f"WITH {LOG}, m AS (SELECT model, avg(valid_mae) FILTER (WHERE stage = 'test') AS w, avg(valid_mae) FILTER (WHERE stage <> 'test') AS o FROM log GROUP BY 1) "
-    "SELECT model, round(w, 7) AS with_it, round(o, 7) AS without_it, round(o - w, 7) + 0.0 AS delta, round((o - w) / w, 7) + 0.0 AS delta_share FROM m",
+    "SELECT model, round(w + 1e-10, 7) AS with_it, round(o + 1e-10, 7) AS without_it, round(o - w, 7) + 0.0 AS delta, round((o - w) / w, 7) + 0.0 AS delta_share FROM m",
 )
 def ablation_delta(spark: SparkSession, sf: str) -> DataFrame:
     log = experiment_log(spark, sf).withColumn("flag", F.col("stage") == "test")
-    return rounded(K.ablation_delta(log, "flag"), 7)
+    out = K.ablation_delta(log, "flag")
+    for name in ("with_it", "without_it"):
+        out = out.withColumn(name, F.col(name) + F.lit(1e-10))  # off the exact halves between two roundings
+    return rounded(out, 7)
 
 
 @query("append_log", f"WITH {LOG} SELECT model, CAST(area AS BIGINT) AS area, stage, 2 * count(*) AS n, min(valid_mae IS NOT NULL) AS scored FROM log GROUP BY 1, 2, 3")

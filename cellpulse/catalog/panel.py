@@ -230,7 +230,7 @@ def cell_totals(spark: SparkSession, sf: str) -> DataFrame:
     f"{RUNS_SQL} SELECT 4320::BIGINT AS n_timestamps, 1::BIGINT AS n_areas, TIMESTAMP '2024-01-01' AS first_utc, TIMESTAMP '2024-01-30 23:50:00' AS last_utc, "
     "TIMESTAMP '2024-01-01' AS first_local, TIMESTAMP '2024-01-30 23:50:00' AS last_local, (SELECT round(sum(value), 4) FROM ten) AS total, "
     "(SELECT count(*) FROM miss) AS n_null, (SELECT count(*) FROM miss) AS n_missing_steps, "
-    "(SELECT string_agg(strftime(TIMESTAMP '2024-01-01' + to_minutes(10 * t_index), '%Y-%m-%d %H:%M:%S'), ',' ORDER BY t_index) FROM miss) AS missing_utc, 0::BIGINT AS n_absent",
+    "coalesce((SELECT string_agg(strftime(TIMESTAMP '2024-01-01' + to_minutes(10 * t_index), '%Y-%m-%d %H:%M:%S'), ',' ORDER BY t_index) FROM miss), '') AS missing_utc, 0::BIGINT AS n_absent",
 )
 def panel_report(spark: SparkSession, sf: str) -> DataFrame:
     rollup, spec = T.events_total_10min(spark, sf)

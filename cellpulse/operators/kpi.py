@@ -71,7 +71,8 @@ def fact_models(scores: DataFrame, reference: str = "persistence") -> DataFrame:
     base = F.max(F.when(F.col("model") == reference, F.col("mase_mean")))
     best = F.min_by(F.struct("model", "mase_mean"), F.struct(F.round("mase_mean", 9), "model"))
     one = means.filter("mase_mean is not null").agg(best.alias("b"), base.alias("base"), F.collect_list(F.struct("model", "mase_mean")).alias("all"))
-    beating = F.size(F.filter("all", lambda m: (m["model"] != reference) & (m["mase_mean"] < F.col("base"))))
+    below = lambda m: F.round(m["mase_mean"], 9) < F.round("base", 9)
+    beating = F.size(F.filter("all", lambda m: (m["model"] != reference) & below(m)))
     return one.select(
         F.col("b.model").alias("best_model"),
         F.col("b.mase_mean").alias("best_mase"),
@@ -104,9 +105,9 @@ def fact_stress_ratio(scores: DataFrame, reference: str = "persistence") -> Data
 
 
 def fact_persistence_wins(scores: DataFrame, reference: str = "persistence") -> DataFrame:
-    """Areas on which no fitted model is below the reference."""
+    """Areas on which no fitted model is below the reference; equal to nine digits is not below."""
     base = scores.filter((F.col("model") == reference) & F.col("mase").isNotNull()).select("area")
-    beaten = _against(scores, reference).filter(F.col("mase") < F.col("base")).select("area").distinct()
+    beaten = _against(scores, reference).filter(F.round("mase", 9) < F.round("base", 9)).select("area").distinct()
     return base.join(beaten, "area", "left_anti").agg(F.count(F.lit(1)).alias("areas_persistence_wins"))
 
 

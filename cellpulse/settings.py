@@ -147,7 +147,7 @@ def _as_date(value: Any) -> dt.date:
 
 
 # The published study period, its splits and feature lags.
-MILAN_HOLIDAYS: tuple[tuple[dt.date, str, str, str], ...] = (
+CITY_HOLIDAYS: tuple[tuple[dt.date, str, str, str], ...] = (
     (dt.date(2013, 11, 1), "Ognissanti (All Saints)", "national", ""),
     (dt.date(2013, 12, 7), "Sant'Ambrogio", "milan", ""),
     (dt.date(2013, 12, 8), "Immacolata Concezione", "national", ""),
@@ -158,7 +158,7 @@ MILAN_HOLIDAYS: tuple[tuple[dt.date, str, str, str], ...] = (
     (dt.date(2014, 1, 1), "Capodanno (New Year's Day)", "national", ""),
 )
 
-MILAN_2013 = PanelSpec(
+CITY_2013 = PanelSpec(
     start=dt.date(2013, 11, 1),
     end=dt.date(2014, 1, 1),
     step_seconds=600,
@@ -175,5 +175,5 @@ MILAN_2013 = PanelSpec(
     fixed_areas=(4159, 4556),
     lags=(1, 2, 3, 6, 12, 144, 145, 288, 1008),
     rolling=(6, 36, 144),
-    holidays=MILAN_HOLIDAYS,
+    holidays=CITY_HOLIDAYS,
 )
