@@ -59,7 +59,7 @@ def file_date(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "events").select("event_id", R.file_date(name).alias("date"))
 
 
-@query("list_day_files")
+@query("list_day_files", "SELECT CAST(ts AS DATE) AS date, 1::BIGINT AS n_files FROM events GROUP BY 1")
 def list_day_files(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "cdr")
     write_day_files(spark, sf, path)

@@ -122,8 +122,3 @@ def fourier_columns(t_index: Column | str, periods: dict[int, int]) -> dict[str,
             out[f"sin_{period}_{k}"] = F.sin(phase * k)
             out[f"cos_{period}_{k}"] = F.cos(phase * k)
     return out
-
-
-def positive_zero(c: Column) -> Column:
-    return c + F.lit(0.0)
-

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.operators.quality import PanelError
-from cellpulse.plans.series import chunk_size, over_series, spread, with_halo
+from cellpulse.plans.series import over_series, spread, with_halo
 from cellpulse.settings import PanelSpec
 
 
@@ -221,15 +221,11 @@ def seasonal_decompose(panel: DataFrame, spec: PanelSpec, periods: Sequence[int]
         raise PanelError(f"{spec.n_steps} steps are less than two cycles of {longest}")
     reach = longest // 2
 
-    def build(w):
-        # prefix sums make a long frame cheap: two look-ups instead of ``longest`` additions per row
-        prefix = w.rowsBetween(Window.unboundedPreceding, 0)
-        return {"_sum": F.sum(value).over(prefix), "_cnt": F.count(value).over(prefix)}
-
-    size = chunk_size(reach + 1, reach)
-    parts = with_halo(panel, reach + 1, reach, chunk=size)
+    parts = with_halo(panel, reach + 1, reach)
     w = Window.partitionBy("area", "_chunk").orderBy("t_index")
-    prefixed = parts.select("*", *[c.alias(n) for n, c in build(w).items()])
+    # prefix sums make a long frame cheap: two look-ups instead of ``longest`` additions per row
+    prefix = w.rowsBetween(Window.unboundedPreceding, 0)
+    prefixed = parts.withColumn("_sum", F.sum(value).over(prefix)).withColumn("_cnt", F.count(value).over(prefix))
     edge = F.struct(F.col("_sum").alias("s"), F.col("_cnt").alias("c"))
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # only the end of the series has no row ``reach`` steps ahead; there the frame stops at its last row
