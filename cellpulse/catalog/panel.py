@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.catalog.registry import AREAS, HOUR, OBS, PANEL, SPLIT, TEN, query, r, rounded
+from cellpulse.catalog.registry import AREAS, OBS, PANEL, SPLIT, TEN, query, r, rounded
 from cellpulse.functions import exprs as X
 from cellpulse.operators import panel as P
 from cellpulse.operators import quality as Q

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from cellpulse.catalog.features import labelled
 from cellpulse.catalog.panel import LOG_SQL, run_log
-from cellpulse.catalog.distribution import CELLS, LAT0, LON0, STEP, supplier_positions
+from cellpulse.catalog.distribution import CELLS, STEP, supplier_positions
 from cellpulse.catalog.registry import HOUR, PANEL, PREDICTIONS, query, rounded
+from cellpulse.functions import exprs as X
 from cellpulse.operators import forecast as FC
 from cellpulse.operators import spatial as S
 from cellpulse.plans.storage import scratch_path
@@ -21,7 +22,7 @@ from cellpulse.streaming import ingest as ING
 def write_day_files(spark: SparkSession, sf: str, path: str) -> None:
     """The events as headerless tab-separated day files; purchases have an empty activity field."""
     raw = T.events_raw(spark, sf)
-    day = F.to_date(F.timestamp_seconds(F.floor(F.col("time_ms") / 1000)))
+    day = X.local_day(X.from_epoch_seconds(F.floor(F.col("time_ms") / 1000)))
     empty = F.lit(None).cast("double")
     (
         raw.select(

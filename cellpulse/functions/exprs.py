@@ -33,8 +33,14 @@ def ntz(moment: dt.datetime) -> Column:
 
 
 def epoch_seconds(ts: Column | str) -> Column:
-    """Whole seconds since 1970 of a zone-free timestamp, whatever the session zone is."""
-    return F.timestamp_diff("SECOND", ntz(dt.datetime(1970, 1, 1)), col(ts))
+    """Whole seconds since 1970 of a zone-free timestamp, whatever the session zone is.
+
+    Built from its date and time fields: a timestamp difference would go through the session zone and
+    lose the hour that zone skips in spring.
+    """
+    c = col(ts)
+    days = F.unix_date(F.to_date(c)).cast("long")
+    return days * 86_400 + F.hour(c) * 3_600 + F.minute(c) * 60 + F.second(c)
 
 
 def from_epoch_seconds(seconds: Column) -> Column:

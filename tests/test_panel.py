@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellpulse.functions import exprs as X
 from cellpulse.operators import panel as P
 from cellpulse.operators import quality as Q
 from cellpulse.settings import PanelSpec, SplitRange
@@ -264,6 +265,10 @@ def test_to_local_does_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", "America/New_York")
         row = P.time_index(SPEC, spark).filter("t_index = 0").select(F.col("utc").cast("string"), F.col("local").cast("string")).first()
         assert tuple(row) == ("2013-10-31 23:00:00", "2013-11-01 00:00:00")
+        # 02:30 does not exist in this zone on that day, but it does in a zone-free timestamp
+        spark.conf.set("spark.sql.session.timeZone", "Europe/Rome")
+        gap = spark.range(1).select(X.epoch_seconds(X.ntz(dt.datetime(2024, 3, 31, 2, 30))))
+        assert gap.first()[0] == 1711852200
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 
