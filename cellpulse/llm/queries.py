@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpulse.llm import exact_dedup
+from cellpulse.llm import exact_dedup, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,8 +25,13 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
