@@ -7,10 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpulse.llm import exact_dedup, packing, simhash
+from cellpulse.llm import exact_dedup, packing, pii, quality, simhash
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
+# a real corpus gets a secret key of its own
+PII_KEY = b"key of the test tables"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -28,17 +31,27 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM n WINDOW w AS (PARTITION BY t)
 """
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE, capacity=1024, end_id=2)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_pii": op4_pii,
     "op10_simhash": op10_simhash,
 }
 
