@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpulse.llm import exact_dedup, packing, pii, quality, simhash
+from cellpulse.llm import exact_dedup, packing, pii, quality, secret_scan, simhash
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,6 +43,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op8_secrets": op8_secrets,
     "op10_simhash": op10_simhash,
 }
 
