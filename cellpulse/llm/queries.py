@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cellpulse.llm import exact_dedup, packing, pii, quality, secret_scan, simhash
+from cellpulse.llm import exact_dedup, packing, pii, quality, secret_scan, simhash, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -47,6 +47,66 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+# The rules of the test
+URL_RULES: tuple[url_filter.Rule, ...] = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def _op9_sql() -> str:
+    """The same propagation, one CTE for each round."""
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    lower = lambda x: f"translate({x}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+    link = url_filter.LINK.replace("'", "''")
+    d = url_filter.DAMPING
+    rounds = "".join(
+        f"""s{r} AS (SELECT kind, host, sum(mass) AS mass FROM (
+            SELECT f.kind, f.target AS host, s.mass * f.share * {d} AS mass FROM s{r - 1} s JOIN flows f ON f.kind = s.kind AND f.source = s.host
+            UNION ALL SELECT kind, host, mass * (1 - {d}) FROM s0) GROUP BY ALL),
+        """
+        for r in range(1, url_filter.ROUNDS + 1)
+    )
+    return f"""
+    WITH rules(h, p, v) AS (VALUES {rules}),
+    known AS MATERIALIZED (SELECT row_number() OVER () AS k, page_id, html, {lower(f"regexp_extract(coalesce(url, ''), '{url_filter.URL}', 1)")} AS host,
+        regexp_extract(coalesce(url, ''), '{url_filter.URL}', 2) AS path FROM pages),
+    fit AS (SELECT k, max_by(h || p, length(h || p)) AS rule, max_by(v, length(h || p)) AS v FROM known JOIN rules
+        ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
+    ruled AS MATERIALIZED (SELECT known.*, rule, v FROM known LEFT JOIN fit USING (k)),
+    seeds AS (SELECT host, avg((v IS NOT DISTINCT FROM 'allow')::INT) AS trust, avg((v IS NOT DISTINCT FROM 'block')::INT) AS distrust FROM ruled WHERE host <> '' GROUP BY host),
+    linked AS (SELECT source, target, count(*) AS weight FROM (
+        SELECT DISTINCT k, host AS source, {lower("x")} AS target FROM (SELECT k, host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS x FROM known)) GROUP BY ALL),
+    hosts AS (SELECT host FROM known UNION SELECT target FROM linked),
+    labels AS (SELECT string_split(host, '.') AS l FROM hosts),
+    cuts AS (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM labels WHERE len(l) > 2),
+    bonds AS (SELECT DISTINCT array_to_string(l[i:], '.') AS child, array_to_string(l[i + 1:], '.') AS parent FROM cuts),
+    edges AS MATERIALIZED (SELECT source, target, sum(weight) AS weight FROM (
+        SELECT * FROM linked UNION ALL SELECT child, parent, 1 FROM bonds UNION ALL SELECT parent, child, 1 FROM bonds)
+        WHERE source <> target AND source <> '' AND target <> '' GROUP BY ALL),
+    nodes AS (SELECT source AS host FROM edges UNION SELECT target FROM edges UNION SELECT host FROM seeds),
+    kinds AS (SELECT 'trust' AS kind, * FROM edges UNION ALL SELECT 'distrust', target, source, weight FROM edges),
+    shares AS (SELECT kind, source, target, weight / sum(weight) OVER (PARTITION BY kind, source) AS share FROM kinds),
+    flows AS MATERIALIZED (SELECT * FROM shares UNION ALL SELECT kind, host, host, 1.0 FROM nodes CROSS JOIN (VALUES ('trust'), ('distrust')) t(kind)
+        WHERE NOT EXISTS (SELECT 1 FROM shares s WHERE s.kind = t.kind AND s.source = host)),
+    s0 AS MATERIALIZED (SELECT 'trust' AS kind, host, trust / sum(trust) OVER () AS mass FROM seeds WHERE trust > 0
+        UNION ALL SELECT 'distrust', host, distrust / sum(distrust) OVER () FROM seeds WHERE distrust > 0),
+    {rounds}
+    verdicts AS (SELECT host, round((coalesce(sum(mass) FILTER (kind = 'distrust'), 0) - coalesce(sum(mass) FILTER (kind = 'trust'), 0)) * (SELECT count(*) FROM nodes), 6) AS suspicion
+        FROM nodes LEFT JOIN s{url_filter.ROUNDS} USING (host) GROUP BY host)
+    SELECT page_id, host, path, rule, coalesce(v, CASE WHEN coalesce(suspicion, 0) > {url_filter.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict,
+        CASE WHEN rule IS NULL THEN suspicion END AS suspicion
+    FROM ruled LEFT JOIN verdicts USING (host)
+    """
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
@@ -57,9 +117,11 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op8_secrets": op8_secrets,
+    "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
+    "op9_url_filter": _op9_sql(),
 }
