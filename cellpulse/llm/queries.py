@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellpulse.llm import exact_dedup, packing, pii, quality, secret_scan, simhash, url_filter
+from cellpulse.llm import ann, exact_dedup, packing, pii, quality, secret_scan, simhash, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,6 +44,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -116,6 +121,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op6_neighbours": op6_neighbours,
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
