@@ -29,7 +29,7 @@ SAMPLE = 4_096
 PART_ROWS = 400
 MAX_PARTS = 64
 NEIGHBOURS = 12
-TARGET_RECALL = 0.95
+TARGET_RECALL = 0.97
 BLOCK = 8_192
 QUERY_BLOCK = 4_096
 
