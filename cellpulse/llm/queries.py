@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import ann, exact_dedup, packing, pii, quality, secret_scan, simhash, url_filter
+from cellpulse.llm import ann, exact_dedup, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -48,6 +48,10 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, rule="start")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -122,6 +126,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
     "op6_neighbours": op6_neighbours,
+    "op7_token_counts": op7_token_counts,
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
