@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import ann, exact_dedup, packing, pii, quality, secret_scan, simhash, token_counts, url_filter
+from cellpulse.llm import ann, exact_dedup, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 # a real corpus gets a secret key of its own
 PII_KEY = b"key of the test tables"
@@ -44,6 +45,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"), PII_KEY)
 
 
+def op5_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = sampled_pieces.sampled(table(spark, sf_dir, "conversations"), PIECES, ["conv_id", "turn"], k=4, theta=1.0)
+    return drawn.withColumn("n_pieces", F.size("ids"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -125,6 +131,7 @@ QUERIES: dict[str, Query] = {
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_pii": op4_pii,
+    "op5_sampled_pieces": op5_sampled_pieces,
     "op6_neighbours": op6_neighbours,
     "op7_token_counts": op7_token_counts,
     "op8_secrets": op8_secrets,
