@@ -1,7 +1,7 @@
 """Secrets in texts, by rules and by character Markov models, in DataFrame functions only.
 
-The rules find assignments to telling names, access keys and long hexadecimal runs. Besides them, any long run of key characters is
-a candidate: two first-order Markov models of characters, one of random strings and one of ordinary identifiers, are
+The rules find assignments to telling names, access keys and long hexadecimal runs. Besides them, any long run of key characters with a letter
+among them is a candidate: two first-order Markov models of characters, one of random strings and one of ordinary identifiers, are
 compared by the logarithm of their likelihood ratio, and a run that is far likelier random is a secret too. The models are trained
 from labelled samples. Where none are given, what the rules found is labelled random and the remaining words of a
 bounded number of documents are labelled ordinary. A model is a table of a few thousand numbers, whatever the input.
@@ -37,7 +37,7 @@ MAX_RANDOM = 20_000
 MAX_DOCUMENTS = 1_000
 UNIFORM_SHARE = 0.3
 SMOOTHING = 0.1
-MARGIN = 12.0
+MARGIN = 4.0
 
 
 def _spans(text: Column, pattern: str, kind: int, least: int) -> Column:
@@ -70,7 +70,7 @@ def hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         _spans(F.col("text"), CANDIDATE, len(RULES), 16).alias("runs"),
     )
     touches = lambda run: F.exists("base", lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
-    return found.select("doc_id", "base", F.filter("runs", lambda r: ~touches(r)).alias("runs"))
+    return found.select("doc_id", "base", F.filter("runs", lambda r: r["value"].rlike("[A-Za-z]") & ~touches(r)).alias("runs"))
 
 
 def samples_by_rule(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
