@@ -161,9 +161,9 @@ def test_rule_spans(spark):
 def test_markov_models_tell_random_from_ordinary(spark):
     rng = random.Random(2)
     ordinary = ["internationalization", "get_user_account_name", "characteristics", "some-longer-identifier", "documentation_of_things", "responsibilities"]
-    random_ = ["".join(rng.choice(secret_scan.KEY_CHARACTERS[:62]) for _ in range(24)) for _ in range(200)]
-    samples = spark.createDataFrame([(w, False) for w in ordinary * 30] + [(w, True) for w in random_[:100]], "value string, random boolean")
-    docs = documents(spark, [(k, f"see {w} here") for k, w in enumerate(random_[100:])] + [(1_000 + k, f"see {w} here") for k, w in enumerate(ordinary)])
+    random_ = ["".join(rng.choice(secret_scan.KEY_CHARACTERS[:62]) for _ in range(24)) for _ in range(2_100)]
+    samples = spark.createDataFrame([(w, False) for w in ordinary * 30] + [(w, True) for w in random_[:2_000]], "value string, random boolean")
+    docs = documents(spark, [(k, f"see {w} here") for k, w in enumerate(random_[2_000:])] + [(1_000 + k, f"see {w} here") for k, w in enumerate(ordinary)])
     rows = secret_scan.digest(secret_scan.scan(docs, samples=samples)).collect()
     assert not any(r.spans for r in rows if r.doc_id >= 1_000)
     assert np.mean([r.spans == "markov:4:28" for r in rows if r.doc_id < 1_000]) > 0.95
