@@ -64,7 +64,13 @@ def check_non_negative(totals: DataFrame, value: str = "total") -> None:
 def _gini(value: str) -> Column:
     weight = 2 * F.col("position") - F.col("n_rows") - 1
     share = X.safe_div(F.sum(weight * F.col(value)), F.max("n_rows") * F.max("grand_total"))
-    return F.coalesce(share, F.lit(0.0)).alias("gini")
+    return _refuse_negative(F.coalesce(share, F.lit(0.0)), value).alias("gini")
+
+
+def _refuse_negative(result: Column, value: str) -> Column:
+    """Concentration of values below zero has no meaning; the query fails instead of answering."""
+    told = F.raise_error(F.lit(f"{value} holds negative values; concentration is undefined"))
+    return F.when(F.min(value) < 0, told).otherwise(result)
 
 
 def gini(ordered: DataFrame, value: str = "total") -> DataFrame:
@@ -78,7 +84,8 @@ def _top_count(fraction: float) -> Column:
 
 
 def _share(inside: Column, value: str) -> Column:
-    return X.safe_div(F.sum(F.when(inside, F.col(value)).otherwise(0.0)), F.max("grand_total"))
+    share = X.safe_div(F.sum(F.when(inside, F.col(value)).otherwise(0.0)), F.max("grand_total"))
+    return _refuse_negative(share, value)
 
 
 def _top_shares(fractions: Sequence[float], value: str) -> list[Column]:

@@ -49,11 +49,25 @@ def fit_rows(labelled: DataFrame, names: Sequence[str] = ("train", "validation")
 
 
 def scaler_fit(train: DataFrame, value: str = "value") -> DataFrame:
-    """Mean and population standard deviation of log1p per area; give it the train rows only."""
-    logged = F.log1p(value)
-    return train.groupBy("area").agg(
-        F.avg(logged).alias("log_mean"), F.stddev_pop(logged).alias("log_std"), F.count(value).alias("n_fitted")
-    )
+    """Mean and population standard deviation of log1p per area; give it the train rows only.
+
+    An area without data, with a negative value or with a constant series cannot be scaled and fails the query;
+    ``scaler_violations`` lists such areas beforehand.
+    """
+    logged = F.log1p(F.when(F.col(value) < 0, F.raise_error(_told("area %s holds a negative value"))).otherwise(F.col(value)))
+    flat = F.count(value).isin(0) | (F.min(value) == F.max(value))
+    std = F.when(flat, F.raise_error(_told("area %s is empty or constant and cannot be scaled"))).otherwise(F.stddev_pop(logged))
+    return train.groupBy("area").agg(F.avg(logged).alias("log_mean"), std.alias("log_std"), F.count(value).alias("n_fitted"))
+
+
+def _told(text: str) -> Column:
+    return F.format_string(text, F.col("area").cast("string"))
+
+
+def _with_stats(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Statistics beside each row; a row of an area that has none fails the query rather than vanish."""
+    known = rows.join(stats, "area", "left")
+    return known.withColumn("log_std", F.coalesce("log_std", F.raise_error(_told("area %s has no scaling statistics"))))
 
 
 def scaler_violations(train: DataFrame, value: str = "value") -> DataFrame:
@@ -70,13 +84,13 @@ def scaler_violations(train: DataFrame, value: str = "value") -> DataFrame:
 def scaler_transform(rows: DataFrame, stats: DataFrame, value: str = "value", out: str = "scaled") -> DataFrame:
     """(log1p(x) - mean) / std per area. The join side is one row per area; Catalyst sizes it."""
     z = X.safe_div(F.log1p(value) - F.col("log_mean"), F.col("log_std"))
-    return rows.join(stats, "area").withColumn(out, z).drop("log_mean", "log_std", "n_fitted")
+    return _with_stats(rows, stats).withColumn(out, z).drop("log_mean", "log_std", "n_fitted")
 
 
 def scaler_inverse(rows: DataFrame, stats: DataFrame, scaled: str = "scaled", out: str = "value") -> DataFrame:
     """max(0, expm1(z std + mean))."""
     back = F.greatest(F.lit(0.0), F.expm1(F.col(scaled) * F.col("log_std") + F.col("log_mean")))
-    return rows.join(stats, "area").withColumn(out, back).drop("log_mean", "log_std", "n_fitted")
+    return _with_stats(rows, stats).withColumn(out, back).drop("log_mean", "log_std", "n_fitted")
 
 
 # --- features ------------------------------------------------------------------------------------
@@ -92,12 +106,16 @@ def lag_columns(w, lags: Sequence[int], value: str = "value") -> dict[str, Colum
 
 
 def rolling_columns(w, windows: Sequence[int], value: str = "value") -> dict[str, Column]:
-    """Mean and population standard deviation of the values before t, never t itself."""
+    """Mean and population standard deviation of the ``n`` values before t, never t itself.
+
+    A NULL among them makes both NULL, as a lag would be. Short history at the start of a series is used as far as it goes.
+    """
     out: dict[str, Column] = {}
     for n in windows:
         frame = w.rowsBetween(-n, -1)
-        out[f"roll_mean_{n}"] = F.avg(value).over(frame)
-        out[f"roll_std_{n}"] = F.stddev_pop(value).over(frame)
+        whole = F.count(value).over(frame) == F.count(F.lit(1)).over(frame)
+        out[f"roll_mean_{n}"] = F.when(whole, F.avg(value).over(frame))
+        out[f"roll_std_{n}"] = F.when(whole, F.stddev_pop(value).over(frame))
     return out
 
 
@@ -132,12 +150,20 @@ def design_matrix(panel: DataFrame, spec: PanelSpec, value: str = "value", calen
 
 
 def assembled(design: DataFrame, names: Sequence[str], out: str = "features") -> DataFrame:
-    """Feature columns as one ML vector."""
-    return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="skip").transform(design)
+    """Feature columns as one ML vector. ``complete`` tells rows without any NULL among them; no row is dropped."""
+    whole = F.lit(True)
+    for name in names:
+        whole = whole & F.col(name).isNotNull()
+    return VectorAssembler(inputCols=list(names), outputCol=out, handleInvalid="keep").transform(design.withColumn("complete", whole))
+
 
+def sliding_windows(
+    panel: DataFrame, length: int, horizon: int = 1, value: str = "value", keep_short: bool = False
+) -> DataFrame:
+    """The ``length`` values that end ``horizon`` steps before each target, as an array.
 
-def sliding_windows(panel: DataFrame, length: int, horizon: int = 1, value: str = "value") -> DataFrame:
-    """The ``length`` values that end ``horizon`` steps before each target, as an array."""
+    Targets with less history, or with a NULL in it, are left out; with ``keep_short`` they stay, with a NULL window.
+    """
     if length < 1 or horizon < 1:
         raise PanelError("window length and horizon must be at least 1")
     reach = length + horizon - 1
@@ -145,7 +171,10 @@ def sliding_windows(panel: DataFrame, length: int, horizon: int = 1, value: str
     def build(w):
         return {"window": F.collect_list(value).over(w.rowsBetween(-reach, -horizon))}
 
-    return over_series(panel, build, before=reach).filter(F.size("window") == length)
+    rows = over_series(panel, build, before=reach)
+    if keep_short:
+        return rows.withColumn("window", F.when(F.size("window") == length, F.col("window")))
+    return rows.filter(F.size("window") == length)
 
 
 def window_exog(windows: DataFrame, names: Sequence[str]) -> DataFrame:

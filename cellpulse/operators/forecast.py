@@ -8,6 +8,7 @@ history, so only rows beyond the forecaster's reach are left out beforehand.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -64,7 +65,13 @@ def with_reach(labelled: DataFrame, spec: PanelSpec, splits: Sequence[str], reac
     parts = [spec.split(name) for name in splits]
     first = min((p.start - spec.start).days for p in parts) * spec.daily
     last = (max((p.end - spec.start).days for p in parts) + 1) * spec.daily
-    return labelled.filter(F.col("t_index").between(first - spec.daily - reach, last + spec.daily))
+    first, last = first - spec.daily - reach, last + spec.daily
+    rows = labelled.filter(F.col("t_index").between(first, last))
+    if "date" not in labelled.columns:
+        return rows
+    # the same range in whole days, wider by one for the zone: a stored panel is then read for these dates only
+    days = (spec.start + dt.timedelta(days=first // spec.daily - 1), spec.start + dt.timedelta(days=last // spec.daily + 1))
+    return rows.filter(F.col("date").between(F.lit(days[0]), F.lit(days[1])))
 
 
 def walk_forward(
@@ -73,17 +80,20 @@ def walk_forward(
     """Forecasts of one split, each made from the true values before it.
 
     The panel is cut to the split plus the forecaster's ``reach``, not to the split itself. Pooled
-    models also need the train rows they were scaled on, so they see the whole panel.
+    models also need the train rows they were scaled on, so they see the whole panel. Every step of the split
+    has its row, with a NULL where no forecast was possible, and ``persistence`` beside it for the diagnostics.
     """
-    rows = labelled if getattr(forecaster, "pooled", False) else with_reach(labelled, spec, [split], forecaster.reach)
+    rows = labelled if getattr(forecaster, "pooled", False) else with_reach(labelled, spec, [split], max(1, forecaster.reach))
+    rows = over_series(rows, lambda w: {"persistence": F.lag("value", 1).over(w)}, before=1)
     return forecaster.predict(rows, model).filter(F.col("split") == split).select(
         "area",
         "split",
         F.lit(forecaster.name).alias("model"),
-        F.lit(0).alias("seed"),
+        F.lit(getattr(forecaster, "seed", 0)).alias("seed"),
         "t_index",
         "local",
         F.col("value").alias("observed"),
+        "persistence",
         "predicted",
     )
 

@@ -157,13 +157,20 @@ class Harmonic:
 
 
 def _scaled_rows(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every step, with the scaled value beside it; a NULL stays in its place, so that lags keep their distance."""
     stats = FE.scaler_fit(labelled.filter("split = 'train'"))
-    rows = FE.scaler_transform(labelled, stats).filter("scaled is not null")
-    return rows.select("area", "t_index", "local", "split", "value", "scaled"), stats
+    return FE.scaler_transform(labelled, stats), stats
 
 
-def _to_units(rows: DataFrame, stats: DataFrame) -> DataFrame:
-    return FE.scaler_inverse(rows, stats, scaled="prediction", out="predicted").drop("prediction")
+def _to_units(scored: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All rows; a target whose history is short or holds a NULL has no forecast."""
+    rows = scored.select(*columns, F.when(F.col("complete"), F.col("prediction")).alias("_prediction"))
+    return FE.scaler_inverse(rows, stats, scaled="_prediction", out="predicted").drop("_prediction")
+
+
+def _learnable(design: DataFrame, splits: Sequence[str]) -> DataFrame:
+    """Rows of the splits that have a target and a whole history."""
+    return design.filter(F.col("split").isin(sorted(splits)) & F.col("complete") & F.col("scaled").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -192,7 +199,7 @@ class BoostedTrees:
 
     def design(self, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows, stats = _scaled_rows(labelled)
-        return FE.design_matrix(rows, self.spec, "scaled", self.calendar), stats
+        return FE.assembled(FE.design_matrix(rows, self.spec, "scaled", self.calendar), self.columns), stats
 
     @property
     def reach(self) -> int:
@@ -201,8 +208,7 @@ class BoostedTrees:
     def fit(self, labelled: DataFrame):
         design, _ = self.design(labelled)
         seen = {*self.fit_on, *(("validation",) if self.early_stop else ())}
-        rows = design.filter(F.col("split").isin(sorted(seen)))
-        vectors = FE.assembled(rows, self.columns).select(
+        vectors = _learnable(design, seen).select(
             "features", F.col("scaled").alias("label"), (~F.col("split").isin(list(self.fit_on))).alias("held_out")
         )
         # every boosting round reads the rows again
@@ -217,11 +223,10 @@ class BoostedTrees:
 
     def predict(self, labelled: DataFrame, model) -> DataFrame:
         design, stats = self.design(labelled)
-        scored = model.transform(FE.assembled(design, self.columns))
-        return _to_units(scored.select("area", "t_index", "local", "split", "value", "prediction"), stats)
+        return _to_units(model.transform(design), stats, labelled.columns)
 
-    def importance(self, spark: SparkSession, model, top: int = 10) -> DataFrame:
-        """Normalised gain per feature, largest first. As many rows as features."""
+    def importance(self, spark: SparkSession, model, top: int | None = None) -> DataFrame:
+        """Normalised gain per feature, largest first: all of them, or the first ``top``."""
         values = model.featureImportances.toArray()
         rows = sorted(zip(self.columns, map(float, values)), key=lambda r: (-r[1], r[0]))[:top]
         return literal_table(spark, rows, ("feature", "importance"), ("string", "double"))
@@ -247,11 +252,13 @@ class WindowRegression:
 
     def design(self, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows, stats = _scaled_rows(labelled)
-        windows = FE.sliding_windows(rows, self.length, value="scaled")
-        inputs = F.col("window")
+        windows = FE.sliding_windows(rows, self.length, value="scaled", keep_short=True)
+        windows = windows.withColumn("complete", F.col("window").isNotNull())
+        # the learner wants numbers; such rows are neither learnt from nor forecast
+        inputs = F.coalesce("window", F.array_repeat(F.lit(0.0), self.length))
         if self.calendar:
             windows = FE.calendar_features(windows, self.spec)
-            inputs = F.concat("window", F.array(*X.calendar_columns("local", [])))
+            inputs = F.concat(inputs, F.array(*X.calendar_columns("local", [])))
         return windows.withColumn("features", array_to_vector(inputs)), stats
 
     @property
@@ -260,14 +267,13 @@ class WindowRegression:
 
     def fit(self, labelled: DataFrame):
         design, _ = self.design(labelled)
-        rows = design.filter(F.col("split").isin(list(self.fit_on))).select("features", F.col("scaled").alias("label"))
+        rows = _learnable(design, self.fit_on).select("features", F.col("scaled").alias("label"))
         # the normal-equation solver reads the rows once
         return LinearRegression(regParam=self.reg, elasticNetParam=self.mix, solver="auto").fit(rows)
 
     def predict(self, labelled: DataFrame, model) -> DataFrame:
         design, stats = self.design(labelled)
-        scored = model.transform(design)
-        return _to_units(scored.select("area", "t_index", "local", "split", "value", "prediction"), stats)
+        return _to_units(model.transform(design), stats, labelled.columns)
 
     def complexity(self, spark: SparkSession, model) -> DataFrame:
         return literal_table(spark, [(self.name, len(model.coefficients) + 1)], ("model", "n_params"), ("string", "long"))
@@ -276,10 +282,6 @@ class WindowRegression:
 # --- tuning and final fits -------------------------------------------------------------------------
 
 
-def with_persistence(labelled: DataFrame) -> DataFrame:
-    return over_series(labelled, lambda w: {"persistence": F.lag("value", 1).over(w)}, before=1)
-
-
 def tune_grid(
     candidates: Sequence[tuple[str, FC.Forecaster]], labelled: DataFrame, spec: PanelSpec, stage: str = "grid"
 ) -> DataFrame:
@@ -294,8 +296,9 @@ def tune_grid(
             F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("valid_mae"),
             F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("observed"), F.lit(2)))).alias("valid_rmse"),
             F.count("predicted").alias("n"),
+            F.count_if(F.col("predicted").isNull() & F.col("observed").isNotNull()).alias("n_without_forecast"),
         )
-        score = score.select(F.lit(stage).alias("stage"), F.lit(label).alias("candidate"), "model", "valid_mae", "valid_rmse", "n")
+        score = score.select(F.lit(stage).alias("stage"), F.lit(label).alias("candidate"), "model", "valid_mae", "valid_rmse", "n", "n_without_forecast")
         table = score if table is None else table.unionByName(score)
     return table.orderBy(F.asc_nulls_last("valid_mae"), "candidate")
 

@@ -70,7 +70,17 @@ def densify(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
     """
     ends = seen_steps(rollup).select("t_index", F.lit(1).cast("long").alias("_lo"), F.lit(spec.n_areas).cast("long").alias("_hi"))
     grid = whole_numbers(ends, "_lo", "_hi", "area")
-    return _filled(grid.select("area", "t_index"), rollup)
+    return _filled(grid.select("area", "t_index"), inside_grid(rollup, spec, steps=False))
+
+
+def inside_grid(rollup: DataFrame, spec: PanelSpec, steps: bool = True) -> DataFrame:
+    """The roll-up itself; a row outside the areas 1..N or the steps of the period fails the query instead of vanishing in a join."""
+    area, step = F.col("area"), F.col("t_index")
+    outside = (area < 1) | (area > spec.n_areas)
+    if steps:
+        outside = outside | (step < 0) | (step >= spec.n_steps)
+    told = F.raise_error(F.format_string("area %s at step %s lies outside the panel", area.cast("string"), step.cast("string")))
+    return rollup.withColumn("t_index", F.when(outside, told).otherwise(step))
 
 
 def full_panel(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -78,7 +88,7 @@ def full_panel(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
 
     The grid is generated by ``spark.range``: no shuffle, no source scan, even partitions.
     """
-    return with_times(_filled(_whole_grid(rollup, spec), rollup), spec)
+    return with_times(_filled(_whole_grid(rollup, spec), inside_grid(rollup, spec)), spec)
 
 
 def _whole_grid(like: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -109,7 +119,8 @@ def time_index(spec: PanelSpec, spark) -> DataFrame:
 
 def stack_days(dense: DataFrame, spec: PanelSpec) -> DataFrame:
     """Place day blocks on the step grid of the period; a step seen in no area stays NULL."""
-    placed = _whole_grid(dense, spec).join(dense.select("area", "t_index", "value"), ["area", "t_index"], "left")
+    known = inside_grid(dense.select("area", "t_index", "value"), spec)
+    placed = _whole_grid(dense, spec).join(known, ["area", "t_index"], "left")
     return with_times(placed, spec)
 
 
@@ -136,30 +147,30 @@ def missing_steps(panel: DataFrame) -> DataFrame:
 def interpolate_gaps(panel: DataFrame, spec: PanelSpec) -> DataFrame:
     """Fill whole-panel gaps of at most ``max_gap`` steps on the line between their neighbours.
 
-    Longer gaps and gaps at either end of the period stay NULL. ``filled`` marks the new values.
+    Only steps that are missing in every area are gaps. Longer gaps, gaps at either end of the period and the NULL
+    of a single area stay NULL; next to such a NULL there is no line either. ``filled`` marks the new values.
     The look-around is ``max_gap`` steps, so the halo form of the window is exact.
     """
     reach = spec.max_gap + 1
+    gaps = missing_steps(panel).withColumn("_gap", F.lit(True))
+    marked = panel.join(gaps, "t_index", "left").withColumn("_gap", F.coalesce("_gap", F.lit(False)))
 
     def build(w):
-        back = w.rowsBetween(-reach, -1)
-        ahead = w.rowsBetween(1, reach)
-        seen_t = F.when(F.col("value").isNotNull(), F.col("t_index"))
+        seen = F.when(~F.col("_gap"), F.struct("t_index", "value"))
         return {
-            "_t0": F.last(seen_t, ignorenulls=True).over(back),
-            "_v0": F.last("value", ignorenulls=True).over(back),
-            "_t1": F.first(seen_t, ignorenulls=True).over(ahead),
-            "_v1": F.first("value", ignorenulls=True).over(ahead),
+            "_before": F.last(seen, ignorenulls=True).over(w.rowsBetween(-reach, -1)),
+            "_after": F.first(seen, ignorenulls=True).over(w.rowsBetween(1, reach)),
         }
 
-    weight = (F.col("t_index") - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
-    fillable = F.col("value").isNull() & ((F.col("_t1") - F.col("_t0") - 1) <= spec.max_gap)
-    line = F.col("_v0") * (F.lit(1.0) - weight) + F.col("_v1") * weight
+    t0, v0, t1, v1 = F.col("_before.t_index"), F.col("_before.value"), F.col("_after.t_index"), F.col("_after.value")
+    weight = (F.col("t_index") - t0) / (t1 - t0)
+    line = v0 * (F.lit(1.0) - weight) + v1 * weight
+    fillable = F.col("_gap") & ((t1 - t0 - 1) <= spec.max_gap) & line.isNotNull()
     return (
-        over_series(panel, build, before=reach, after=reach)
+        over_series(marked, build, before=reach, after=reach)
         .withColumn("filled", F.coalesce(fillable, F.lit(False)))
         .withColumn("value", F.when(F.col("filled"), line).otherwise(F.col("value")))
-        .drop("_t0", "_v0", "_t1", "_v1")
+        .select(*[c for c in panel.columns if c != "filled"], "filled")
     )
 
 
@@ -172,9 +183,10 @@ def cell_totals(panel: DataFrame) -> DataFrame:
 
 
 def date_window(panel: DataFrame, start, days: int) -> DataFrame:
-    """Rows of ``days`` local days from ``start``."""
+    """Rows of ``days`` local days from ``start``; a stored panel is read for these dates only."""
     end = start + dt.timedelta(days=days - 1)
-    return panel.filter(X.local_day("local").between(F.lit(start), F.lit(end)))
+    inside = X.local_day("local").between(F.lit(start), F.lit(end))
+    return panel.filter(inside & F.col("date").between(F.lit(start), F.lit(end)) if "date" in panel.columns else inside)
 
 
 def holiday_flags(panel: DataFrame, spec: PanelSpec, include_observances: bool = True) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.operators.quality import PanelError
-from cellpulse.plans.series import over_series, spread, with_halo
+from cellpulse.plans.series import CHUNK_STEPS, over_series, spread, with_halo
 from cellpulse.settings import PanelSpec
 
 
@@ -158,39 +158,58 @@ def levinson(rho: np.ndarray) -> np.ndarray:
 # --- spectrum ------------------------------------------------------------------------------------
 
 
+def _stride(n: int, limit: int) -> int:
+    """The least divisor of ``n`` that leaves sub-series of at most ``limit`` steps."""
+    return next(m for m in range(1, n + 1) if n % m == 0 and n // m <= limit)
+
+
 def periodogram(panel: DataFrame, spec: PanelSpec, value: str = "value", chunk: int | None = None) -> DataFrame:
     """One-sided density periodogram of every series: ``(area, k, frequency, power)``, k >= 1.
 
-    Each chunk is transformed on the frequencies of the whole series (zero-padded), turned by its
-    start time and summed over chunks, so no task holds more than one chunk of one series. The mean
-    only affects k = 0, which is left out, so it is not removed first.
+    The mean of the known values is taken off first, so a NULL counts as an average value. A series longer than a chunk is
+    transformed in two steps: every m-th value makes a sub-series with a transform of its own, and then, for each of its frequencies,
+    the m results are transformed across. Both steps hand on as many rows as the series is long. A
+    length without a suitable divisor is one group in the second step.
     """
-    n = spec.n_steps
-    half = n // 2
-    parts = with_halo(panel.select("area", "t_index", F.col(value).alias("x")), chunk=chunk)
-    k = np.arange(1, half + 1)
-
-    def transform(group: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("t_index")
-        t = column(rows, "t_index")
-        turn = np.exp(-2j * np.pi * ((k * int(t[0])) % n) / n)
-        f = np.fft.rfft(dense(t, column(rows, "x")), n)[1 : half + 1] * turn
-        return pa.table({**key_columns(("area",), group, half), "k": k.astype(np.int32), "re": f.real, "im": f.imag})
-
-    sums = (
-        spread(parts, "area", "_chunk")
-        .groupBy("area", "_chunk")
-        .applyInArrow(transform, "area long, k int, re double, im double")
-        .groupBy("area", "k")
-        .agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    n, fs = spec.n_steps, spec.samples_per_hour
+    half, m = n // 2, _stride(spec.n_steps, chunk or CHUNK_STEPS)
+    size = n // m
+    block = max(1, (chunk or CHUNK_STEPS) // m)
+    means = panel.groupBy("area").agg(F.avg(value).alias("_mean"))
+    centred = panel.join(means, "area").select(
+        "area", (F.col("t_index") % m).cast("int").alias("r"), X.idiv("t_index", m).alias("s"), (F.col(value) - F.col("_mean")).alias("x")
     )
-    fs = spec.samples_per_hour
+
+    def along(group: tuple, rows: pa.Table) -> pa.Table:
+        at, x = np.zeros(size), column(rows, "x")
+        at[column(rows, "s").astype(np.int64)] = np.nan_to_num(x)
+        k, r = np.arange(size), int(group[1].as_py())
+        f = np.fft.fft(at) * np.exp(-2j * np.pi * ((k * r) % n) / n)
+        return pa.table({**key_columns(("area", "r"), group, size), "k": k.astype(np.int32), "re": f.real, "im": f.imag})
+
+    def across(group: tuple, rows: pa.Table) -> pa.Table:
+        first = int(group[1].as_py()) * block
+        many = min(block, size - first)
+        at = np.zeros((many, m), complex)
+        at[column(rows, "k").astype(np.int64) - first, column(rows, "r").astype(np.int64)] = column(rows, "re") + 1j * column(rows, "im")
+        f = np.fft.fft(at, axis=1)
+        k = np.arange(first, first + many)[:, None] + size * np.arange(m)[None, :]
+        keep = (k >= 1) & (k <= half)
+        return pa.table({**key_columns(("area",), group[:1], int(keep.sum())), "k": k[keep].astype(np.int32), "square": np.abs(f[keep]) ** 2})
+
+    steps = spread(centred, "area", "r").groupBy("area", "r").applyInArrow(along, "area long, r int, k int, re double, im double")
+    if m == 1:
+        squares = steps.filter((F.col("k") >= 1) & (F.col("k") <= half))
+        squares = squares.select("area", "k", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("square"))
+    else:
+        blocks = steps.withColumn("b", X.idiv("k", block).cast("int"))
+        squares = spread(blocks, "area", "b").groupBy("area", "b").applyInArrow(across, "area long, k int, square double")
     doubled = F.when((F.col("k") * 2 == n), F.lit(1.0)).otherwise(F.lit(2.0))
-    return sums.select(
+    return squares.select(
         "area",
         "k",
         (F.col("k") * F.lit(fs / n)).alias("frequency_per_hour"),
-        (doubled * (F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.lit(fs * n)).alias("power"),
+        (doubled * F.col("square") / F.lit(fs * n)).alias("power"),
     )
 
 

@@ -92,7 +92,8 @@ def adf(panel: DataFrame, spec: PanelSpec, value: str = "value", max_lag: int |
     """Augmented Dickey-Fuller with a constant, lag order by AIC.
 
     One Gram matrix of (dy, y(t-1), lagged dy, 1) per area carries every nested lag order. Chunks
-    build partial Gram matrices in parallel; the solve sees a (p + 3) square matrix per area.
+    build partial Gram matrices in parallel; the solve sees a (p + 3) square matrix per area. The highest order
+    that is tried follows from the number of values the area has, unless ``max_lag`` is given.
     """
     n_steps = spec.n_steps
     p = adf_max_lag(n_steps) if max_lag is None else max_lag
@@ -117,6 +118,7 @@ def adf(panel: DataFrame, spec: PanelSpec, value: str = "value", max_lag: int |
                 **key_columns(("area",), group, 1),
                 "gram": pa.array([(z.T @ z).ravel()], type=pa.list_(pa.float64())),
                 "rows": pa.array([len(full)], type=pa.int64()),
+                "length": pa.array([len(at)], type=pa.int64()),
                 "heads": pa.array([heads], type=pa.list_(pa.float64())),
             }
         )
@@ -124,14 +126,17 @@ def adf(panel: DataFrame, spec: PanelSpec, value: str = "value", max_lag: int |
     partial = (
         spread(parts, "area", "_chunk")
         .groupBy("area", "_chunk")
-        .applyInArrow(gram, "area long, gram array<double>, rows long, heads array<double>")
+        .applyInArrow(gram, "area long, gram array<double>, rows long, length long, heads array<double>")
     )
 
     def solve(group: tuple, rows: pa.Table) -> pa.Table:
         width = p + 3
         g = np.sum(np.array(rows.column("gram").to_pylist(), dtype=float), axis=0).reshape(width, width)
         heads = np.array([v for part in rows.column("heads").to_pylist() for v in part], dtype=float).reshape(-1, 3 + p)
-        stat, lags, used = adf_from_gram(g, int(column(rows, "rows").sum()), heads, p)
+        n = int(column(rows, "rows").sum())
+        own = p if max_lag is not None else min(p, adf_max_lag(int(column(rows, "length").sum())))
+        g, n, heads = lower_order(g, n, heads, p, own)
+        stat, lags, used = adf_from_gram(g, n, heads, own)
         return pa.table(
             {
                 **key_columns(("area",), group, 1),
@@ -158,6 +163,17 @@ def _fit(g: np.ndarray, index: Sequence[int]):
     return beta, float(g[0, 0] - b @ beta), inverse
 
 
+def lower_order(g: np.ndarray, n: int, heads: np.ndarray, p: int, own: int) -> tuple[np.ndarray, int, np.ndarray]:
+    """The Gram matrix, row count and head rows as if the highest order had been ``own`` from the start."""
+    kept = [*range(2 + own), p + 2]
+    heads = heads[:, : 3 + own]
+    g, joining = g[np.ix_(kept, kept)].copy(), heads[:, 0] >= own + 1
+    for row in heads[joining]:
+        z = np.concatenate([row[1:], [1.0]])
+        g += np.outer(z, z)
+    return g, n + int(joining.sum()), heads[~joining]
+
+
 def adf_from_gram(g: np.ndarray, n: int, heads: np.ndarray, p: int) -> tuple[float, int, int]:
     """Choose the lag order by AIC on the common sample, then test on the order's own sample."""
     const = p + 2

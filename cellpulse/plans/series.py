@@ -94,13 +94,13 @@ BLOCK = 4_096
 def whole_numbers(bounds: DataFrame, low: str, high: str, name: str) -> DataFrame:
     """Every integer from ``low`` to ``high`` of each row of ``bounds``, spread over all tasks.
 
-    One generator makes blocks, the blocks are shuffled, and a second generator fills them. A single
-    row of bounds therefore does not turn into one task that emits everything.
+    One generator makes blocks, the blocks are shuffled by the row they come from and their number, and a
+    second generator fills them. Neither one long row nor many short ones meet in a single task.
     """
     kept = [c for c in bounds.columns if c != name]
     blocks = bounds.select(*kept, F.explode(F.sequence(idiv(low, BLOCK), idiv(high, BLOCK))).alias("_block"))
     inside = F.sequence(F.greatest(F.col(low), F.col("_block") * BLOCK), F.least(F.col(high), (F.col("_block") + 1) * BLOCK - 1))
-    return spread(blocks, "_block").select(*kept, F.explode(inside).alias(name))
+    return spread(blocks, *kept, "_block").select(*kept, F.explode(inside).alias(name))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
-from cellpulse.operators.quality import demand_empty
+from cellpulse.operators.quality import PanelError, demand_empty
+from cellpulse.plans.storage import durable
 
 # Columns of the experiment log.
 LOG_COLUMNS = (
@@ -29,6 +30,10 @@ LOG_COLUMNS = (
     "git_sha",
     "rationale_for_next_change",
 )
+LOG_NUMBERS = {"area": "long", "seed": "long", "n_params": "long"} | dict.fromkeys(
+    ("train_mae", "valid_mae", "valid_rmse", "valid_mase", "train_wall_s"), "double"
+)
+"""Types of the columns that are not text."""
 
 
 def sink_panel(panel: DataFrame, path: str, files_per_date: int = 1) -> None:
@@ -68,15 +73,19 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet", by: Sequence[str]
 def append_log(records: DataFrame, path: str) -> None:
     """Append experiment rows; nothing is written if any lacks a model or a rationale.
 
-    ``hyperparams`` may be a map or struct column; it is stored as JSON text.
+    ``hyperparams`` may be a map or struct column; it is stored as JSON text. Every append has the same columns with the
+    same types, whichever of them ``records`` lacks; a column that the log does not know is refused.
     """
+    unknown = sorted(set(records.columns) - {*LOG_COLUMNS, "hyperparams"})
+    if unknown:
+        raise PanelError(f"the experiment log has no columns {unknown}")
+    records = durable(records, "log-rows")  # checked and written from one evaluation
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     bad = records.filter(blank(F.col("model")) | blank(F.col("rationale_for_next_change")))
     demand_empty(bad, "experiment rows need a model and a rationale")
     rows = records
     if "hyperparams" in rows.columns:
         rows = rows.withColumn("hyperparams_json", F.to_json("hyperparams")).drop("hyperparams")
-    for name in LOG_COLUMNS:
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast("string"))
-    rows.select(*LOG_COLUMNS).write.mode("append").parquet(path)
+    have = set(rows.columns)
+    typed = [(F.col(c) if c in have else F.lit(None)).cast(LOG_NUMBERS.get(c, "string")).alias(c) for c in LOG_COLUMNS]
+    rows.select(*typed).write.mode("append").parquet(path)
