@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.catalog.registry import AREAS, OBS, PANEL, SPLIT, TEN, query, r, rounded
+from cellpulse.catalog.registry import AREAS, OBS, PANEL, SPLIT, TEN, TENS, query, r, rounded
 from cellpulse.functions import exprs as X
 from cellpulse.operators import panel as P
 from cellpulse.operators import quality as Q
@@ -217,6 +217,54 @@ def null_audit(spark: SparkSession, sf: str) -> DataFrame:
     return Q.null_audit(P.interpolate_gaps(P.stack_days(P.densify(rollup, spec), spec), spec))
 
 
+def ten_areas(spark: SparkSession, sf: str):
+    """Stacked and filled panel of ten cells; every 97th step of cell 3 is lost in that cell only."""
+    rollup, spec = T.events_ten_areas(spark, sf)
+    stacked = P.stack_days(P.densify(rollup, spec), spec)
+    lost = (F.col("area") == 3) & (F.col("t_index") % 97 == 5)
+    stacked = stacked.withColumn("value", F.when(~lost, F.col("value")))
+    return stacked, P.interpolate_gaps(stacked, spec), spec
+
+
+@query(
+    "interpolate_gaps_areas",
+    f"WITH {TENS} SELECT area, t_index, round(coalesce(value, line), 4) AS value, line IS NOT NULL AS filled FROM grid LEFT JOIN fills USING (area, t_index)",
+)
+def interpolate_gaps_areas(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ten_areas(spark, sf)[1].select("area", "t_index", "value", "filled"), 4)
+
+
+@query(
+    "null_audit_areas",
+    f"WITH {TENS} SELECT count(*) FILTER (WHERE value IS NULL AND line IS NULL) AS n_null, count(*) AS n_cells FROM grid LEFT JOIN fills USING (area, t_index)",
+)
+def null_audit_areas(spark: SparkSession, sf: str) -> DataFrame:
+    return Q.null_audit(ten_areas(spark, sf)[1])
+
+
+@query(
+    "panel_report_areas",
+    f"WITH {TENS} SELECT count(DISTINCT t_index) AS n_timestamps, count(DISTINCT area) AS n_areas, round(sum(value), 4) AS total, count(*) FILTER (WHERE value IS NULL) AS n_null, "
+    "(SELECT count(*) FROM miss) AS n_missing_steps, (SELECT count(*) * 10 FROM seen) - (SELECT count(*) FROM obs) AS n_absent FROM grid",
+)
+def panel_report_areas(spark: SparkSession, sf: str) -> DataFrame:
+    stacked, _, spec = ten_areas(spark, sf)
+    report = Q.panel_report(stacked, T.events_ten_areas(spark, sf)[0], spec)
+    return rounded(report.select("n_timestamps", "n_areas", "total", "n_null", "n_missing_steps", "n_absent"), 4)
+
+
+@query(
+    "panel_report_entries",
+    f"WITH {TENS}, kinds AS (SELECT t_index, bool_or(line IS NOT NULL) AS closed FROM fills GROUP BY t_index) "
+    "SELECT 'missing' AS kind, TIMESTAMP '2024-01-01' + to_minutes(10 * t_index) AS at FROM miss UNION ALL "
+    "SELECT CASE WHEN closed THEN 'interpolated' ELSE 'unfilled' END, TIMESTAMP '2024-01-01' + to_minutes(10 * t_index) FROM kinds UNION ALL "
+    "SELECT 'wrong_day', TIMESTAMP '2024-01-01' + to_days((t_index // 144)::INT) FROM (SELECT DISTINCT t_index, seen FROM grid) GROUP BY t_index // 144 HAVING count(*) FILTER (WHERE seen) <> 144",
+)
+def panel_report_entries(spark: SparkSession, sf: str) -> DataFrame:
+    stacked, filled, spec = ten_areas(spark, sf)
+    return Q.report_entries(stacked, filled, spec)
+
+
 @query(
     "cell_totals",
     f"WITH {PANEL} SELECT area, round(sum(value), 4) AS total, round(avg(value), 9) AS mean FROM panel GROUP BY area",

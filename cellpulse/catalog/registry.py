@@ -70,6 +70,18 @@ TEN = (
     "ten AS (SELECT CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 600) AS BIGINT) AS t_index, "
     "sum(value) AS value FROM events GROUP BY 1)"
 )
+# the users dealt over ten cells; every 97th step of cell 3 is taken out, as a loss in one cell only
+TENS = (
+    "obs AS (SELECT user_id % 10 + 1 AS area, CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 600) AS BIGINT) AS t_index, sum(value) AS value FROM events GROUP BY 1, 2), "
+    "seen AS (SELECT DISTINCT t_index FROM obs), "
+    "grid AS (SELECT a.area, t.t_index, s.t_index IS NOT NULL AS seen, CASE WHEN s.t_index IS NOT NULL AND NOT (a.area = 3 AND t.t_index % 97 = 5) THEN coalesce(o.value, 0.0) END AS value "
+    "FROM (SELECT unnest(range(1, 11)) AS area) a CROSS JOIN (SELECT unnest(range(0, 4320)) AS t_index) t LEFT JOIN seen s ON s.t_index = t.t_index LEFT JOIN obs o ON o.area = a.area AND o.t_index = t.t_index), "
+    "miss AS (SELECT DISTINCT t_index FROM grid WHERE NOT seen), "
+    "runs AS (SELECT min(t_index) AS start, count(*) AS length FROM (SELECT t_index, t_index - row_number() OVER (ORDER BY t_index) AS g FROM miss) GROUP BY g), "
+    "fills AS (SELECT g.area, g.t_index, CASE WHEN r.length <= 3 THEN b.value * (1.0 - (g.t_index - r.start + 1)::DOUBLE / (r.length + 1)) + e.value * ((g.t_index - r.start + 1)::DOUBLE / (r.length + 1)) END AS line "
+    "FROM grid g JOIN runs r ON g.t_index BETWEEN r.start AND r.start + r.length - 1 "
+    "LEFT JOIN grid b ON b.area = g.area AND b.t_index = r.start - 1 LEFT JOIN grid e ON e.area = g.area AND e.t_index = r.start + r.length)"
+)
 SUPPLIERS = (
     "obs AS (SELECT l_suppkey + 1 AS area, datediff('day', TIMESTAMP '1995-01-02', l_shipdate) AS t_index, "
     "sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY 1, 2), "

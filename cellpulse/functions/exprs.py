@@ -23,6 +23,11 @@ def idiv(a: Column | str, n: int) -> Column:
     return F.call_function("div", col(a), F.lit(n))
 
 
+def not_below_zero(x: Column) -> Column:
+    """``greatest`` would turn NULL into 0."""
+    return F.when(x < 0, F.lit(0.0)).otherwise(x)
+
+
 def safe_div(a: Column, b: Column) -> Column:
     """``a / b``, NULL when ``b`` is zero or NULL."""
     return a / F.nullif(b, F.lit(0).cast("double"))

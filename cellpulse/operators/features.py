@@ -88,8 +88,8 @@ def scaler_transform(rows: DataFrame, stats: DataFrame, value: str = "value", ou
 
 
 def scaler_inverse(rows: DataFrame, stats: DataFrame, scaled: str = "scaled", out: str = "value") -> DataFrame:
-    """max(0, expm1(z std + mean))."""
-    back = F.greatest(F.lit(0.0), F.expm1(F.col(scaled) * F.col("log_std") + F.col("log_mean")))
+    """max(0, expm1(z std + mean)); NULL stays NULL."""
+    back = X.not_below_zero(F.expm1(F.col(scaled) * F.col("log_std") + F.col("log_mean")))
     return _with_stats(rows, stats).withColumn(out, back).drop("log_mean", "log_std", "n_fitted")
 
 

@@ -141,7 +141,7 @@ class Harmonic:
 
         def build(w):
             carried = sum((F.col(f"_phi{i}") * F.lag("_e", i + 1).over(w) for i in range(self.ar)), F.lit(0.0))
-            return {"predicted": F.greatest(F.lit(0.0), F.expm1(F.col("_fit") + carried))}
+            return {"predicted": X.not_below_zero(F.expm1(F.col("_fit") + carried))}
 
         return over_series(rows, build, before=max(1, self.ar)).select(*labelled.columns, "predicted")
 

@@ -137,6 +137,22 @@ def panel_report(panel: DataFrame, rollup: DataFrame, spec: PanelSpec) -> DataFr
     )
 
 
+def report_entries(stacked: DataFrame, filled: DataFrame, spec: PanelSpec) -> DataFrame:
+    """What the report of a panel lists, one row per entry, as ``(kind, at)``.
+
+    ``missing``: steps seen in no area; ``interpolated`` and ``unfilled``: those of them that the gap policy filled in some area,
+    or in none; ``wrong_day``: local days with another number of seen steps than a day has. ``stacked`` is the panel
+    before the gap policy and ``filled`` after it.
+    """
+    before = stacked.groupBy("t_index", "utc", "local").agg(F.count("value").alias("_present"))
+    after = filled.groupBy("t_index").agg(F.count_if("filled").alias("_filled"))
+    missing = before.filter("_present = 0").join(after, "t_index")
+    kinds = F.array(F.lit("missing"), F.when(F.col("_filled") > 0, "interpolated").otherwise("unfilled"))
+    days = before.groupBy(X.local_day("local").alias("date")).agg(F.count_if(F.col("_present") > 0).alias("_steps"))
+    wrong = days.filter(F.col("_steps") != spec.daily).select(F.lit("wrong_day").alias("kind"), F.col("date").cast("timestamp_ntz").alias("at"))
+    return missing.select(F.explode(kinds).alias("kind"), F.col("utc").alias("at")).unionByName(wrong)
+
+
 def absent_by_split(days: DataFrame, spec: PanelSpec) -> DataFrame:
     """Mean and total absent cells per day in each split."""
     return (

@@ -58,6 +58,7 @@ def test_every_model_has_every_row_of_a_split(gapped):
             at = r.t_index
             whole = r.area == 1 or not (m.reach >= at - 262 > 0 or at in (261, 262))
             assert not whole or r.predicted is not None, (m.name, at)
+            assert (r.area, at) not in {(2, 261), (2, 262), (2, 263)} or r.predicted is None or m.name == "seasonal_naive", (m.name, at)
             if r.area == 1:
                 assert r.persistence == pytest.approx(1010.0 + at - 1 + 50 * np.sin((at - 1) / 24 * 2 * np.pi))
 
