@@ -121,10 +121,8 @@ def judge(
     ruled = known.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
     seeds = durable(ruled.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "seeds")
-    spread = propagate(durable(host_edges(known), "host-edges"), seeds, damping, rounds)
-    hosts = spread.crossJoin(F.broadcast(spread.agg(F.count(F.lit(1)).alias("n"))))  # one row
-    suspicion = F.round((F.col("distrust") - F.col("trust")) * F.col("n"), 6)
-    verdicts = durable(hosts.select("host", suspicion.alias("suspicion")), "verdicts")
+    hosts = durable(propagate(durable(host_edges(known), "host-edges"), seeds, damping, rounds), "hosts")
+    verdicts = hosts.select("host", F.round((F.col("distrust") - F.col("trust")) * hosts.count(), 6).alias("suspicion"))
     # only pages that no rule decides need their host, and their htmls need not travel
     slim = ruled.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("verdict"))
     decided = slim.filter("rule is not null").withColumn("suspicion", F.lit(None).cast("double"))
