@@ -7,8 +7,14 @@ label f(i), and table v (one for each nonzero v, 31 for radius 4) keeps the bits
 mask hides all of them, and the pair meets in that table. No pair within the radius is missed.
 
 Equal fingerprints are one node from the start. A bucket of two is a pair; a bucket of up to ``BUCKET`` nodes is searched in one
-task for a spanning forest of its links, never for all its pairs; in a larger bucket two nodes link exactly if the balls of half
-the radius around them share a point, so the points are grouped instead, and rows grow in proportion to the bucket.
+task for a spanning forest of its links, never for all its pairs. In a larger bucket, up to radius ``BALL_RADIUS``, two nodes link exactly
+if the balls of half the radius around them share a point, so the points are grouped instead, and rows grow in proportion to the
+bucket; for a larger radius the balls get too big, and the bucket is cut into blocks that are searched two by two.
+
+How near is near depends on the shingles. A changed word changes as many shingles as a shingle has words, so few bits over long
+shingles mean nearly equal texts only. Texts with a similarity of 0.8 on five-word shingles are about nine bits apart on those, but
+within seven bits on the sets of their two-word shingles, and unrelated texts are not; ``SAME_TEXT`` has these settings for
+dropping near copies.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; a text of fewer words than a shingle is one
 shingle; rows with a null id get a fingerprint and the component of the fingerprint, null if no row of it has an id; repeated rows stay.
@@ -31,12 +37,17 @@ from cellpulse.plans.storage import durable
 
 BITS = 64
 SEED = 42
+SAME_TEXT = {"words": 2, "radius": 7, "distinct": True}
+BALL_RADIUS = 4
 BUCKET = 4_096
 STEP = 65_536
 
 
-def fingerprint(text: str, words: int) -> int:
-    """The signed 64-bit SimHash of a text; ``bytes.lower`` and ``bytes.split`` know ASCII only, as intended."""
+def fingerprint(text: str, words: int, distinct: bool = False) -> int:
+    """The signed 64-bit SimHash of a text, of its shingles or of the set of them.
+
+    ``bytes.lower`` and ``bytes.split`` know ASCII only, as intended.
+    """
     found = text.encode().lower().split()
     if not found:
         return 0
@@ -48,6 +59,8 @@ def fingerprint(text: str, words: int) -> int:
         pieces = [joined[a:b] for a, b in zip(starts[:last].tolist(), ends[words - 1 :].tolist(), strict=True)]
     else:
         pieces = [joined]
+    if distinct:
+        pieces = list(dict.fromkeys(pieces))
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, len(pieces))
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), STEP):
@@ -56,24 +69,32 @@ def fingerprint(text: str, words: int) -> int:
     return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distinct: bool = False) -> DataFrame:
     """``(doc_id, fp)`` for every row."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, words) for t in texts], dtype="int64")
+        return pd.Series([fingerprint(t, words, distinct) for t in texts], dtype="int64")
 
     return docs.select(F.col(id_col).alias("doc_id"), of(whole_text(text_col)).alias("fp"))
 
 
 def masks(radius: int) -> list[int]:
-    """The kept bits of each table, as signed 64-bit numbers."""
-    labels = 2 ** (radius + 1) - 1
-    out = []
-    for v in range(1, labels + 1):
-        kept = sum(1 << i for i in range(BITS) if ((1 + i % labels) & v).bit_count() % 2)
-        out.append(kept - 2**BITS if kept >= 2 ** (BITS - 1) else kept)
-    return out
+    """The kept bits of each table, as signed 64-bit numbers.
+
+    Labels are dealt from a fixed shuffle of all of them, so that every table keeps about half of the bits.
+    """
+    labels = np.random.default_rng(radius).permutation(2 ** (radius + 1) - 1) + 1
+    kept = [sum(1 << i for i in range(BITS) if (int(labels[i % len(labels)]) & v).bit_count() % 2) for v in range(1, len(labels) + 1)]
+    return [_signed(x) for x in kept]
+
+
+def _signed(x: int) -> int:
+    return x - 2**BITS if x >= 2 ** (BITS - 1) else x
+
+
+def _numbers(values: list[int]) -> Column:
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<bigint>")
 
 
 def spanning_links(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -105,15 +126,13 @@ def _search_buckets(radius: int):  # noqa: ANN202
 def _ball(fp: Column, radius: int) -> Column:
     """All points within ``radius`` bits; the bits a table keeps may differ too, which only adds points that pair nobody falsely."""
     flips = [sum(1 << i for i in some) for k in range(radius + 1) for some in combinations(range(BITS), k)]
-    signed = [x - 2**BITS if x >= 2 ** (BITS - 1) else x for x in flips]
-    listed = F.from_json(F.lit("[" + ",".join(map(str, signed)) + "]"), "array<bigint>")
-    return F.explode(F.transform(listed, lambda x: x.bitwiseXOR(fp)))
+    return F.explode(F.transform(_numbers([_signed(x) for x in flips]), lambda x: x.bitwiseXOR(fp)))
 
 
 def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect the same nodes as all pairs within the radius."""
-    tables = F.array(*[F.struct(F.lit(k).alias("table"), F.col("fp").bitwiseAND(m).alias("key")) for k, m in enumerate(masks(radius))])
-    members = nodes.select("fp", F.explode(tables).alias("_t")).select("_t.table", "_t.key", "fp")
+    every = nodes.select("fp", F.posexplode(_numbers(masks(radius))).alias("table", "_mask"))
+    members = every.select("table", F.col("fp").bitwiseAND(F.col("_mask")).alias("key"), "fp")
     counted = members.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
     shared = durable(counted.filter("n > 1"), "buckets")
     pairs = shared.filter("n = 2").select("u", "v").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
@@ -121,21 +140,31 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     some = crowded.filter(F.col("n") <= bucket).groupBy("table", "key").agg(F.collect_list("fp").alias("nodes"))
     found = some.select("nodes").mapInPandas(_search_buckets(radius), "u long, v long")
     edges = pairs.unionByName(found)
-    if not shared.filter(F.col("n") > bucket).isEmpty():
-        if radius % 2:
-            raise ValueError("crowded buckets need an even radius")
+    if shared.filter(F.col("n") > bucket).isEmpty():
+        return edges.distinct()
+    if radius <= BALL_RADIUS and radius % 2 == 0:
         large = crowded.filter(F.col("n") > bucket).select("fp").distinct()
         points = large.select("fp", _ball(F.col("fp"), radius // 2).alias("point"))
         first = points.groupBy("point").agg(F.min("fp").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        edges = edges.unionByName(points.join(first, "point").filter("fp <> u").select("u", F.col("fp").alias("v")))
-    return edges.distinct()
+        return edges.unionByName(points.join(first, "point").filter("fp <> u").select("u", F.col("fp").alias("v"))).distinct()
+    blocks = F.ceil(F.col("n") / bucket).cast("int")
+    mine = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    dealt = crowded.filter(F.col("n") > bucket).select("table", "key", "fp", mine.alias("_b"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_o"))
+    pairs = dealt.groupBy("table", "key", F.least("_b", "_o"), F.greatest("_b", "_o")).agg(F.collect_list("fp").alias("nodes"))
+    return edges.unionByName(pairs.select("nodes").mapInPandas(_search_buckets(radius), "u long, v long")).distinct()
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, bucket: int = BUCKET
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 4,
+    radius: int = 4,
+    distinct: bool = False,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint, component_id."""
-    rows = durable(fingerprints(docs, id_col, text_col, words), "fingerprints")
+    rows = durable(fingerprints(docs, id_col, text_col, words, distinct), "fingerprints")
     nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
     found = durable(links(nodes.select("fp"), radius, bucket), "links")
     ends = [nodes.select(F.col("fp").alias(c), F.col("rep").alias(f"_{c}")) for c in ("u", "v")]

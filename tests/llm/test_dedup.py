@@ -85,9 +85,9 @@ def test_fingerprint(text):
 
 def test_masks_cover_every_pair_within_the_radius():
     rng = random.Random(0)
-    for radius in (2, 3, 4):
+    for radius in (2, 3, 4, 7):
         masks = simhash.masks(radius)
-        assert len(masks) == 2 ** (radius + 1) - 1
+        assert len(masks) == 2 ** (radius + 1) - 1 and min((m % 2**64).bit_count() for m in masks) >= 18
         for _ in range(3_000):
             gap = sum(1 << b for b in rng.sample(range(64), radius))
             assert any(gap & m % 2**64 == 0 for m in masks)
@@ -103,8 +103,8 @@ def plain_components(values, radius):
     return root
 
 
-@pytest.mark.parametrize("bucket", [2, 5, 4_096])
-def test_links_connect_what_all_pairs_connect(spark, bucket):
+@pytest.mark.parametrize(("bucket", "radius"), [(2, 4), (5, 4), (4_096, 4), (5, 3), (6, 7)])
+def test_links_connect_what_all_pairs_connect(spark, bucket, radius):
     """Chains, dense balls around one point, and strangers; small buckets force the way for crowded ones."""
     rng = random.Random(bucket)
     flip = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
@@ -114,15 +114,15 @@ def test_links_connect_what_all_pairs_connect(spark, bucket):
     for _ in range(30):
         values.append(at := flip(at, rng.choice((1, 4, 5))))
     values = sorted({v - 2**64 if v >= 2**63 else v for v in [*values, *(rng.getrandbits(64) for _ in range(40))]})
-    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), 4, bucket)
+    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), radius, bucket)
     number = {v: k for k, v in enumerate(values)}
     pairs = [(number[r.u], number[r.v]) for r in edges.collect()]
-    assert all((values[a] ^ values[b]) % 2**64 and ((values[a] ^ values[b]) % 2**64).bit_count() <= 4 for a, b in pairs)
+    assert all((values[a] ^ values[b]) % 2**64 and ((values[a] ^ values[b]) % 2**64).bit_count() <= radius for a, b in pairs)
     root = list(range(len(values)))
     for a, b in pairs:
         low, high = sorted((root[a], root[b]))
         root = [low if r == high else r for r in root]
-    assert root == plain_components([v % 2**64 for v in values], 4)
+    assert root == plain_components([v % 2**64 for v in values], radius)
 
 
 def test_near_duplicate_rows(spark):

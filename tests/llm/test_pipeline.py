@@ -52,11 +52,11 @@ def test_stages(spark, corpus):
 
     apart = corpus_pipeline.durable(stages["SimHash near-dedup"](spark, once, corpus))
     left = pairs(once)
-    prints = {i: simhash.fingerprint(t or "", 4) % 2**64 for i, t in left.items()}
+    prints = {i: simhash.fingerprint(t or "", 2, True) % 2**64 for i, t in left.items()}
     root = {i: i for i in left}
     for i in sorted(left):
         for j in sorted(left):
-            if j < i and (prints[i] ^ prints[j]).bit_count() <= 4 and root[i] != root[j]:
+            if j < i and (prints[i] ^ prints[j]).bit_count() <= 7 and root[i] != root[j]:
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}
     assert apart.columns == columns and set(pairs(apart)) == {i for i in left if root[i] == i}
