@@ -79,11 +79,10 @@ def walk_forward(
 ) -> DataFrame:
     """Forecasts of one split, each made from the true values before it.
 
-    The panel is cut to the split plus the forecaster's ``reach``, not to the split itself. Pooled
-    models also need the train rows they were scaled on, so they see the whole panel. Every step of the split
+    The panel is cut to the split plus the forecaster's ``reach``, not to the split itself. Every step of the split
     has its row, with a NULL where no forecast was possible, and ``persistence`` beside it for the diagnostics.
     """
-    rows = labelled if getattr(forecaster, "pooled", False) else with_reach(labelled, spec, [split], max(1, forecaster.reach))
+    rows = with_reach(labelled, spec, [split], max(1, forecaster.reach))
     rows = over_series(rows, lambda w: {"persistence": F.lag("value", 1).over(w)}, before=1)
     return forecaster.predict(rows, model).filter(F.col("split") == split).select(
         "area",

@@ -156,10 +156,17 @@ class Harmonic:
 # --- pooled models on standardised features --------------------------------------------------------
 
 
-def _scaled_rows(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every step, with the scaled value beside it; a NULL stays in its place, so that lags keep their distance."""
-    stats = FE.scaler_fit(labelled.filter("split = 'train'"))
-    return FE.scaler_transform(labelled, stats), stats
+@dataclass(frozen=True)
+class Pooled:
+    """A fitted Spark ML model with the scaling it was fitted on; scoring needs no train rows any more."""
+
+    model: object
+    stats: DataFrame
+
+
+def _statistics(labelled: DataFrame) -> DataFrame:
+    """One row per area, written, because fit and scoring both read it."""
+    return durable(FE.scaler_fit(labelled.filter("split = 'train'")), "scaling")
 
 
 def _to_units(scored: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -191,22 +198,23 @@ class BoostedTrees:
     calendar: bool = True
     fit_on: tuple[str, ...] = TRAIN
     name: str = "boosted_trees"
-    pooled: bool = True
 
     @property
     def columns(self) -> list[str]:
         return FE.feature_names(self.spec, self.calendar)
 
-    def design(self, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows, stats = _scaled_rows(labelled)
-        return FE.assembled(FE.design_matrix(rows, self.spec, "scaled", self.calendar), self.columns), stats
+    def design(self, labelled: DataFrame, stats: DataFrame) -> DataFrame:
+        """Every step with its features; a NULL stays in its place, so that lags keep their distance."""
+        rows = FE.scaler_transform(labelled, stats)
+        return FE.assembled(FE.design_matrix(rows, self.spec, "scaled", self.calendar), self.columns)
 
     @property
     def reach(self) -> int:
         return FE.history(self.spec)
 
-    def fit(self, labelled: DataFrame):
-        design, _ = self.design(labelled)
+    def fit(self, labelled: DataFrame) -> Pooled:
+        stats = _statistics(labelled)
+        design = self.design(labelled, stats)
         seen = {*self.fit_on, *(("validation",) if self.early_stop else ())}
         vectors = _learnable(design, seen).select(
             "features", F.col("scaled").alias("label"), (~F.col("split").isin(list(self.fit_on))).alias("held_out")
@@ -219,21 +227,20 @@ class BoostedTrees:
         )
         if self.early_stop:
             learner = learner.setParams(validationIndicatorCol="held_out", validationTol=0.001)
-        return learner.fit(vectors)
+        return Pooled(learner.fit(vectors), stats)
 
-    def predict(self, labelled: DataFrame, model) -> DataFrame:
-        design, stats = self.design(labelled)
-        return _to_units(model.transform(design), stats, labelled.columns)
+    def predict(self, labelled: DataFrame, model: Pooled) -> DataFrame:
+        return _to_units(model.model.transform(self.design(labelled, model.stats)), model.stats, labelled.columns)
 
-    def importance(self, spark: SparkSession, model, top: int | None = None) -> DataFrame:
+    def importance(self, spark: SparkSession, model: Pooled, top: int | None = None) -> DataFrame:
         """Normalised gain per feature, largest first: all of them, or the first ``top``."""
-        values = model.featureImportances.toArray()
+        values = model.model.featureImportances.toArray()
         rows = sorted(zip(self.columns, map(float, values)), key=lambda r: (-r[1], r[0]))[:top]
         return literal_table(spark, rows, ("feature", "importance"), ("string", "double"))
 
-    def complexity(self, spark: SparkSession, model) -> DataFrame:
-        leaves = (model.totalNumNodes + model.getNumTrees) // 2
-        row = (self.name, int(model.getNumTrees), int(model.totalNumNodes), int(leaves))
+    def complexity(self, spark: SparkSession, model: Pooled) -> DataFrame:
+        trees, nodes = int(model.model.getNumTrees), int(model.model.totalNumNodes)
+        row = (self.name, trees, nodes, (nodes + trees) // 2)
         return literal_table(spark, [row], ("model", "n_trees", "n_nodes", "n_leaves"), ("string", "int", "long", "long"))
 
 
@@ -248,10 +255,9 @@ class WindowRegression:
     calendar: bool = True
     fit_on: tuple[str, ...] = TRAIN
     name: str = "window_regression"
-    pooled: bool = True
 
-    def design(self, labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-        rows, stats = _scaled_rows(labelled)
+    def design(self, labelled: DataFrame, stats: DataFrame) -> DataFrame:
+        rows = FE.scaler_transform(labelled, stats)
         windows = FE.sliding_windows(rows, self.length, value="scaled", keep_short=True)
         windows = windows.withColumn("complete", F.col("window").isNotNull())
         # the learner wants numbers; such rows are neither learnt from nor forecast
@@ -259,24 +265,24 @@ class WindowRegression:
         if self.calendar:
             windows = FE.calendar_features(windows, self.spec)
             inputs = F.concat(inputs, F.array(*X.calendar_columns("local", [])))
-        return windows.withColumn("features", array_to_vector(inputs)), stats
+        return windows.withColumn("features", array_to_vector(inputs))
 
     @property
     def reach(self) -> int:
         return self.length
 
-    def fit(self, labelled: DataFrame):
-        design, _ = self.design(labelled)
+    def fit(self, labelled: DataFrame) -> Pooled:
+        stats = _statistics(labelled)
+        design = self.design(labelled, stats)
         rows = _learnable(design, self.fit_on).select("features", F.col("scaled").alias("label"))
         # the normal-equation solver reads the rows once
-        return LinearRegression(regParam=self.reg, elasticNetParam=self.mix, solver="auto").fit(rows)
+        return Pooled(LinearRegression(regParam=self.reg, elasticNetParam=self.mix, solver="auto").fit(rows), stats)
 
-    def predict(self, labelled: DataFrame, model) -> DataFrame:
-        design, stats = self.design(labelled)
-        return _to_units(model.transform(design), stats, labelled.columns)
+    def predict(self, labelled: DataFrame, model: Pooled) -> DataFrame:
+        return _to_units(model.model.transform(self.design(labelled, model.stats)), model.stats, labelled.columns)
 
-    def complexity(self, spark: SparkSession, model) -> DataFrame:
-        return literal_table(spark, [(self.name, len(model.coefficients) + 1)], ("model", "n_params"), ("string", "long"))
+    def complexity(self, spark: SparkSession, model: Pooled) -> DataFrame:
+        return literal_table(spark, [(self.name, len(model.model.coefficients) + 1)], ("model", "n_params"), ("string", "long"))
 
 
 # --- tuning and final fits -------------------------------------------------------------------------

@@ -36,7 +36,8 @@ def gapped(spark):
 
 def test_lags_keep_their_distance_over_a_gap(gapped):
     labelled, spec, series = gapped
-    design, stats = MO.BoostedTrees(spec).design(labelled)
+    stats = FE.scaler_fit(labelled.filter("split = 'train'"))
+    design = MO.BoostedTrees(spec).design(labelled, stats)
     logged = np.log1p(series[2])
     mean, std = np.nanmean(logged[: 8 * 24]), np.nanstd(logged[: 8 * 24])
     rows = {r.t_index: r for r in design.filter("area = 2").collect()}
@@ -44,7 +45,7 @@ def test_lags_keep_their_distance_over_a_gap(gapped):
     for t in (84, 89, 93, 94, 150):
         want = (logged[t - 24] - mean) / std
         assert rows[t].complete == (not np.isnan(want)) and (np.isnan(want) or rows[t].lag_24 == pytest.approx(want))
-    window, _ = MO.WindowRegression(spec, length=5).design(labelled)
+    window = MO.WindowRegression(spec, length=5).design(labelled, stats)
     assert {r.t_index for r in window.filter("area = 2 and not complete").collect()} == {*range(5), *range(61, 75), *range(261, 268)}
 
 
