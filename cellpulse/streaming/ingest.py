@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellpulse.functions import exprs as X
 from cellpulse.operators import panel as P
 from cellpulse.operators.quality import demand_empty
 from cellpulse.settings import PanelSpec
@@ -19,14 +20,18 @@ from cellpulse.sources.readers import CDR_SCHEMA, file_date, list_day_files, sca
 
 
 def day_cells(raw: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Partial sums per source file: ``(date, file_key, area, t_index, value, n_rows)``."""
+    """Partial sums per source file: ``(date, file_key, area, t_index, value, n_rows)``.
+
+    A cell outside the grid, or a record whose local day is not the day in its file's name, fails the batch before
+    anything of it is stored.
+    """
     bad = F.raise_error(F.concat(F.lit("area id outside the grid: "), F.col("square_id").cast("string")))
     keyed = raw.select(
         file_date(F.col("file")).alias("date"),
         F.md5("file").alias("file_key"),
         # checked in the same pass: a second scan of the records would double the read
         F.when(F.col("square_id").between(1, spec.n_areas), F.col("square_id")).otherwise(bad.cast("int")).alias("square_id"),
-        P.step_of_ms("time_ms", spec).alias("t_index"),
+        _step_of_day(spec).alias("t_index"),
         F.coalesce("internet", F.lit(spec.null_fill)).alias("internet"),
     )
     return keyed.groupBy("date", "file_key", F.col("square_id").cast("long").alias("area"), "t_index").agg(
@@ -34,6 +39,13 @@ def day_cells(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
+def _step_of_day(spec: PanelSpec):
+    """The step of a record, refused if its local day is another one than its file's."""
+    day = X.local_day(X.to_local(X.from_epoch_seconds(F.floor(F.col("time_ms") / 1000)), spec.tz))
+    told = F.concat(F.lit("record of another day in "), F.col("file"))
+    return F.when(day != file_date(F.col("file")), F.raise_error(told).cast("long")).otherwise(P.step_of_ms("time_ms", spec))
+
+
 def store_cells(cells: DataFrame, target: str, parts_per_file: int = 1) -> None:
     """Replace the partitions of the source files in ``cells``; each is written by ``parts_per_file`` tasks."""
     part = F.pmod(F.xxhash64("area"), F.lit(parts_per_file))

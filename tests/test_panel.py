@@ -273,3 +273,14 @@ def test_to_local_does_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
+
+
+def test_a_record_of_another_day_fails_before_anything_is_stored(spark, tmp_path):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    write_day(raw, 0)
+    path = write_day(raw, 1)
+    path.write_text(path.read_text() + f"1\t{T0}\t39\t\t\t\t\t1.0\n")
+    with pytest.raises(Exception, match="another day"):
+        ING.ingest_pending(spark, str(raw), str(out), SPEC, days_per_batch=1)
+    assert {r[0] for r in spark.read.parquet(str(out)).select("date").distinct().collect()} == {dt.date(2013, 11, 1)}
