@@ -169,7 +169,9 @@ def _rank(k: int):  # noqa: ANN202
 
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5) -> DataFrame:
     """``(query_id, rank, vec_id, score)`` for the rows where ``is_query`` holds, against all other rows."""
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"), is_query.alias("asked"))
+    wide = dict(vectors.dtypes)[vec_col] != "array<float>"
+    vec = F.col(vec_col).cast("array<double>" if wide else "array<float>")
+    rows = vectors.select(F.col(id_col).alias("vec_id"), vec.alias("vec"), is_query.alias("asked"))
     rows = rows.filter(F.col("vec_id").isNotNull() & _valid(F.col("vec")))
     # the smallest ids of each class; the filter on the row number already cuts every class down before the shuffle
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).filter(F.col("_n") <= k + 1)
