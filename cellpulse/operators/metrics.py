@@ -58,6 +58,11 @@ def metric_table(predictions: DataFrame, scale: DataFrame, spec: PanelSpec, keys
     return scores.join(scale, "area", "left").withColumn("mase", X.safe_div(F.col("mae"), F.col("mase_scale"))).drop("mase_scale")
 
 
+def ranked(scores: DataFrame) -> DataFrame:
+    """Scores with the best model of each area and split first."""
+    return scores.orderBy("area", "split", F.asc_nulls_last("mase"), "model", "seed")
+
+
 def inference_ms(rows: DataFrame) -> DataFrame:
     """Milliseconds per forecast step."""
     return rows.withColumn("inference_ms_per_step", 1000 * X.safe_div(F.col("inference_wall_s"), F.col("n").cast("double")))

@@ -8,6 +8,7 @@ estimator of the study they stand in for, so their numbers are only comparable w
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -309,13 +310,47 @@ def tune_grid(
     return table.orderBy(F.asc_nulls_last("valid_mae"), "candidate")
 
 
+def best_candidate(table: DataFrame) -> str:
+    """The label of the candidate with the lowest validation error, ties by label."""
+    return table.orderBy(F.asc_nulls_last("valid_mae"), "candidate").first()["candidate"]
+
+
+def log_rows(table: DataFrame, rationale: str) -> DataFrame:
+    """One row of the experiment log for each candidate of a tuning stage."""
+    return table.select(
+        "model", "stage", F.col("candidate").alias("hyperparams_json"), "valid_mae", "valid_rmse", F.lit(rationale).alias("rationale_for_next_change")
+    )
+
+
+def settled(forecaster: FC.Forecaster, labelled: DataFrame) -> FC.Forecaster:
+    """The forecaster for the final fit on train and validation.
+
+    Where validation decided when to stop, the number of trees it arrived at is kept, as nothing is left to stop on.
+    """
+    changes: dict = {"fit_on": REFIT} if hasattr(forecaster, "fit_on") else {}
+    if getattr(forecaster, "early_stop", False):
+        changes |= {"early_stop": False, "trees": int(forecaster.fit(labelled).model.getNumTrees)}
+    return dataclasses.replace(forecaster, **changes) if changes else forecaster
+
+
 def final_scores(forecaster: FC.Forecaster, labelled: DataFrame, spec: PanelSpec, split: str = "test") -> DataFrame:
     """Refit on train and validation with settled parameters, then score a held-out split."""
-    import dataclasses
-
-    changes = {"fit_on": REFIT}
-    if hasattr(forecaster, "early_stop"):
-        changes["early_stop"] = False
-    settled = dataclasses.replace(forecaster, **changes)
-    rows = FC.walk_forward(settled, labelled, spec, split, settled.fit(labelled))
+    final = settled(forecaster, labelled)
+    rows = FC.walk_forward(final, labelled, spec, split, final.fit(labelled))
     return M.metric_table(rows, M.mase_scale(labelled, spec), spec)
+
+
+def final_predictions(
+    forecasters: Sequence[FC.Forecaster], labelled: DataFrame, spec: PanelSpec, splits: tuple[str, ...] = ("test", "stress")
+) -> DataFrame:
+    """One table of forecasts of both baselines and every settled forecaster, for metrics, diagnostics and ensembles.
+
+    A forecaster with seeds is listed once for each. The table is written, as many reports read it.
+    """
+    table = FC.baseline_predictions(labelled, spec, splits)
+    for forecaster in forecasters:
+        final = settled(forecaster, labelled)
+        model = final.fit(labelled)
+        for split in splits:
+            table = table.unionByName(FC.walk_forward(final, labelled, spec, split, model))
+    return durable(table, "predictions")

@@ -255,3 +255,28 @@ def test_key_figures(spark):
     assert sorted((r["model"] or "", r["stage"] or "", r["n"]) for r in K.log_summary(log).collect()) == [("", "", 5), ("", "s1", 3), ("", "s2", 2), ("a", "", 4), ("b", "", 1)]
     spread = {r["stage"]: r for r in K.sweep_spread(log.filter("model = 'a' AND NOT isnan(valid_mae)")).collect()}
     assert spread["s2"]["spread"] == pytest.approx(0.25) and spread["s2"]["gain"] == pytest.approx(1.0)
+
+
+def test_fitted_forecasts_reach_metrics_diagnostics_and_ensembles(spark, world):
+    spec, _, labelled = world
+    trees = [MO.BoostedTrees(spec, trees=4, depth=3, step=0.5, seed=s) for s in spec.seeds[:2]]
+    table = MO.final_predictions([MO.Harmonic(spec, 2, 1, 1), *trees], labelled, spec, ("test",))
+    steps = 7 * spec.daily
+    counts = {(r["model"], r["seed"]): r["count"] for r in table.groupBy("model", "seed").count().collect()}
+    assert counts == {(m, s): 2 * steps for m, s in (("persistence", 0), ("seasonal_naive", 0), ("harmonic", 0), ("boosted_trees", 0), ("boosted_trees", 1))}
+    both = table.unionByName(FC.seed_ensemble(table, "boosted_trees").drop("n_members"))
+    scores = M.ranked(M.metric_table(both, M.mase_scale(labelled, spec), spec)).collect()
+    assert len(scores) == 2 * 6 and [r["mase"] for r in scores[:6]] == sorted(r["mase"] for r in scores[:6])
+    mae = {(r["area"], r["model"], r["seed"]): r["mae"] for r in scores}
+    assert all(mae[a, "boosted_trees_ensemble", 0] <= max(mae[a, "boosted_trees", s] for s in (0, 1)) + 1e-9 for a in (1, 2))
+    assert {r["model"] for r in DG.copying_report(both).collect()} >= {"harmonic", "boosted_trees"}
+    assert {r["model"] for r in DG.worst_windows(both.filter("seed = 0"), 24).collect()} >= {"harmonic", "boosted_trees"}
+
+
+def test_the_final_fit_keeps_the_trees_that_validation_chose(world):
+    spec, _, labelled = world
+    trees = MO.BoostedTrees(spec, trees=6, depth=3, step=0.5)
+    final = MO.settled(trees, labelled)
+    assert final.trees == trees.fit(labelled).model.getNumTrees and not final.early_stop and final.fit_on == MO.REFIT
+    table = MO.tune_grid([("k=1", MO.Harmonic(spec, 1, 0, 0)), ("k=2", MO.Harmonic(spec, 2, 1, 1))], labelled, spec)
+    assert MO.best_candidate(table) == "k=2" and MO.log_rows(table, "next").count() == 2
