@@ -118,8 +118,9 @@ def baseline_mase(spark: SparkSession, sf: str) -> DataFrame:
     """Which baseline forecasts the three busiest areas best?"""
     rows, spec = labelled(spark, sf)
     best = D.top_areas(P.cell_totals(rows), 3).select("area")
-    table = M.metric_table(FC.baseline_predictions(rows, spec), M.mase_scale(rows, spec), spec)
-    return rounded(table.join(F.broadcast(best), "area").drop("seed"), 7, **DIGITS)  # three rows
+    few = rows.join(F.broadcast(best), "area", "left_semi")  # three rows; everything after sees their series only
+    table = M.metric_table(FC.baseline_predictions(few, spec), M.mase_scale(few, spec), spec)
+    return rounded(table.drop("seed"), 7, **DIGITS)
 
 
 @query(
@@ -284,9 +285,9 @@ def worst_windows_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "cross_area_mase",
-    f"WITH {SCORES}, t AS (SELECT area, model, mae / nullif(mase_scale, 0) AS mase FROM s WHERE split = 'test' AND seed = 0) "
+    f"WITH {SCORES}, t AS (SELECT area, model, avg(mae / nullif(mase_scale, 0)) AS mase FROM s WHERE split = 'test' GROUP BY area, model) "
     "SELECT model, round(max(mase) FILTER (WHERE area = 5), 8) AS mase_5, round(max(mase) FILTER (WHERE area = 2), 8) AS mase_2, round(avg(mase), 8) AS mase_mean, round(max(mase), 8) AS mase_worst, count(mase) AS n_areas FROM t GROUP BY model",
 )
 def cross_area_mase(spark: SparkSession, sf: str) -> DataFrame:
-    rows = scores(spark, sf).filter("split = 'test' AND seed = 0")
+    rows = scores(spark, sf).filter("split = 'test'")
     return rounded(DG.cross_area_mase(rows, (5, 2)), 8)

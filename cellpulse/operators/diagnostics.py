@@ -221,7 +221,11 @@ def worst_windows_report(windows: DataFrame, baselines: Sequence[str] = ("persis
 
 
 def cross_area_mase(scores: DataFrame, areas: Sequence[int]) -> DataFrame:
-    """One row per model: MASE of the named areas as columns, and mean, worst and count over all areas."""
+    """One row per model: MASE of the named areas as columns, and mean, worst and count over all areas.
+
+    A model with several seeds enters with its mean over them in each area.
+    """
+    scores = scores.groupBy("area", "model").agg(F.avg("mase").alias("mase"))
     named = [F.max(F.when(F.col("area") == a, F.col("mase"))).alias(f"mase_{a}") for a in areas]
     table = scores.groupBy("model").agg(
         *named,
