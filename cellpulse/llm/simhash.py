@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.llm.common import join_groups, whole_text
 from cellpulse.llm.components import connected
+from cellpulse.plans.series import spread
 from cellpulse.plans.storage import durable
 
 BITS = 64
@@ -40,6 +41,7 @@ SEED = 42
 SAME_TEXT = {"words": 2, "radius": 7, "distinct": True}
 BALL_RADIUS = 4
 BUCKET = 4_096
+BROADCAST_KEYS = 200_000
 STEP = 65_536
 
 
@@ -131,12 +133,16 @@ def _ball(fp: Column, radius: int) -> Column:
 
 def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     """Links ``(u, v)`` between distinct fingerprints ``fp`` that connect the same nodes as all pairs within the radius."""
-    every = nodes.select("fp", F.posexplode(_numbers(masks(radius))).alias("table", "_mask"))
+    # few bytes of fingerprints become many rows, so they are dealt to all tasks first
+    every = spread(nodes.select("fp"), "fp").select("fp", F.posexplode(_numbers(masks(radius))).alias("table", "_mask"))
     members = every.select("table", F.col("fp").bitwiseAND(F.col("_mask")).alias("key"), "fp")
     counted = members.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
     shared = durable(counted.filter("n > 1"), "buckets")
     pairs = shared.filter("n = 2").select("u", "v").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    crowded = members.join(shared.filter("n > 2").select("table", "key", "n"), ["table", "key"])
+    keys = shared.filter("n > 2").select("table", "key", "n")
+    # the planner takes the members for as small as the fingerprints they come from, and must not broadcast them
+    few = keys.count() <= BROADCAST_KEYS
+    crowded = members.join(F.broadcast(keys), ["table", "key"]) if few else members.hint("merge").join(keys, ["table", "key"])
     some = crowded.filter(F.col("n") <= bucket).groupBy("table", "key").agg(F.collect_list("fp").alias("nodes"))
     found = some.select("nodes").mapInPandas(_search_buckets(radius), "u long, v long")
     edges = pairs.unionByName(found)
