@@ -117,10 +117,25 @@ def spanning_links(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 
 def _search_buckets(radius: int):  # noqa: ANN202
+    """Spanning links of every bucket; what earlier buckets of the task have connected already is not linked again."""
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
         for batch in batches:
-            links = [pair for nodes in batch["nodes"] for pair in spanning_links(np.asarray(nodes, np.int64), radius)]
-            yield pd.DataFrame(sorted(set(links)), columns=["u", "v"], dtype="int64")
+            fresh = []
+            for nodes in batch["nodes"]:
+                for u, v in spanning_links(np.asarray(nodes, np.int64), radius):
+                    a, b = root(u), root(v)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        fresh.append((u, v))
+            yield pd.DataFrame(fresh, columns=["u", "v"], dtype="int64")
 
     return search
 
