@@ -151,10 +151,19 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     # few bytes of fingerprints become many rows, so they are dealt to all tasks first
     every = spread(nodes.select("fp"), "fp").select("fp", F.posexplode(_numbers(masks(radius))).alias("table", "_mask"))
     members = every.select("table", F.col("fp").bitwiseAND(F.col("_mask")).alias("key"), "fp")
-    counted = members.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"))
+    content = [F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("content")]
+    counted = members.groupBy("table", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("u"), F.max("fp").alias("v"), *content)
     shared = durable(counted.filter("n > 1"), "buckets")
-    pairs = shared.filter("n = 2").select("u", "v").filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    keys = shared.filter("n > 2").select("table", "key", "n")
+    # the ends of a bucket and the exclusive-or of its members name all of them where there are two or three
+    third = F.col("x").bitwiseXOR(F.col("u")).bitwiseXOR(F.col("v"))
+    pair = lambda a, b: F.struct(a.alias("u"), b.alias("v"))
+    three = F.array(pair(F.col("u"), F.col("v")), pair(F.col("u"), third), pair(third, F.col("v")))
+    triples = shared.filter("n = 3").select("u", "v", "x").distinct().select(F.explode(three).alias("p")).select("p.u", "p.v")
+    pairs = shared.filter("n = 2").select("u", "v").unionByName(triples)
+    pairs = pairs.filter(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
+    # near copies share many buckets; those with the same members, by size, ends and hash, are searched once
+    first = F.min(F.struct("table", "key")).alias("_first")
+    keys = shared.filter("n > 3").groupBy("n", "u", "v", "content").agg(first).select("_first.table", "_first.key", "n")
     # the planner takes the members for as small as the fingerprints they come from, and must not broadcast them
     few = keys.count() <= BROADCAST_KEYS
     crowded = members.join(F.broadcast(keys), ["table", "key"]) if few else members.hint("merge").join(keys, ["table", "key"])
