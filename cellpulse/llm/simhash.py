@@ -11,11 +11,6 @@ task for a spanning forest of its links, never for all its pairs. In a larger bu
 if the balls of half the radius around them share a point, so the points are grouped instead, and rows grow in proportion to the
 bucket; for a larger radius the balls get too big, and the bucket is cut into blocks that are searched two by two.
 
-How near is near depends on the shingles. A changed word changes as many shingles as a shingle has words, so few bits over long
-shingles mean nearly equal texts only. Texts with a similarity of 0.8 on five-word shingles are about nine bits apart on those, but
-within seven bits on the sets of their two-word shingles, and unrelated texts are not; ``SAME_TEXT`` has these settings for
-dropping near copies.
-
 Defined cases: a null or blank text has fingerprint zero and links like any other; a text of fewer words than a shingle is one
 shingle; rows with a null id get a fingerprint and the component of the fingerprint, null if no row of it has an id; repeated rows stay.
 """
@@ -38,7 +33,6 @@ from cellpulse.plans.storage import durable
 
 BITS = 64
 SEED = 42
-SAME_TEXT = {"words": 2, "radius": 7, "distinct": True}
 BALL_RADIUS = 4
 BUCKET = 4_096
 BROADCAST_KEYS = 200_000
