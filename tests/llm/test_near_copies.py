@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from cellpulse.llm import near_copies
+from cellpulse.llm import near_copies, simhash
 from tests.llm.frames import TEXTS, documents
 
 
@@ -72,3 +72,15 @@ def test_rows_without_an_id_stay(spark):
     got = [r.doc_id for r in near_copies.keep_one_each(documents(spark, rows)).collect()]
     assert got.count(None) == 2 and {i for i in got if i is not None} == plain_kept([(i, t) for i, t in rows if i is not None])
     assert near_copies.keep_one_each(documents(spark, [])).collect() == []
+
+
+def test_pairs_beyond_seven_bits_go(spark):
+    """Similar texts whose fingerprints differ in more than seven bits."""
+    rng = random.Random(8)
+    rows = []
+    while len(rows) < 10:
+        one = " ".join(f"w{rng.randrange(3_000)}" for _ in range(60))
+        two = f"{one} {' '.join(f'v{rng.randrange(3_000)}' for _ in range(13))}"
+        if ((simhash.fingerprint(one, 2, True) ^ simhash.fingerprint(two, 2, True)) % 2**64).bit_count() > 7:
+            rows += [(len(rows), one), (len(rows) + 1, two)]
+    assert {r.doc_id for r in near_copies.keep_one_each(documents(spark, rows)).collect()} == {0, 2, 4, 6, 8}
