@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import ann, exact_dedup, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
+from cellpulse.llm import ann, exact_dedup, fingerprints, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -126,6 +126,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -137,6 +141,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
