@@ -24,27 +24,36 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Encoder:
-    def __init__(self, path: str) -> None:
+    """``added`` says what becomes of the strings of added tokens in a text: by default they are plain text, with ``added`` they get their own
+    ids, as the ``tokenizers`` library does unless told otherwise."""
+
+    def __init__(self, path: str, added: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = _ranked(spec)
         alphabet = byte_alphabet()
         size = 1 + max(self.slow.get_vocab(with_added_tokens=True).values())
-        self.byte_lengths = np.zeros(size, np.int64)
+        self.token_bytes = [b""] * size
         for token, i in spec["model"]["vocab"].items():
-            self.byte_lengths[i] = len(token) if all(c in alphabet for c in token) else len(token.encode())
+            self.token_bytes[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+        own = {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+        for token, i in own.items():
+            self.token_bytes[i] = token.encode()
+        self.byte_lengths = np.array([len(b) for b in self.token_bytes], np.int64)
+        self.marks = tuple(own) if added else ()
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None:
+        if self.fast is not None and not any(m in text for m in self.marks):
             try:
                 return np.array(self.fast.encode_ordinary(text), dtype="<u4")
-            except BaseException as e:  # noqa: BLE001  the native encoder panics on some very long runs
-                if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
-                    raise
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException:  # noqa: BLE001, S110  the native encoder panics on some very long runs, and its panic is no Exception
+                pass
         return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
 
@@ -66,5 +75,5 @@ def _ranked(spec: dict):  # noqa: ANN202
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)

@@ -8,7 +8,8 @@ down, and what is left goes, still as counts, to the open sequence where it fits
 list of rank ranges per length; Spark numbers the pieces of each length and looks the place of each number up, so no
 task ever holds more than one batch of documents.
 
-Only documents longer than the capacity are cut, into full pieces after a first one that may be shorter. Defined cases: a null text
+Only documents longer than the capacity are cut, into full pieces after a first one that may be shorter. Ids are those of the ``tokenizers`` library
+without special tokens around the text; the string of an added token inside a text gets that token's id. Defined cases: a null text
 is empty and becomes one piece with the end id alone; repeated rows are packed once each; a null id is carried along; an
 empty table gives an empty result.
 """
@@ -154,7 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
     source = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, added=True)
         for batch in batches:
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for k, text in enumerate(batch.column("text").to_pylist()):

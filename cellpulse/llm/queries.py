@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import ann, exact_dedup, fingerprints, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
+from cellpulse.llm import alignment, ann, exact_dedup, fingerprints, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -130,6 +130,10 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.measure(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -142,6 +146,7 @@ QUERIES: dict[str, Query] = {
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
     "op11_fingerprints": op11_fingerprints,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLES: dict[str, str] = {

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from cellpulse.llm import packing, sampled_pieces, token_counts
 from cellpulse.llm.bpe import encoder
@@ -26,6 +27,22 @@ def test_ids_are_those_of_the_tokenizer_file(text):
     assert enc.byte_lengths[ids].sum() == len(text.encode())
 
 
+def test_added_tokens_have_their_own_ids_where_asked_for():
+    text = "a <|endoftext|> b"
+    plain = Tokenizer.from_file(BYTE_BPE)
+    want = plain.encode(text, add_special_tokens=False).ids
+    enc = encoder(BYTE_BPE, added=True)
+    assert enc.ids(text).tolist() == want and 50256 in want and 50256 not in encoder(BYTE_BPE).ids(text).tolist()
+    assert enc.byte_lengths[want].sum() == len(text)
+
+
+def test_packed_ids_are_those_of_the_contract(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "no such token")]
+    plain = Tokenizer.from_file(BYTE_BPE)
+    want = {i: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in packing.pack(documents(spark, rows), BYTE_BPE).collect()} == want
+
+
 @pytest.mark.parametrize("lengths", [[1], [1024] * 5, list(range(1, 1025)), [341] * 7 + [342] * 6, [700, 300, 24, 500, 524] * 9, [600] * 50])
 def test_plan_packs_every_length_once(lengths):
     groups = packing.rounded(dict(Counter(lengths)), 1024)
