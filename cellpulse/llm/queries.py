@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellpulse.llm import alignment, ann, exact_dedup, fingerprints, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
+from cellpulse.llm import alignment, ann, exact_dedup, fingerprints, lexical, packing, pii, quality, sampled_pieces, secret_scan, simhash, token_counts, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -134,6 +134,27 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.measure(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP13_SQL = rf"""
+WITH split AS (SELECT kind, row_number() OVER () AS r, id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+    FROM (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'q', item_id, text FROM benchmark)),
+tf AS MATERIALIZED (SELECT kind, r, id, term, count(*) AS tf FROM (SELECT kind, r, id, unnest(words) AS term FROM split) GROUP BY ALL),
+n AS MATERIALIZED (SELECT r, sum(tf)::BIGINT AS n FROM tf WHERE kind = 'd' GROUP BY r),
+size AS (SELECT count(*) AS N_docs, sum(n)::BIGINT AS L FROM n),
+asked AS (SELECT term, floor(1000 * ln((2 * any_value(N_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, size WHERE kind = 'd' AND term IN (SELECT term FROM tf WHERE kind = 'q') GROUP BY term),
+scored AS (SELECT q.r AS q, q.id AS item_id, d.r, d.id AS doc_id,
+        sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * (25 + (75 * n * N_docs) // L))))::BIGINT AS score
+    FROM tf q JOIN asked USING (term) JOIN tf d ON d.term = q.term AND d.kind = 'd' JOIN n ON n.r = d.r, size WHERE q.kind = 'q' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -147,9 +168,11 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": op10_simhash,
     "op11_fingerprints": op11_fingerprints,
     "op12_alignment": op12_alignment,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op9_url_filter": _op9_sql(),
+    "op13_lexical": OP13_SQL,
 }
