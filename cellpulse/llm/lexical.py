@@ -3,7 +3,7 @@
 Documents become sparse vectors over the terms of the queries, numbered from the rarest term to the most frequent one. They are dealt to segments
 of bounded size by the signs of random projections, so like ones lie together. In a segment every posting list is clustered: representatives
 are taken from the list, each of its documents goes to the most similar one, and the documents of a representative are a block. A block
-stores the coordinatewise maximum of its documents over its own term and all more frequent ones.
+stores the coordinatewise maximum of its documents over its own term and the more frequent ones that some query asks for together with it.
 
 A document is looked for in the list of the rarest query term it holds, so these coordinates are all that can add to its score there, and the product of
 query and summary is an upper bound for every document of the block that no earlier list has. Blocks are visited by falling bound; one is skipped
@@ -39,6 +39,8 @@ SEGMENT = 4_096
 BLOCK = 32
 DIMENSIONS = 16
 SEED = 42
+LONG_QUERY = 4_096
+"""Beyond so many distinct terms in a query, summaries keep all coordinates instead of those that share a query with the list's term."""
 IMPACT_BITS = 20
 """An impact is at most 1,000,000."""
 
@@ -147,8 +149,10 @@ def clustered(points: np.ndarray, block: int) -> np.ndarray:
     return (points @ points[chosen].T).argmax(axis=1)
 
 
-def build_segment(docs: pa.Table, weights: np.ndarray, directions: np.ndarray, documents: int, total: int, block: int) -> tuple[dict[str, np.ndarray], pa.Array]:
-    """The rows of a segment by id, its posting lists in blocks, and the summaries of the blocks."""
+def build_segment(
+    docs: pa.Table, weights: np.ndarray, directions: np.ndarray, documents: int, total: int, block: int, partners: dict[int, np.ndarray] | None = None
+) -> tuple[dict[str, np.ndarray], pa.Array]:
+    """The rows of a segment by id, its posting lists in blocks, and the summaries of the blocks; and the ids."""
     docs = docs.take(pc.sort_indices(docs.column("doc_id"), null_placement="at_end"))
     terms, ptr = _flat(docs.column("terms"))
     row = np.repeat(np.arange(docs.num_rows), np.diff(ptr))
@@ -157,33 +161,59 @@ def build_segment(docs: pa.Table, weights: np.ndarray, directions: np.ndarray, d
     points /= np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-300)
     posting = np.argsort(terms, kind="stable")
     starts = np.flatnonzero(np.diff(terms[posting], prepend=-1))
-    lengths = np.diff(np.append(starts, len(posting)))
-    label = np.zeros(len(posting), np.int64)
-    for a, n in zip(starts[lengths > block].tolist(), lengths[lengths > block].tolist(), strict=True):
-        label[a : a + n] = clustered(points[row[posting[a : a + n]]], block)
-    group = np.repeat(np.arange(len(starts)), lengths)
-    order = np.lexsort((label, group))
-    posting, label, group = posting[order], label[order], group[order]
-    begins = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
-    number = np.zeros(len(posting), np.int64)
-    number[begins] = 1
-    number = np.cumsum(number) - 1
-    # a posting's share in the summary: its document's coordinates from the list's own term on
-    many = ptr[row[posting] + 1] - posting
-    at = np.repeat(posting - (np.cumsum(many) - many), many) + np.arange(many.sum())
-    packed = np.sort(((np.repeat(number, many) * len(weights) + terms[at]) << IMPACT_BITS) + impacts[at])
-    key = packed >> IMPACT_BITS
-    last = np.flatnonzero(np.append(np.diff(key), 1))
-    key, highest = key[last], packed[last] & ((1 << IMPACT_BITS) - 1)
-    heads = np.flatnonzero(np.diff(group[begins], prepend=-1))
+    wanted = np.ones(len(weights), bool) if partners is None else np.zeros(len(weights), bool)
+    list_terms, list_ptr, sizes, members, lengths, keys, maxima = [], [0], [], [], [], [], []
+    for own in np.split(posting, starts[1:]) if len(starts) else []:
+        term = int(terms[own[0]])
+        if len(own) > block:
+            label = clustered(points[row[own]], block)
+            order = np.argsort(label, kind="stable")
+            own, label = own[order], label[order]
+            number = np.cumsum(np.diff(label, prepend=label[0]) != 0)
+        else:
+            number = np.zeros(len(own), np.int64)
+        # a posting's share in the summary: its document's coordinates from the list's own term on
+        many = ptr[row[own] + 1] - own
+        at = np.repeat(own - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        number_at = np.repeat(number, many)
+        if partners is not None:
+            wanted[partners[term]] = True
+            kept = wanted[terms[at]]
+            at, number_at = at[kept], number_at[kept]
+            wanted[partners[term]] = False
+        packed = np.sort(((number_at * len(weights) + terms[at]) << IMPACT_BITS) + impacts[at])
+        last = np.flatnonzero(np.append(np.diff(packed >> IMPACT_BITS), 1))
+        key = packed[last] >> IMPACT_BITS
+        blocks = int(number[-1]) + 1
+        list_terms.append(term)
+        list_ptr.append(list_ptr[-1] + blocks)
+        sizes.append(np.bincount(number, minlength=blocks))
+        members.append(row[own])
+        lengths.append(np.bincount(key // len(weights), minlength=blocks))
+        keys.append(key % len(weights))
+        maxima.append(packed[last] & ((1 << IMPACT_BITS) - 1))
+
+    def ends(counts: list[np.ndarray]) -> np.ndarray:
+        return np.append(0, np.cumsum(np.concatenate(counts)))
+
     return {
-        "row_ptr": ptr, "terms": terms, "impacts": impacts,
-        "list_terms": terms[posting[begins[heads]]], "list_ptr": np.append(heads, len(begins)),
-        "block_ptr": np.append(begins, len(posting)), "block_docs": row[posting],
-        "summary_ptr": np.searchsorted(key, np.arange(len(begins) + 1) * len(weights)), "summary_terms": key % len(weights), "summary_max": highest,
+        "row_ptr": ptr, "terms": terms, "impacts": impacts, "list_terms": np.array(list_terms), "list_ptr": np.array(list_ptr),
+        "block_ptr": ends(sizes), "block_docs": np.concatenate(members),
+        "summary_ptr": ends(lengths), "summary_terms": np.concatenate(keys), "summary_max": np.concatenate(maxima),
     }, docs.column("doc_id").combine_chunks()
 
 
+def partners_of(asked: list[np.ndarray], n_terms: int) -> dict[int, np.ndarray] | None:
+    """For each term, the terms from it on that share a query with it; None, which stands for all, where a query is very long."""
+    if max(map(len, asked), default=0) > LONG_QUERY:
+        return None
+    found: dict[int, list[np.ndarray]] = {t: [] for t in range(n_terms)}
+    for ids in asked:
+        for i, t in enumerate(ids.tolist()):
+            found[t].append(ids[i:])
+    return {t: np.unique(np.concatenate(x)) if x else np.array([t]) for t, x in found.items()}
+
+
 def search_segment(index: dict[str, np.ndarray], queries: list[tuple[int, np.ndarray, np.ndarray]], n_terms: int, k: int) -> list[tuple[int, int, int]]:
     """``(query, row, score)`` of the best ``k`` rows for each query of (number, sorted terms, weights)."""
     ptr, terms, impacts, list_terms, list_ptr, block_ptr, block_docs, summary_ptr, summary_terms, summary_max = (index[c] for c in ARRAYS)
@@ -227,8 +257,19 @@ def search_segment(index: dict[str, np.ndarray], queries: list[tuple[int, np.nda
     return out
 
 
-def build(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT, block: int = BLOCK) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The index over the terms of ``vocabulary``, one row per segment; and for each entry of the vocabulary its number there and, by number, its weight."""
+def build(
+    docs: DataFrame,
+    vocabulary: dict[bytes, int],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    segment: int = SEGMENT,
+    block: int = BLOCK,
+    queries: list[Counter] | None = None,
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The index over the terms of ``vocabulary``, one row per segment; and for each entry of the vocabulary its number there and, by number, its weight.
+
+    If ``queries`` are given, the index is for these alone: summaries leave out what no query asks for together with the list's term.
+    """
     vectors = durable(forward(docs, vocabulary, id_col, text_col), "vectors")
     stats = vectors.agg(F.count_if(F.col("n") > 0).alias("documents"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
     documents, total = int(stats["documents"]), int(stats["total"])
@@ -239,11 +280,13 @@ def build(docs: DataFrame, vocabulary: dict[bytes, int], id_col: str = "doc_id",
     numbers[np.argsort(df, kind="stable")] = np.arange(len(df))
     weights = np.zeros(len(df), np.int64)
     weights[numbers] = [weight(int(x), documents) for x in df]
+    asked = None if queries is None else [np.sort(numbers[[vocabulary[t] for t in q]]) for q in queries]
+    partners = None if asked is None else partners_of(asked, len(df))
     placed = dealt(durable(coded(vectors.filter("size(terms) > 0"), numbers, weights), "coded"), segment)
     id_type = vectors.schema["doc_id"].dataType.simpleString()
 
     def rows(key: tuple, group: pa.Table) -> pa.Table:
-        built, ids = build_segment(group, weights, _directions(len(weights), DIMENSIONS), documents, total, block)
+        built, ids = build_segment(group, weights, _directions(len(weights), DIMENSIONS), documents, total, block, partners)
         arrays = [_list(built[c], np.array([0, len(built[c])]), pa.int32()) for c in ARRAYS]
         named = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), named, *arrays], ["segment", "doc_ids", *ARRAYS])
@@ -294,7 +337,7 @@ def search(
         counted = [(i, Counter(terms_of(r["text"]))) for i, r in enumerate(mine)]
         counted = [(i, c) for i, c in counted if c]
         vocabulary = {t: n for n, t in enumerate(sorted({t for _, c in counted for t in c}))}
-        index, numbers, weights = build(docs, vocabulary, id_col, text_col, segment, block)
+        index, numbers, weights = build(docs, vocabulary, id_col, text_col, segment, block, [c for _, c in counted])
         named = spark.createDataFrame([(i, r["item_id"]) for i, r in enumerate(mine)], f"_item int, item_id {asked.schema['item_id'].dataType.simpleString()}")
         found = _answers(index, counted, vocabulary, numbers, weights, k)
         best = Window.partitionBy("_item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
