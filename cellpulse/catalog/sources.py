@@ -95,6 +95,41 @@ def ingest_incremental(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
+REFUSED_SQL = f"""
+WITH cell AS (SELECT DISTINCT CAST(ts AS DATE) AS date, user_id + 1 AS area, {HOUR} AS t_index FROM events),
+days AS (SELECT date, count(*) AS n, min(date) OVER () AS first FROM cell GROUP BY date)
+SELECT date, CASE WHEN day(date) % 3 = 1 THEN 'area id outside the grid: 0'
+    WHEN day(date) % 3 = 2 AND date > first THEN 'record of another day: ' || CAST(first AS VARCHAR) ELSE 'stored' END AS outcome,
+    n + CASE WHEN day(date) % 3 = 1 OR day(date) % 3 = 2 AND date > first THEN 1 ELSE 0 END AS n_cells
+FROM days
+"""
+
+
+def write_spoilt_days(spark: SparkSession, sf: str, path: str) -> None:
+    """The day files again; a third of them have a record of an area that does not exist, a third one of the first day."""
+    raw = T.events_raw(spark, sf)
+    rows = raw.select("square_id", "time_ms", "country_code", "internet", X.local_day(X.from_epoch_seconds(F.floor(F.col("time_ms") / 1000))).alias("date"))
+    one = rows.groupBy("date").agg(F.min_by("square_id", "time_ms").alias("square_id"), F.min("time_ms").alias("time_ms"))
+    first = rows.agg(F.min("time_ms").alias("_t"), F.min_by("square_id", "time_ms").alias("_s"))
+    kind = F.day("date") % 3
+    extra = one.filter(kind > 0).crossJoin(F.broadcast(first)).select(
+        F.when(kind == 1, F.lit(0)).otherwise(F.col("_s")).cast("int").alias("square_id"), F.when(kind == 1, F.col("time_ms")).otherwise(F.col("_t")).alias("time_ms"),
+        F.lit(39).alias("country_code"), F.lit(1.0).alias("internet"), "date",
+    )
+    empty = [F.lit(None).cast("double").alias(c) for c in ("sms_in", "sms_out", "call_in", "call_out")]
+    lines = rows.unionByName(extra).select("square_id", "time_ms", "country_code", *empty, "internet", "date")
+    lines.repartition("date").write.partitionBy("date").option("sep", "\t").csv(path)
+
+
+@query("ingest_refused", REFUSED_SQL)
+def ingest_refused(spark: SparkSession, sf: str) -> DataFrame:
+    """Good and bad day files in one run: what is stored, what is refused and why."""
+    source, target = scratch_path(spark, "cdr"), scratch_path(spark, "cells")
+    write_spoilt_days(spark, sf, source)
+    ING.ingest_pending(spark, source, target, T.hourly_spec(spark, sf), glob="*.csv", allow_refused=True)
+    stored = spark.read.parquet(target).groupBy("date").agg(F.lit("stored").alias("outcome"), F.count(F.lit(1)).alias("n_cells"))
+    return stored.unionByName(ING.refused_files(spark, target).select("date", F.col("reason").alias("outcome"), "n_cells"))
+
 
 
 def write_grid(spark: SparkSession, sf: str) -> str:

@@ -37,6 +37,16 @@ def scan_cdr(spark: SparkSession, path: str | Sequence[str], columns: Sequence[s
     return rows.select(*columns, *extra)
 
 
+def kept_fields(lines: DataFrame) -> DataFrame:
+    """``KEPT`` and the file from raw text lines, cut at tabs by plain string functions.
+
+    Faster than the CSV reader where whole files are summed up. An empty or unreadable field is NULL; the activity is the last field.
+    """
+    cut = {"square_id": "substring_index(value, '\t', 1)", "time_ms": "substring_index(substring_index(value, '\t', 2), '\t', -1)", "internet": "substring_index(value, '\t', -1)"}
+    kinds = {f.name: f.dataType.simpleString() for f in CDR_SCHEMA}
+    return lines.select(*[F.expr(f"try_cast({cut[c]} AS {kinds[c]}) AS {c}") for c in KEPT], F.col("_metadata.file_path").alias("file"))
+
+
 def file_date(path: Column) -> Column:
     """Date in the last three ``-`` parts of the file stem, else of a ``date=`` folder; NULL if neither."""
     stem = F.regexp_extract(path, r"(?:^|[-/])(\d{4}-\d{2}-\d{2})(?:\.[A-Za-z0-9.]+)?$", 1)
@@ -45,11 +55,11 @@ def file_date(path: Column) -> Column:
 
 
 def list_day_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``(path, date, length)`` of the day files; content is pruned away, so no file is opened."""
+    """``(path, date, length, changed_at)`` of the day files; content is pruned away, so no file is opened."""
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     )
-    return files.select("path", file_date(F.col("path")).alias("date"), "length")
+    return files.select("path", file_date(F.col("path")).alias("date"), "length", F.col("modificationTime").alias("changed_at"))
 
 
 def undated_files(files: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import numpy as np
 import pytest
@@ -113,6 +114,68 @@ def test_failing_file_keeps_earlier_days(spark, tmp_path):
     assert ING.stored_rollup(spark, str(out)).count() == 24
 
 
+def bad_days(raw):
+    """Five days, of which one holds a foreign area, one a foreign day, one an unreadable line and one is short."""
+    paths = [write_day(raw, 0), write_day(raw, 1, squares=(1, 2, 3, 4, 77)), write_day(raw, 2), write_day(raw, 3, intervals=range(5))]
+    paths[2].write_text(paths[2].read_text() + "x\ty\n")
+    paths.append(raw / "second-2013-11-01.txt")
+    paths[4].write_text(f"1\t{T0 + 86_400_000}\t39\t\t\t\t\t1.0\n")
+    return paths
+
+
+REASONS = {
+    "second-2013-11-01.txt": "record of another day: 2013-11-02",
+    "sms-call-internet-mi-2013-11-02.txt": "area id outside the grid: 77",
+    "sms-call-internet-mi-2013-11-03.txt": "1 cells of unreadable records",
+    "sms-call-internet-mi-2013-11-04.txt": "day has 5 of 6 steps",
+}
+
+
+def reasons(spark, out):
+    return {r["file"].rsplit("/", 1)[1]: r["reason"] for r in ING.refused_files(spark, str(out)).collect()}
+
+
+def test_bad_files_of_a_micro_batch_hold_up_no_other(spark, tmp_path):
+    raw, out, progress = tmp_path / "raw", tmp_path / "out", tmp_path / "progress"
+    raw.mkdir()
+    bad_days(raw)
+    with pytest.raises(Q.PanelError, match="4 files refused"):
+        ING.ingest_stream(spark, str(raw), str(out), str(progress), SPEC, whole_days=True)
+    assert {r["date"] for r in spark.read.parquet(str(out)).collect()} == {dt.date(2013, 11, 1)} and ING.stored_rollup(spark, str(out)).count() == 24
+    assert reasons(spark, out) == REASONS
+    # the batch is done with; it is not offered again
+    assert ING.ingest_stream(spark, str(raw), str(out), str(progress), SPEC, whole_days=True) == 0
+
+
+def test_a_corrected_file_is_taken_by_the_batch_form(spark, tmp_path):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    bad_days(raw)
+    assert ING.ingest_pending(spark, str(raw), str(out), SPEC, days_per_batch=1, whole_days=True, allow_refused=True) == 4
+    assert reasons(spark, out) == REASONS
+    assert ING.ingest_pending(spark, str(raw), str(out), SPEC, whole_days=True) == 0
+    time.sleep(1.1)
+    write_day(raw, 3)
+    assert ING.ingest_pending(spark, str(raw), str(out), SPEC, whole_days=True) == 1
+    assert sorted(r["date"].day for r in spark.read.parquet(str(out)).select("date").distinct().collect()) == [1, 4]
+
+
+def test_a_large_file_is_stored_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ING, "CELLS_PER_PART", 8)
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    write_day(raw, 0)
+    ING.ingest_pending(spark, str(raw), str(out), SPEC)
+    assert len(list(out.glob("*/*/part-*.parquet"))) > 1 and ING.stored_rollup(spark, str(out)).count() == 24
+
+
+def test_plain_cutting_equals_the_csv_reader(spark, tmp_path):
+    write_day(tmp_path, 0)
+    (tmp_path / "odd-2013-11-02.txt").write_text("1\t2\t3\t\t\t\t\t\n1\t2\t3\t\t\t\t\t-1.5E2\n\t\t\t\t\t\t\t0\n")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(R.kept_fields(spark.read.text(str(tmp_path)))) == rows(R.scan_cdr(spark, str(tmp_path), with_file=True))
+
+
 def test_batch_ingest_limit_order_and_force(spark, tmp_path):
     raw, out = tmp_path / "raw", tmp_path / "out"
     raw.mkdir()
