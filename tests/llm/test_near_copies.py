@@ -51,11 +51,11 @@ def corpus(seed=3):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("members", "sample"), [(near_copies.MEMBERS, near_copies.SAMPLE), (11, 40)])
-def test_keeps_what_brute_force_keeps(spark, members, sample):
+@pytest.mark.parametrize(("members", "sample", "elements"), [(near_copies.MEMBERS, near_copies.SAMPLE, near_copies.GROUP_ELEMENTS), (11, 40, 200)])
+def test_keeps_what_brute_force_keeps(spark, members, sample, elements):
     rows = corpus()
     docs = documents(spark, rows)
-    kept = near_copies.keep_one_each(docs, members=members, sample=sample)
+    kept = near_copies.keep_one_each(docs, members=members, sample=sample, elements=elements)
     got = [r.doc_id for r in kept.collect()]
     assert kept.columns == docs.columns and len(got) == len(set(got)) and set(got) == plain_kept(rows)
 
