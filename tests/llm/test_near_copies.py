@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from cellpulse.llm import near_copies, simhash
@@ -84,3 +85,16 @@ def test_pairs_beyond_seven_bits_go(spark):
         if ((simhash.fingerprint(one, 2, True) ^ simhash.fingerprint(two, 2, True)) % 2**64).bit_count() > 7:
             rows += [(len(rows), one), (len(rows) + 1, two)]
     assert {r.doc_id for r in near_copies.keep_one_each(documents(spark, rows)).collect()} == {0, 2, 4, 6, 8}
+
+
+def test_tallies_never_tell_more_than_the_difference():
+    rng = random.Random(3)
+    for n in (1, 40, 300, 3_000):
+        for m in (n, n + n // 5, 20 * n):
+            one = [rng.getrandbits(60) for _ in range(n)]
+            two = one[: n // 2] + [rng.getrandbits(60) for _ in range(m - n // 2)]
+            a, b = (near_copies.tally(np.unique(np.array(x, np.int64))).tobytes() for x in (one, two))
+            told = near_copies.distance(a, b)
+            assert told <= len(set(one) ^ set(two)) and told == near_copies.distance(b, a) and near_copies.distance(a, a) == 0
+    packed = np.unique(np.arange(2_000, dtype=np.int64) * 2**20)
+    assert near_copies.distance(near_copies.tally(packed).tobytes(), near_copies.tally(packed[:1_999]).tobytes()) <= 1
