@@ -70,6 +70,33 @@ def harmonic_solve(level: np.ndarray, cross: np.ndarray, p: int):
     return beta, phi, max(0.0, float(e[0, 0] - 2 * phi @ e[1:, 0] + phi @ e[1:, 1:] @ phi))
 
 
+def harmonic_products(labelled: DataFrame, periods: Mapping[int, int], p: int, fit_on: Sequence[str]) -> DataFrame:
+    """Per chunk of an area the flattened products of ``harmonic_sums`` and the number of rows in them, from one pass."""
+    rows = labelled.filter(F.col("split").isin(list(fit_on)) & F.col("value").isNotNull())
+    parts = with_halo(rows.select("area", "t_index", F.log1p("value").alias("y")), before=p)
+    listed = pa.list_(pa.float64())
+
+    def sums(group: tuple, part: pa.Table) -> pa.Table:
+        part = part.sort_by("t_index")
+        level, cross, n, n_cross = harmonic_sums(column(part, "t_index"), column(part, "y"), column(part, "_home").astype(bool), periods, p)
+        return pa.table(
+            {
+                **key_columns(("area",), group, 1),
+                "level": pa.array([level.ravel()], type=listed),
+                "cross": pa.array([cross.ravel()], type=listed),
+                "n": pa.array([n_cross if p else n], type=pa.int64()),
+            }
+        )
+
+    return spread(parts, "area", "_chunk").groupBy("area", "_chunk").applyInArrow(sums, "area long, level array<double>, cross array<double>, n long")
+
+
+def _summed(part: pa.Table) -> list[np.ndarray]:
+    """The products of all chunks added up, as square matrices."""
+    flat = [np.sum(np.array(part.column(c).to_pylist(), dtype=float), axis=0) for c in ("level", "cross")]
+    return [m.reshape(int(round(len(m) ** 0.5)), -1) for m in flat]
+
+
 @dataclass(frozen=True)
 class Harmonic:
     """Fourier regression of log1p, then an AR(p) on its residuals, one coefficient row per area.
@@ -91,29 +118,11 @@ class Harmonic:
 
     def fit(self, labelled: DataFrame) -> DataFrame:
         """One row per area: ``beta``, ``phi``, residual sum of squares, rows used, parameters."""
-        rows = labelled.filter(F.col("split").isin(list(self.fit_on)) & F.col("value").isNotNull())
-        parts = with_halo(rows.select("area", "t_index", F.log1p("value").alias("y")), before=self.ar)
-        periods, p = self.periods, self.ar
         listed = pa.list_(pa.float64())
-
-        def sums(group: tuple, part: pa.Table) -> pa.Table:
-            part = part.sort_by("t_index")
-            level, cross, n, n_cross = harmonic_sums(
-                column(part, "t_index"), column(part, "y"), column(part, "_home").astype(bool), periods, p
-            )
-            return pa.table(
-                {
-                    **key_columns(("area",), group, 1),
-                    "level": pa.array([level.ravel()], type=listed),
-                    "cross": pa.array([cross.ravel()], type=listed),
-                    "n": pa.array([n_cross if p else n], type=pa.int64()),
-                }
-            )
+        p = self.ar
 
         def solve(group: tuple, part: pa.Table) -> pa.Table:
-            level, cross = (np.sum(np.array(part.column(c).to_pylist(), dtype=float), axis=0) for c in ("level", "cross"))
-            square = lambda m: m.reshape(int(round(len(m) ** 0.5)), -1)
-            beta, phi, rss = harmonic_solve(square(level), square(cross), p)
+            beta, phi, rss = harmonic_solve(*_summed(part), p)
             return pa.table(
                 {
                     **key_columns(("area",), group, 1),
@@ -124,11 +133,7 @@ class Harmonic:
                 }
             )
 
-        partial = (
-            spread(parts, "area", "_chunk")
-            .groupBy("area", "_chunk")
-            .applyInArrow(sums, "area long, level array<double>, cross array<double>, n long")
-        )
+        partial = harmonic_products(labelled, self.periods, p, self.fit_on)
         fitted = spread(partial, "area").groupBy("area").applyInArrow(solve, "area long, beta array<double>, phi array<double>, rss double, n long")
         return fitted.withColumn("k", F.size("beta") + F.size("phi") + 1)
 
@@ -289,6 +294,121 @@ class WindowRegression:
 # --- tuning and final fits -------------------------------------------------------------------------
 
 
+# The orders that are searched.
+K_DAILY = (2, 3, 4, 6, 8)
+K_WEEKLY = (1, 2, 3)
+AR_ORDERS = (1, 2, 3)
+
+
+def harmonic_grid(
+    labelled: DataFrame,
+    spec: PanelSpec,
+    k_daily: Sequence[int] = K_DAILY,
+    k_weekly: Sequence[int] = K_WEEKLY,
+    ar: Sequence[int] = AR_ORDERS,
+    fit_on: Sequence[str] = TRAIN,
+) -> DataFrame:
+    """Every candidate fitted in every area from one pass: ``(area, k_daily, k_weekly, ar, beta, phi, rss, n, k)``.
+
+    The regressors of a candidate are some of the largest one's, so its products are a part of the largest one's products. All candidates
+    are held to the rows that have as many predecessors as the highest order asks for, which makes their criteria comparable.
+    """
+    most = {spec.daily: max(k_daily), spec.weekly: max(k_weekly)}
+    p_most = max(ar)
+    width = 2 + 2 * sum(most.values())
+    listed = pa.list_(pa.float64())
+    grid = [(d, w, p) for d in k_daily for w in k_weekly for p in ar]
+
+    def solve(group: tuple, part: pa.Table) -> pa.Table:
+        level, cross = _summed(part)
+        out = []
+        for d, w, p in grid:
+            mine = np.concatenate((np.arange(1 + 2 * d), 1 + 2 * most[spec.daily] + np.arange(2 * w), [width - 1]))
+            lagged = np.concatenate([i * width + mine for i in range(p + 1)])
+            out.append((d, w, p, *harmonic_solve(level[np.ix_(mine, mine)], cross[np.ix_(lagged, lagged)], p)))
+        names = ("k_daily", "k_weekly", "ar", "beta", "phi", "rss")
+        kinds = (pa.int32(), pa.int32(), pa.int32(), listed, listed, pa.float64())
+        columns = {c: pa.array(x, type=t) for c, x, t in zip(names, zip(*out, strict=True), kinds, strict=True)}
+        return pa.table({**key_columns(("area",), group, len(grid)), **columns, "n": pa.array([int(column(part, "n").sum())] * len(grid), type=pa.int64())})
+
+    schema = "area long, k_daily int, k_weekly int, ar int, beta array<double>, phi array<double>, rss double, n long"
+    sums = harmonic_products(labelled, most, p_most, fit_on)
+    return spread(sums, "area").groupBy("area").applyInArrow(solve, schema).withColumn("k", F.size("beta") + F.size("phi") + 1)
+
+
+def order_scores(labelled: DataFrame, fits: DataFrame, spec: PanelSpec, k_daily: int, k_weekly: int, orders: Sequence[int], split: str = "validation") -> DataFrame:
+    """The error of each autoregressive order with the same harmonics, all orders from one pass over the split."""
+    mine = fits.filter((F.col("k_daily") == k_daily) & (F.col("k_weekly") == k_weekly))
+    model = mine.groupBy("area").agg(F.any_value("beta").alias("_beta"), *[F.max(F.when(F.col("ar") == p, F.col("phi"))).alias(f"_phi{p}") for p in orders])
+    rows = FC.with_reach(labelled, spec, [split], max(orders)).join(model, "area", "left")
+    terms = [F.lit(1.0), *X.fourier_columns("t_index", {spec.daily: k_daily, spec.weekly: k_weekly}).values()]
+    fit = sum((F.get("_beta", F.lit(i)) * c for i, c in enumerate(terms)), F.lit(0.0))
+    phis = [F.get(f"_phi{p}", F.lit(i)).alias(f"_phi{p}_{i}") for p in orders for i in range(p)]
+    rows = rows.select("area", "t_index", "split", "value", fit.alias("_fit"), *phis).withColumn("_e", F.log1p("value") - F.col("_fit"))
+
+    def build(w):
+        past = [F.lag("_e", i + 1).over(w) for i in range(max(orders))]
+        return {f"_p{p}": X.not_below_zero(F.expm1(F.col("_fit") + sum((F.col(f"_phi{p}_{i}") * past[i] for i in range(p)), F.lit(0.0)))) for p in orders}
+
+    done = over_series(rows, build, before=max(orders)).filter(F.col("split") == split)
+    each = done.select("value", F.inline(F.array(*[F.struct(F.lit(p).alias("ar"), F.col(f"_p{p}").alias("predicted")) for p in orders])))
+    return each.groupBy("ar").agg(*_errors("value"))
+
+
+def _errors(observed: str) -> list:
+    gap = F.col("predicted") - F.col(observed)
+    return [
+        F.avg(F.abs(gap)).alias("valid_mae"), F.sqrt(F.avg(F.pow(gap, F.lit(2)))).alias("valid_rmse"), F.count("predicted").alias("n"),
+        F.count_if(F.col("predicted").isNull() & F.col(observed).isNotNull()).alias("n_without_forecast"),
+    ]
+
+
+TUNED = "stage string, candidate string, model string, aicc double, valid_mae double, valid_rmse double, n long, n_without_forecast long, selected boolean"
+
+
+def tune_harmonic(labelled: DataFrame, spec: PanelSpec, k_daily: Sequence[int] = K_DAILY, k_weekly: Sequence[int] = K_WEEKLY, ar: Sequence[int] = AR_ORDERS) -> tuple[Harmonic, DataFrame]:
+    """Fourier orders by AICc summed over the areas, then the autoregressive order by validation error: the winner and one row per candidate.
+
+    Ties go to the fewer parameters. One pass over train fits all candidates, one over validation scores all orders.
+    """
+    spark = labelled.sparkSession
+    fits = durable(harmonic_grid(labelled, spec, k_daily, k_weekly, ar), "harmonic-grid")
+    criteria = FC.information_criteria(fits.filter(F.col("ar") == max(ar))).groupBy("k_daily", "k_weekly").agg(F.sum("aicc").alias("aicc"))
+    pairs = sorted(criteria.collect(), key=lambda r: (r["aicc"], r["k_daily"], r["k_weekly"]))  # one row per pair of orders
+    d, w = pairs[0]["k_daily"], pairs[0]["k_weekly"]
+    scores = sorted(order_scores(labelled, fits, spec, d, w, ar).collect(), key=lambda r: (r["valid_mae"], r["ar"]))
+    name = Harmonic(spec).name
+    rows = [("fourier_order", f"k_daily={r['k_daily']} k_weekly={r['k_weekly']}", name, r["aicc"], None, None, None, None, r is pairs[0]) for r in pairs]
+    rows += [("ar_order", f"ar={r['ar']}", name, None, r["valid_mae"], r["valid_rmse"], r["n"], r["n_without_forecast"], r is scores[0]) for r in scores]
+    return Harmonic(spec, d, w, scores[0]["ar"]), spark.createDataFrame(rows, TUNED)
+
+
+def tune_stages(start: FC.Forecaster, stages: Sequence[tuple[str, Sequence[Mapping]]], labelled: DataFrame, spec: PanelSpec) -> tuple[FC.Forecaster, DataFrame]:
+    """One axis after the other, each from the winner of the one before: the last winner and one row per candidate."""
+    spark, rows, current = labelled.sparkSession, [], start
+    for stage, changes in stages:
+        options = {", ".join(f"{k}={v}" for k, v in c.items()): dataclasses.replace(current, **c) for c in changes}
+        scored = tune_grid(list(options.items()), labelled, spec, stage).collect()  # one row per candidate, best first
+        current = options[scored[0]["candidate"]]
+        rows += [(stage, r["candidate"], r["model"], None, r["valid_mae"], r["valid_rmse"], r["n"], r["n_without_forecast"], r is scored[0]) for r in scored]
+    return current, spark.createDataFrame(rows, TUNED)
+
+
+def window_stages(spec: PanelSpec) -> list[tuple[str, list[dict]]]:
+    """How much history a window holds, how strongly it is regularised, and whether the calendar helps."""
+    lengths = sorted({max(1, spec.daily // 4), max(1, spec.daily // 2), spec.daily, 2 * spec.daily})
+    return [
+        ("sequence_length", [{"length": n} for n in lengths]),
+        ("regularisation", [{"reg": r, "mix": m} for r in (0.0001, 0.001, 0.01) for m in (0.0, 0.5)]),
+        ("calendar_ablation", [{"calendar": True}, {"calendar": False}]),
+    ]
+
+
+def tree_stages() -> list[tuple[str, list[dict]]]:
+    """Depth and leaf size together, as they trade off."""
+    return [("trees", [{"depth": d, "min_rows": m} for d in (3, 5) for m in (20, 100)])]
+
+
 def tune_grid(
     candidates: Sequence[tuple[str, FC.Forecaster]], labelled: DataFrame, spec: PanelSpec, stage: str = "grid"
 ) -> DataFrame:
@@ -299,12 +419,7 @@ def tune_grid(
     table = None
     for label, forecaster in candidates:
         rows = FC.walk_forward(forecaster, labelled, spec, "validation", forecaster.fit(labelled))
-        score = rows.groupBy("model").agg(
-            F.avg(F.abs(F.col("predicted") - F.col("observed"))).alias("valid_mae"),
-            F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("observed"), F.lit(2)))).alias("valid_rmse"),
-            F.count("predicted").alias("n"),
-            F.count_if(F.col("predicted").isNull() & F.col("observed").isNotNull()).alias("n_without_forecast"),
-        )
+        score = rows.groupBy("model").agg(*_errors("observed"))
         score = score.select(F.lit(stage).alias("stage"), F.lit(label).alias("candidate"), "model", "valid_mae", "valid_rmse", "n", "n_without_forecast")
         table = score if table is None else table.unionByName(score)
     return table.orderBy(F.asc_nulls_last("valid_mae"), "candidate")

@@ -273,6 +273,42 @@ def test_fitted_forecasts_reach_metrics_diagnostics_and_ensembles(spark, world):
     assert {r["model"] for r in DG.worst_windows(both.filter("seed = 0"), 24).collect()} >= {"harmonic", "boosted_trees"}
 
 
+def test_grid_fits_equal_single_fits(world):
+    """Each candidate from the shared products is the model that a fit of its own gives, up to the few rows without enough predecessors."""
+    spec, _, labelled = world
+    grid = {(r["area"], r["k_daily"], r["k_weekly"], r["ar"]): r for r in MO.harmonic_grid(labelled, spec, (1, 3), (1, 2), (1, 3)).collect()}
+    assert len({k[1:] for k in grid}) == 8
+    for d, w, p in ((1, 2, 3), (3, 1, 3), (3, 2, 1)):
+        for r in MO.Harmonic(spec, d, w, p).fit(labelled).collect():
+            got = grid[r["area"], d, w, p]
+            assert got["k"] == r["k"] and np.allclose(got["beta"], r["beta"], atol=1e-9)
+            assert np.allclose(got["phi"], r["phi"], atol=1e-9 if p == 3 else 0.02)
+
+
+def test_tuning_the_harmonic_model_scores_what_its_own_forecasts_score(world):
+    spec, _, labelled = world
+    winner, table = MO.tune_harmonic(labelled, spec, (1, 2), (1,), (1, 2))
+    rows = table.collect()
+    assert [r["stage"] for r in rows].count("fourier_order") == 2 and sum(r["selected"] for r in rows) == 2
+    orders = {r["candidate"]: r for r in rows if r["stage"] == "ar_order"}
+    assert orders[f"ar={winner.ar}"]["valid_mae"] == min(r["valid_mae"] for r in orders.values())
+    best = next(r for r in rows if r["stage"] == "fourier_order" and r["selected"])
+    assert best["candidate"] == f"k_daily={winner.k_daily} k_weekly={winner.k_weekly}"
+    twin = MO.Harmonic(spec, winner.k_daily, winner.k_weekly, 2)
+    alone = MO.tune_grid([("x", twin)], labelled, spec).first()
+    assert orders["ar=2"]["valid_mae"] == pytest.approx(alone["valid_mae"], rel=1e-6) and orders["ar=2"]["n"] == alone["n"]
+
+
+def test_stages_carry_the_winner_forward(world):
+    spec, _, labelled = world
+    stages = [("sequence_length", [{"length": 2}, {"length": 24}]), ("calendar_ablation", [{"calendar": True}, {"calendar": False}])]
+    winner, table = MO.tune_stages(MO.WindowRegression(spec), stages, labelled, spec)
+    rows = table.collect()
+    assert [r["stage"] for r in rows] == ["sequence_length"] * 2 + ["calendar_ablation"] * 2
+    chosen = {r["stage"]: r["candidate"] for r in rows if r["selected"]}
+    assert chosen == {"sequence_length": f"length={winner.length}", "calendar_ablation": f"calendar={winner.calendar}"}
+
+
 def test_the_final_fit_keeps_the_trees_that_validation_chose(world):
     spec, _, labelled = world
     trees = MO.BoostedTrees(spec, trees=6, depth=3, step=0.5)
