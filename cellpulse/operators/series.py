@@ -116,13 +116,18 @@ def acf_peaks(acf_rows: DataFrame, floor: float = 0.2, top: int = 10, keys: Sequ
     )
 
 
+PACF_LAGS = 400
+
+
 def pacf(panel: DataFrame, spec: PanelSpec, n_lags: int, value: str = "value") -> DataFrame:
-    """Yule-Walker partial autocorrelation to min(n_lags, n/2 - 1, 400).
+    """Yule-Walker partial autocorrelation to min(n_lags, n/2 - 1); more than ``PACF_LAGS`` lags are refused.
 
     Spark reduces each series to its autocorrelations; the Levinson recursion then runs on at most
-    401 numbers per series.
+    ``PACF_LAGS`` + 1 numbers per series.
     """
-    limit = min(n_lags, max(1, spec.n_steps // 2 - 1), 400)
+    if n_lags > PACF_LAGS:
+        raise ValueError(f"at most {PACF_LAGS} partial autocorrelations, {n_lags} asked for")
+    limit = min(n_lags, max(1, spec.n_steps // 2 - 1))
     rho = acf(panel, limit, value=value).filter("acf is not null").select("area", "lag", "acf", "n")
 
     def recursion(group: tuple, rows: pa.Table) -> pa.Table:
