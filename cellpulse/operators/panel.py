@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.plans.dims import in_dates
-from cellpulse.plans.series import ordinal, over_series, whole_numbers
+from cellpulse.plans.series import CHUNK_STEPS, ordinal, over_series, spread, whole_numbers
 from cellpulse.settings import PanelSpec
 
 
@@ -56,6 +56,11 @@ def country_codes_per_day(raw: DataFrame, spec: PanelSpec) -> DataFrame:
     return raw.groupBy(day.alias("date")).agg(F.countDistinct("country_code").alias("n_codes"))
 
 
+def _silence() -> dict[str, Column]:
+    """What a cell without a record holds."""
+    return {"value": F.lit(0.0), "n_rows": F.lit(0).cast("long")}
+
+
 def seen_steps(rollup: DataFrame) -> DataFrame:
     """Steps for which at least one area has a record."""
     return rollup.select("t_index").distinct()
@@ -64,46 +69,80 @@ def seen_steps(rollup: DataFrame) -> DataFrame:
 def densify(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every area at every *seen* step; silence becomes 0.0 and keeps ``n_rows`` 0.
 
-    Each seen step is expanded to the areas 1..N by generators, in blocks that are spread over all
-    tasks, and the observations are joined on the full ``(area, t_index)`` key, whose rows are unique
-    on both sides.
+    Only occupied cells and one mark per area and seen day are shuffled; the silent steps between them are made where they
+    lie. Days seen in no area are not made at all, and of the others the steps seen in no area go again.
     """
-    ends = seen_steps(rollup).select("t_index", F.lit(1).cast("long").alias("_lo"), F.lit(spec.n_areas).cast("long").alias("_hi"))
-    grid = whole_numbers(ends, "_lo", "_hi", "area")
-    return _filled(grid.select("area", "t_index"), inside_grid(rollup, spec, steps=False))
+    seen = seen_steps(rollup)
+    days = seen.select(X.idiv("t_index", spec.daily).alias("_day")).distinct()
+    ends = days.select("_day", F.lit(1).cast("long").alias("_lo"), F.lit(spec.n_areas).cast("long").alias("_hi"))
+    starts = whole_numbers(ends, "_lo", "_hi", "area").select("area", (F.col("_day") * spec.daily).alias("t_index"))
+    known = inside_grid(rollup, spec)
+    filled = _filled_in_place(known, starts, spec, spec.daily, _silence())
+    # no more rows than the period has steps
+    return filled.join(F.broadcast(seen) if spec.n_steps <= BROADCAST_STEPS else seen, "t_index", "left_semi").select("area", "t_index", "value", "n_rows")
+
 
+PLACED_STEPS = 8 * CHUNK_STEPS
+"""Up to this length of the period a whole area lies in one partition; longer series are dealt by area and chunk."""
+BROADCAST_STEPS = 1_000_000
+"""Seen steps are sent to all tasks up to this length of the period; a longer one is joined as Catalyst sees fit."""
 
-def inside_grid(rollup: DataFrame, spec: PanelSpec, steps: bool = True) -> DataFrame:
-    """The roll-up itself; a row outside the areas 1..N or the steps of the period fails the query instead of vanishing in a join."""
+
+def inside_grid(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The roll-up itself; a row outside the areas 1..N or the steps of the period fails the query instead of vanishing."""
     area, step = F.col("area"), F.col("t_index")
-    outside = (area < 1) | (area > spec.n_areas)
-    if steps:
-        outside = outside | (step < 0) | (step >= spec.n_steps)
-    told = F.raise_error(F.format_string("area %s at step %s lies outside the panel", area.cast("string"), step.cast("string")))
-    return rollup.withColumn("t_index", F.when(outside, told).otherwise(step))
+    inside = F.coalesce(area.between(1, spec.n_areas) & step.between(0, spec.n_steps - 1), F.lit(False))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("NULL"))
+    told = F.raise_error(F.format_string("area %s at step %s lies outside the panel", name(area), name(step)))
+    return rollup.withColumn("t_index", F.when(inside, step).otherwise(told))
 
 
 def full_panel(rollup: DataFrame, spec: PanelSpec) -> DataFrame:
     """Every area at every step of the period, silent cells 0.0: the form all series operators take.
 
-    The grid is generated by ``spark.range``: no shuffle, no source scan, even partitions.
+    Only occupied cells are shuffled. A period of at most ``PLACED_STEPS`` leaves the panel partitioned by area, so
+    aggregates, joins and windows by area that follow move nothing.
     """
-    return with_times(_filled(_whole_grid(rollup, spec), inside_grid(rollup, spec)), spec)
+    known = inside_grid(rollup, spec)
+    return with_times(_filled_in_place(known, _chunk_starts(rollup, spec), spec, CHUNK_STEPS, _silence()), spec)
 
 
-def _whole_grid(like: DataFrame, spec: PanelSpec) -> DataFrame:
-    return like.sparkSession.range(spec.n_areas * spec.n_steps).select(
-        (X.idiv("id", spec.n_steps) + 1).alias("area"), (F.col("id") % spec.n_steps).alias("t_index")
+def _chunk_starts(like: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Area and first step of every chunk of the period."""
+    chunks = -(-spec.n_steps // CHUNK_STEPS)
+    return like.sparkSession.range(spec.n_areas * chunks).select(
+        (X.idiv("id", chunks) + 1).alias("area"), (F.col("id") % chunks * CHUNK_STEPS).alias("t_index")
     )
 
 
-def _filled(grid: DataFrame, rollup: DataFrame) -> DataFrame:
-    return grid.join(rollup.select("area", "t_index", "value", "n_rows"), ["area", "t_index"], "left").select(
-        "area",
-        "t_index",
-        F.coalesce("value", F.lit(0.0)).alias("value"),
-        F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"),
-    )
+def _filled_in_place(
+    known: DataFrame, starts: DataFrame, spec: PanelSpec, size: int, silent: dict[str, Column], placed: bool = False
+) -> DataFrame:
+    """``known`` rows and every step that they leave out of the chunks of ``size`` steps whose ``starts`` are given.
+
+    Each row makes the silent steps up to the next row of its area and chunk, so a row never makes more than ``size``
+    and the grid itself is not shuffled. ``placed`` says that ``known`` may lie partitioned already; then only the starts
+    are moved to it.
+    """
+    types = dict(known.dtypes)
+    by_area = spec.n_steps <= PLACED_STEPS
+    chunk = X.idiv("t_index", size)
+    marks = starts.select("area", "t_index", *[F.lit(None).cast(types[n]).alias(n) for n in silent], F.lit(True).alias("_mark"))
+    rows = known.select("area", "t_index", *silent, F.lit(False).alias("_mark"))
+    if placed and by_area:
+        rows = rows.unionByName(spread(marks, "area")).withColumn("_chunk", chunk)
+    else:
+        rows = rows.unionByName(marks).withColumn("_chunk", chunk)
+        rows = spread(rows, "area") if by_area else spread(rows, "area", "_chunk")
+    w = Window.partitionBy("area", "_chunk").orderBy("t_index", F.desc("_mark"))
+    end = F.least((F.col("_chunk") + 1) * size, F.lit(spec.n_steps))
+    after = rows.withColumn("_next", F.coalesce(F.lead("t_index").over(w), end))
+    last = F.col("_next") - 1
+    # a known row makes itself at least, also beside one of the same step; a mark that meets one makes nothing
+    steps = F.when(~F.col("_mark"), F.sequence("t_index", F.greatest("t_index", last))).when(F.col("_next") > F.col("t_index"), F.sequence("t_index", last))
+    made = after.select("area", F.col("t_index").alias("_at"), *silent, "_mark", F.explode(steps).alias("t_index"))
+    own = ~F.col("_mark") & (F.col("_at") == F.col("t_index"))
+    return made.select("area", "t_index", *[F.when(own, F.col(n)).otherwise(c).alias(n) for n, c in silent.items()])
 
 
 def with_times(panel: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -118,10 +157,13 @@ def time_index(spec: PanelSpec, spark) -> DataFrame:
 
 
 def stack_days(dense: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Place day blocks on the step grid of the period; a step seen in no area stays NULL."""
+    """Place day blocks on the step grid of the period; a step seen in no area stays NULL.
+
+    Day blocks that come from ``densify`` lie where they are needed and are not shuffled again.
+    """
     known = inside_grid(dense.select("area", "t_index", "value"), spec)
-    placed = _whole_grid(dense, spec).join(known, ["area", "t_index"], "left")
-    return with_times(placed, spec)
+    silent = {"value": F.lit(None).cast("double")}
+    return with_times(_filled_in_place(known, _chunk_starts(dense, spec), spec, CHUNK_STEPS, silent, placed=True), spec)
 
 
 def gap_runs(missing: DataFrame) -> DataFrame:

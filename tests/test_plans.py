@@ -7,6 +7,7 @@ from cellpulse.plans.dims import literal_table
 from cellpulse.plans.ordering import globally_ordered, quantile_of_ordered
 from cellpulse.plans.series import ordinal, over_series, running_total
 from cellpulse.plans.storage import shared_dir
+from tests.fixtures import spec_hourly
 
 
 def frame(spark, n=500, areas=2, seed=1):
@@ -94,3 +95,57 @@ def test_literal_table_needs_no_scan_and_has_a_limit(spark):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def exchanges(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_nothing_moves_the_grid(spark):
+    from cellpulse.operators import panel as P
+    from cellpulse.operators.series import difference
+
+    spec = spec_hourly(10, n_areas=3)
+    rollup = spark.createDataFrame([(1, 5, 2.0, 1)], "area long, t_index long, value double, n_rows long")
+    full, stacked = P.full_panel(rollup, spec), P.stack_days(P.densify(rollup, spec), spec)
+    # the occupied cells, the marks of areas and chunks, and the steps seen; none lies above the generator of the grid
+    for df in (full, stacked, difference(full, 24), full.groupBy("area").agg({"value": "sum"})):
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        made = next(i for i, line in enumerate(lines) if "Generate explode(CASE WHEN NOT _mark" in line)
+        assert not [line for line in lines[:made] if "Exchange" in line]
+    assert len(exchanges(full)) == 1
+
+
+@pytest.mark.parametrize("days", [2, 400])
+def test_cells_filled_in_place_equal_a_plain_grid(spark, monkeypatch, days):
+    from cellpulse.operators import panel as P
+
+    if days == 400:  # several chunks, and areas dealt by chunk
+        monkeypatch.setattr(P, "CHUNK_STEPS", 1_000)
+        monkeypatch.setattr(P, "PLACED_STEPS", 5_000)
+    spec = spec_hourly(days, n_areas=3)
+    rng = np.random.default_rng(days)
+    occupied = {(int(a), int(t)): float(rng.integers(1, 9)) for a, t in zip(rng.integers(1, 3, 60), rng.integers(0, spec.n_steps, 60))}
+    occupied[(1, 0)], occupied[(2, spec.n_steps - 1)] = 4.0, 5.0
+    rollup = spark.createDataFrame([(a, t, v, 1) for (a, t), v in occupied.items()], "area long, t_index long, value double, n_rows long")
+    seen = {t for _, t in occupied}
+    cells = lambda df: sorted((r["area"], r["t_index"], r["value"]) for r in df.collect())
+    every = [(a, t) for a in (1, 2, 3) for t in range(spec.n_steps)]
+    assert cells(P.full_panel(rollup, spec)) == [(a, t, occupied.get((a, t), 0.0)) for a, t in every]
+    dense = P.densify(rollup, spec)
+    assert cells(dense) == [(a, t, occupied.get((a, t), 0.0)) for a, t in every if t in seen]
+    placed = sorted(P.stack_days(dense, spec).collect(), key=lambda r: (r["area"], r["t_index"]))
+    assert [(r["area"], r["t_index"], r["value"]) for r in placed] == [(a, t, occupied.get((a, t), 0.0) if t in seen else None) for a, t in every]
+
+
+def test_a_cell_given_twice_stays_twice_and_an_empty_roll_up_is_silent(spark):
+    from cellpulse.operators import panel as P
+
+    spec = spec_hourly(1, n_areas=2)
+    schema = "area long, t_index long, value double, n_rows long"
+    twice = spark.createDataFrame([(1, 3, 1.0, 1), (1, 3, 2.0, 1)], schema)
+    assert P.full_panel(twice, spec).count() == 49 and P.full_panel(twice, spec).agg({"value": "sum"}).first()[0] == 3.0
+    empty = spark.createDataFrame([], schema)
+    assert P.full_panel(empty, spec).count() == 48 and P.densify(empty, spec).count() == 0
+    assert P.stack_days(P.densify(empty, spec), spec).filter("value is null").count() == 48
