@@ -77,9 +77,16 @@ def lognormal_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(D.lognormal_fit(T.customer_totals(spark, sf)), 8)
 
 
-@query("lognormal_ks")
+@query(
+    "lognormal_ks",
+    f"WITH {CUSTOMERS}, l AS (SELECT area, ln(total) AS x FROM cells WHERE total > 0), f AS (SELECT avg(x) AS mu, stddev_pop(x) AS sg, count(*) AS n FROM l), "
+    "z AS (SELECT area, (x - mu) / sg AS z, row_number() OVER (ORDER BY x, area) AS i, n FROM l, f), k AS (SELECT unnest(range(0, 160)) AS k), "
+    "p AS (SELECT area, max(i) AS i, max(n) AS n, 0.5 + sign(max(z)) * sum(exp(-z * z / 2 + (2 * k + 1) * ln(abs(z)) + k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2))) / sqrt(2 * pi()) AS f FROM z, k GROUP BY area), "
+    "d AS (SELECT max(greatest(i / n - f, f - (i - 1) / n)) AS d, max(n) AS n FROM p), a AS (SELECT d, d * sqrt(n) + 1 / (6 * sqrt(n)) + (d * sqrt(n) - 1) / (4 * n) AS x FROM d) "
+    "SELECT round(max(d), 8) AS lognormal_ks_stat, round(CASE WHEN max(x) < 0.18 THEN 1.0 ELSE least(1.0, greatest(0.0, sum(CASE WHEN k = 0 THEN 0 WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2.0 * k * k * x * x)))) END, 8) + 0.0 AS lognormal_ks_pvalue FROM a, k",
+)
 def lognormal_ks(spark: SparkSession, sf: str) -> DataFrame:
-    return D.lognormal_ks(T.customer_totals(spark, sf))
+    return rounded(D.lognormal_ks(T.customer_totals(spark, sf)), 8)
 
 
 @query(

@@ -67,7 +67,15 @@ def acf_peaks(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(S.acf_peaks(rows, floor=0.05), 8)
 
 
-@query("pacf")
+@query(
+    "pacf",
+    f"WITH RECURSIVE {ACF_SQL}, rh AS (SELECT area, list(acf ORDER BY lag) AS rho FROM rho WHERE lag <= 60 AND acf IS NOT NULL GROUP BY area), "
+    "lv AS (SELECT area, rho, 1 AS k, [rho[2]] AS phi, 1 - rho[2] * rho[2] AS err, rho[2] AS q FROM rh UNION ALL "
+    "SELECT area, rho, k + 1, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda x: x[1] - q * x[2]), q), err * (1 - q * q), q "
+    "FROM (SELECT area, rho, k, phi, err, (rho[k + 2] - list_sum(list_transform(list_zip(phi, list_reverse(rho[2:k + 1])), lambda x: x[1] * x[2]))) / err AS q FROM lv WHERE k < 60) s) "
+    "SELECT area, k::INTEGER AS lag, round(q, 8) + 0.0 AS pacf, round(q - 1.959963984540054 / sqrt(720), 8) + 0.0 AS lower, round(q + 1.959963984540054 / sqrt(720), 8) + 0.0 AS upper FROM lv "
+    "UNION ALL SELECT area, 0, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE FROM rh",
+)
 def pacf(spark: SparkSession, sf: str) -> DataFrame:
     panel, spec = T.events_panel(spark, sf)
     return rounded(S.pacf(panel, spec, 60), 8)

@@ -133,3 +133,72 @@ def fourier_columns(t_index: Column | str, periods: dict[int, int]) -> dict[str,
             out[f"sin_{period}_{k}"] = F.sin(phase * k)
             out[f"cos_{period}_{k}"] = F.cos(phase * k)
     return out
+
+
+def ln_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x > 0: Stirling's series at x + 10, stepped back by the recurrence."""
+    y = x + 10
+    square = y * y
+    series = 1 / (12 * y) * (1 - 1 / (30 * square) * (1 - 2 / (7 * square) * (1 - 3 / (4 * square))))
+    back = F.lit(1.0)
+    for i in range(10):
+        back = back * (x + i)
+    return (y - 0.5) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(back)
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, steps: Column) -> Column:
+    """Regularised incomplete beta function I_x(a, b) for a, b > 0 and 0 < x < 1.
+
+    Its continued fraction, multiplied out from the front, on the side of the mean where it converges; ``steps`` terms, of which some
+    multiple of the root of the larger parameter is enough.
+    """
+    swap = x >= (a + 1) / (a + b + 2)
+    u, v, z = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, 1 - x).otherwise(x)
+
+    def term(j: Column) -> Column:
+        m = F.floor(j / 2)
+        odd = -(u + m) * (u + v + m) * z / ((u + 2 * m) * (u + 2 * m + 1))
+        return F.when(j % 2 == 1, odd).otherwise(m * (v - m) * z / ((u + 2 * m - 1) * (u + 2 * m)))
+
+    def move(s: Column, j: Column) -> Column:
+        t = term(j)
+        c, d = 1 + t / s["c"], 1 / (1 + t * s["d"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["f"] * c * d).alias("f"))
+
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("f"))
+    fraction = F.aggregate(F.sequence(F.lit(1).cast("long"), steps.cast("long")), start, move)["f"]
+    front = F.exp(ln_gamma(u + v) - ln_gamma(u) - ln_gamma(v) + u * F.log(z) + v * F.log(1 - z))
+    below = front / (u * fraction)
+    return F.when(swap, 1 - below).otherwise(below)
+
+
+NORMAL_TERMS = 160
+NORMAL_REACH = 9.0
+"""Beyond so many deviations the normal distribution function is 0 or 1 in doubles."""
+
+
+def normal_cdf(z: Column) -> Column:
+    """Standard normal distribution function: density times the series of z^(2k+1) / (1 3 5 .. (2k+1)), all of whose terms have one sign."""
+    square = z * z
+    start = F.struct(z.alias("term"), z.alias("sum"))
+
+    def move(s: Column, k: Column) -> Column:
+        term = s["term"] * square / (2 * k + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(NORMAL_TERMS)), start, move)["sum"]
+    inside = F.lit(0.5) + F.exp(-square / 2) / F.lit(math.sqrt(2 * math.pi)) * series
+    return F.when(z >= NORMAL_REACH, 1.0).when(z <= -NORMAL_REACH, 0.0).otherwise(inside)
+
+
+def kolmogorov_pvalue(stat: Column, n: Column) -> Column:
+    """P(D >= stat) for n values: the limit law at the argument corrected for n (Vrbik 2018). It is not exact: 0.0016 off was measured
+    beside the library's test for 12 values; tests hold it to 0.002 there and to 0.001 from 300 values on.
+    """
+    root = F.sqrt(n.cast("double"))
+    x = stat * root + 1 / (6 * root) + (stat * root - 1) / (4 * n)
+    signed = F.aggregate(
+        F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda total, k: total + F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x)
+    )
+    # below this argument the law is 1 to sixteen digits, and the series cancels
+    return F.when(x < 0.18, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), signed)))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,8 +11,6 @@ from cellpulse.functions import exprs as X
 from cellpulse.operators.quality import PanelError
 from cellpulse.operators.series import difference
 from cellpulse.plans.dims import literal_table
-from cellpulse.plans.series import running_total, whole_numbers
-from cellpulse.plans.storage import durable
 from cellpulse.settings import PanelSpec
 
 MAD_TO_SIGMA = 1.4826  # fixed value: makes the MAD of a normal sample estimate its sigma
@@ -92,29 +89,17 @@ def anomalies_per_date(enriched: DataFrame) -> DataFrame:
 
 
 def binomial_upper_tail(counts: DataFrame, k: str, n: str, p: float, name: str) -> DataFrame:
-    """P(X >= k) for X ~ Binomial(n, p), as sums of exp(log pmf).
+    """P(X >= k) for X ~ Binomial(n, p) as a column, from I_p(k, n - k + 1): no table of terms, no join.
 
-    ``ln i!`` is a running sum over 1..n built in blocks, so the table of logarithms is spread over
-    tasks and no factorial overflows.
+    The work of a row grows with the root of n. No success asked for gives 1, more than n gives 0, a NULL gives NULL.
     """
-    top = counts.agg(F.lit(0).cast("long").alias("zero"), F.max(n).alias("top"))
-    numbers = whole_numbers(top, "zero", "top", "i")
-    logs = numbers.select(
-        F.lit(0).alias("area"), F.col("i").alias("t_index"), F.when(F.col("i") > 0, F.log(F.greatest(F.col("i"), F.lit(1)).cast("double"))).otherwise(0.0).alias("l")
-    )
-    fact = running_total(logs, "l", "ln_fact").select(F.col("t_index").alias("i"), "ln_fact")
-    # every group needs the terms i = k .. n: an equi-join after expanding its own tail
-    tails = whole_numbers(counts, k, n, "i")
-    terms = (
-        tails.join(fact, "i")
-        .join(fact.select(F.col("i").alias("_j"), F.col("ln_fact").alias("ln_rest")), F.col(n) - F.col("i") == F.col("_j"))
-        .join(fact.select(F.col("i").alias("_n"), F.col("ln_fact").alias("ln_all")), F.col(n) == F.col("_n"))
-    )
-    log_pmf = (
-        F.col("ln_all") - F.col("ln_fact") - F.col("ln_rest")
-        + F.col("i") * F.lit(math.log(p)) + (F.col(n) - F.col("i")) * F.lit(math.log1p(-p))
-    )
-    return terms.groupBy(*counts.columns).agg(F.least(F.sum(F.exp(log_pmf)), F.lit(1.0)).alias(name))
+    hits, trials = F.col(k).cast("double"), F.col(n).cast("double")
+    # the arguments of rows that are settled anyway are kept in the domain
+    inner = F.least(F.greatest(hits, F.lit(1.0)), F.greatest(trials, F.lit(1.0)))
+    size = F.greatest(trials, F.lit(1.0))
+    tail = X.incomplete_beta(inner, size - inner + 1, F.lit(float(p)), 60 + F.ceil(8 * F.sqrt(size)))
+    settled = F.when(hits.isNull() | trials.isNull(), F.lit(None).cast("double")).when(hits <= 0, 1.0).when(hits > trials, 0.0)
+    return counts.withColumn(name, settled.otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))))
 
 
 def holiday_enrichment(enriched: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -122,8 +107,6 @@ def holiday_enrichment(enriched: DataFrame, spec: PanelSpec) -> DataFrame:
     days = [h for h in spec.holidays if spec.start <= h[0] <= spec.end]
     share = len(days) / spec.n_days
     counts = enriched.agg(F.count_if("is_holiday").alias("on_holiday"), F.count(F.lit(1)).alias("n_flagged"))
-    # one row, written so that the detection behind it runs once
-    counts = durable(counts, "flags")
     tail = binomial_upper_tail(counts, "on_holiday", "n_flagged", share, "p_value")
     return tail.select(
         "on_holiday",

@@ -46,14 +46,21 @@ def lognormal_fit(totals: DataFrame, value: str = "total") -> DataFrame:
     return totals.filter(F.col(value) > 0).agg(*_lognormal(value))
 
 
-def lognormal_ks(totals: DataFrame, value: str = "total") -> DataFrame:
-    """One-sample Kolmogorov-Smirnov test of the fitted lognormal: ln x against its own normal."""
-    from pyspark.ml.stat import KolmogorovSmirnovTest
-
-    logs = totals.filter(F.col(value) > 0).select(F.log(value).alias("x"))
-    fit = lognormal_fit(totals, value).first()
-    test = KolmogorovSmirnovTest.test(logs, "x", "norm", fit["lognormal_mu"], fit["lognormal_sigma"])
-    return test.select(F.col("statistic").alias("lognormal_ks_stat"), F.col("pValue").alias("lognormal_ks_pvalue"))
+def lognormal_ks(totals: DataFrame, value: str = "total", unique: str = "area") -> DataFrame:
+    """One-sample Kolmogorov-Smirnov test of the fitted lognormal: ln x against its own normal.
+
+    The statistic is the largest gap between the fitted distribution function and the steps just before and at each
+    value's position, one aggregate over the ordered table. NULL if no cell is positive or all are equal.
+    """
+    logs = totals.filter(F.col(value) > 0).select(unique, F.log(value).alias("_x"))
+    ordered = globally_ordered(logs, "_x", unique)
+    fit = ordered.agg(F.avg("_x").alias("_mu"), F.stddev_pop("_x").alias("_sigma"))  # one row
+    level = X.normal_cdf(X.safe_div(F.col("_x") - F.col("_mu"), F.col("_sigma")))
+    placed = ordered.join(F.broadcast(fit)).select("position", "n_rows", level.alias("_f"))
+    gap = F.greatest(F.col("position") / F.col("n_rows") - F.col("_f"), F.col("_f") - (F.col("position") - 1) / F.col("n_rows"))
+    stat = placed.agg(F.max(F.when(F.col("_f").isNotNull(), gap)).alias("lognormal_ks_stat"), F.max("n_rows").alias("_n"))
+    pvalue = F.when(F.col("lognormal_ks_stat").isNotNull(), X.kolmogorov_pvalue(F.col("lognormal_ks_stat"), F.col("_n")))
+    return stat.select("lognormal_ks_stat", pvalue.alias("lognormal_ks_pvalue"))
 
 
 def check_non_negative(totals: DataFrame, value: str = "total") -> None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
@@ -122,42 +122,39 @@ PACF_LAGS = 400
 def pacf(panel: DataFrame, spec: PanelSpec, n_lags: int, value: str = "value") -> DataFrame:
     """Yule-Walker partial autocorrelation to min(n_lags, n/2 - 1); more than ``PACF_LAGS`` lags are refused.
 
-    Spark reduces each series to its autocorrelations; the Levinson recursion then runs on at most
-    ``PACF_LAGS`` + 1 numbers per series.
+    Spark reduces each series to its autocorrelations, at most ``PACF_LAGS`` + 1 numbers, and the recursion folds over them where they
+    lie. NULL from the order on that leaves no error to explain; a constant series has no rows.
     """
     if n_lags > PACF_LAGS:
         raise ValueError(f"at most {PACF_LAGS} partial autocorrelations, {n_lags} asked for")
     limit = min(n_lags, max(1, spec.n_steps // 2 - 1))
-    rho = acf(panel, limit, value=value).filter("acf is not null").select("area", "lag", "acf", "n")
-
-    def recursion(group: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("lag")
-        values = levinson(column(rows, "acf"))
-        lags = np.arange(len(values), dtype=np.int32)
-        half = np.where(lags == 0, 0.0, 1.959963984540054 / math.sqrt(column(rows, "n")[0]))
-        return pa.table(
-            {**key_columns(("area",), group, len(lags)), "lag": lags, "pacf": values, "lower": values - half, "upper": values + half}
-        )
-
-    schema = "area long, lag int, pacf double, lower double, upper double"
-    return spread(rho, "area").groupBy("area").applyInArrow(recursion, schema)
-
-
-def levinson(rho: np.ndarray) -> np.ndarray:
-    """Partial autocorrelations from autocorrelations by the Levinson-Durbin recursion."""
-    order = len(rho) - 1
-    out = np.ones(order + 1)
-    phi = np.zeros(0)
-    error = rho[0]
-    for k in range(1, order + 1):
-        if error <= 0:
-            out[k:] = np.nan
-            break
-        reflection = (rho[k] - phi @ rho[k - 1 : 0 : -1]) / error if k > 1 else rho[1] / error
-        phi = np.append(phi - reflection * phi[::-1], reflection)
-        error *= 1 - reflection**2
-        out[k] = reflection
-    return out
+    rho = acf(panel, limit, value=value).filter("acf is not null").groupBy("area").agg(
+        F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_r"), F.max("n").alias("_n")
+    )
+    folded = rho.select("area", "_n", levinson(F.col("_r.acf")).alias("_p")).select("area", "_n", F.posexplode("_p").alias("lag", "pacf"))
+    half = F.when(F.col("lag") == 0, 0.0).otherwise(F.lit(1.959963984540054) / F.sqrt("_n"))
+    return folded.select("area", "lag", "pacf", (F.col("pacf") - half).alias("lower"), (F.col("pacf") + half).alias("upper"))
+
+
+def levinson(rho: Column) -> Column:
+    """Partial autocorrelations from an array of autocorrelations, lag 0 first, by the Levinson-Durbin recursion."""
+    none = F.array().cast("array<double>")
+    start = F.struct(none.alias("phi"), F.get(rho, F.lit(0)).alias("error"), F.array(F.lit(1.0)).alias("out"))
+
+    def step(s: Column, k: Column) -> Column:
+        known = F.zip_with(s["phi"], F.reverse(F.slice(rho, 2, k - 1)), lambda a, b: a * b)
+        rest = F.get(rho, k) - F.aggregate(known, F.lit(0.0), lambda total, x: total + x)
+        # a one-element array gives the reflection a name, so it is worked out once
+        reflection = F.array(F.when(s["error"] > 0, rest / F.nullif(s["error"], F.lit(0.0))))
+        return F.get(F.transform(reflection, lambda r: F.struct(
+            F.array_append(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda a, b: a - r * b), r).alias("phi"),
+            (s["error"] * (1 - r * r)).alias("error"),
+            F.array_append(s["out"], r).alias("out"),
+        )), F.lit(0))
+
+    # a series of one lag has nothing to fold over
+    orders = F.when(F.size(rho) > 1, F.sequence(F.lit(1), F.size(rho) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(orders, start, step, lambda s: s["out"])
 
 
 # --- spectrum ------------------------------------------------------------------------------------

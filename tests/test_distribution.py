@@ -106,3 +106,23 @@ def test_grid_and_distance(spark):
     text = S.describe_cell(here).filter("area = 1").first()["context"]
     assert text.startswith("Duomo 0 m; Galleria")
     assert S.landmarks(spark).count() == 16
+
+
+def test_kolmogorov_smirnov_equals_the_library_test(spark):
+    from pyspark.ml.stat import KolmogorovSmirnovTest
+
+    rng = np.random.default_rng(8)
+    # the p-value is the corrected limit law, 0.0016 off for these 12 values
+    for n, off, values in ((12, 2e-3, rng.gamma(2, 5, 12)), (300, 1e-3, rng.lognormal(2, 1.5, 300)), (3_000, 1e-3, rng.weibull(1.5, 3_000))):
+        got = D.lognormal_ks(cells(spark, values)).first()
+        logs = np.log(values)
+        frame = spark.createDataFrame([(float(v),) for v in logs], "x double")
+        want = KolmogorovSmirnovTest.test(frame, "x", "norm", float(logs.mean()), float(logs.std())).first()
+        assert got["lognormal_ks_stat"] == pytest.approx(want["statistic"], rel=1e-9), n
+        assert got["lognormal_ks_pvalue"] == pytest.approx(want["pValue"], abs=off), n
+
+
+def test_kolmogorov_smirnov_without_a_spread_is_null(spark):
+    for values in (np.full(5, 3.0), np.zeros(4)):
+        got = D.lognormal_ks(cells(spark, values)).first()
+        assert got["lognormal_ks_stat"] is None and got["lognormal_ks_pvalue"] is None

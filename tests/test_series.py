@@ -203,3 +203,29 @@ def test_binomial_tail(spark):
         assert p == pytest.approx(want, rel=1e-9)
     # 35 of 152 flags on 8 of 62 days: the published p value
     assert got[(35, 152)] == pytest.approx(4.3e-4, rel=0.02)
+
+
+def test_binomial_tail_of_large_counts_and_edges(spark):
+    from math import exp, fsum, lgamma, log, log1p
+
+    def brute(k, n, p):
+        terms = (lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log1p(-p) for i in range(k, n + 1))
+        return fsum(exp(t) for t in terms)
+
+    rows = [(0, 0), (1, 0), (6, 5), (1, 1), (60, 1_000), (100, 1_000), (180, 1_000), (19_800, 200_000), (20_300, 200_000), (None, 4)]
+    df = spark.createDataFrame(rows, "k long, n long")
+    for r in A.binomial_upper_tail(df, "k", "n", 0.1, "p").collect():
+        if r["k"] is None:
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(1.0 if r["k"] == 0 else brute(r["k"], r["n"], 0.1), rel=1e-8)
+
+
+def test_pacf_of_short_and_constant_series(spark):
+    spec = spec_hourly(1, n_areas=2)
+    panel = panel_frame(spark, {1: np.full(24, 2.0), 2: np.r_[np.zeros(23), 1.0]}, spec)
+    out = S.pacf(panel, spec, 5)
+    assert {r["area"] for r in out.collect()} == {2}
+    first = {r["lag"]: r["pacf"] for r in out.collect()}
+    x = np.r_[np.zeros(23), 1.0]
+    assert first[0] == 1.0 and first[1] == pytest.approx(brute_acf(x, 1)[1]) and len(first) == 6
