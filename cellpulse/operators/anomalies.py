@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
@@ -16,20 +16,23 @@ from cellpulse.settings import PanelSpec
 MAD_TO_SIGMA = 1.4826  # fixed value: makes the MAD of a normal sample estimate its sigma
 
 
-def robust_scale(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Median and 1.4826 MAD per group; population standard deviation where the MAD is zero.
+def with_scale(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Median (``centre``) and robust ``scale`` of its group beside each row, by windows: nothing is joined.
 
-    Two exact-median aggregates. Their state is one counter per distinct value of a group, and a group
-    here is one phase of one series.
+    The scale is 1.4826 MAD, or the population standard deviation where the MAD is zero. A window holds one group, which
+    here is one phase of one series, and a panel that lies by area is not moved. A join would be planned by the size of the
+    tables read, which says nothing about a filled panel: the panel itself could be sent through the driver.
     """
-    centre = rows.groupBy(*keys).agg(F.median(value).alias("centre"), F.stddev_pop(value).alias("_sd"))
-    spread = rows.join(centre, list(keys)).groupBy(*keys).agg(
-        F.median(F.abs(F.col(value) - F.col("centre"))).alias("_mad"),
-        F.first("centre").alias("centre"),
-        F.first("_sd").alias("_sd"),
-    )
+    group = Window.partitionBy(*keys)
+    centred = rows.withColumn("centre", F.median(value).over(group)).withColumn("_sd", F.stddev_pop(value).over(group))
+    spread = centred.withColumn("_mad", F.median(F.abs(F.col(value) - F.col("centre"))).over(group))
     scale = F.when(F.col("_mad") > 0, F.lit(MAD_TO_SIGMA) * F.col("_mad")).otherwise(F.col("_sd"))
-    return spread.select(*keys, "centre", scale.alias("scale"))
+    return spread.withColumn("scale", scale).drop("_sd", "_mad")
+
+
+def robust_scale(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Median and 1.4826 MAD per group; population standard deviation where the MAD is zero."""
+    return with_scale(rows, keys, value).groupBy(*keys).agg(F.any_value("centre").alias("centre"), F.any_value("scale").alias("scale"))
 
 
 def seasonal_residuals(panel: DataFrame, spec: PanelSpec, seasonal: int, value: str = "value") -> DataFrame:
@@ -46,9 +49,9 @@ def scored(
     rows = seasonal_residuals(panel, spec, seasonal, value).withColumn(
         "phase", F.pmod(F.col("t_index"), F.lit(seasonal)) if per_phase else F.lit(0)
     )
-    scales = robust_scale(rows, ("area", "phase"), "residual")
+    scales = with_scale(rows, ("area", "phase"), "residual")
     z = F.coalesce(X.safe_div(F.abs(F.col("residual") - F.col("centre")), F.col("scale")), F.lit(0.0))
-    return rows.join(scales, ["area", "phase"]).withColumn("z", z).drop("centre")
+    return scales.withColumn("z", z).drop("centre")
 
 
 def seasonal_anomalies(panel: DataFrame, spec: PanelSpec, seasonal: int, threshold: float = 4.0, **how) -> DataFrame:

@@ -229,3 +229,22 @@ def test_pacf_of_short_and_constant_series(spark):
     first = {r["lag"]: r["pacf"] for r in out.collect()}
     x = np.r_[np.zeros(23), 1.0]
     assert first[0] == 1.0 and first[1] == pytest.approx(brute_acf(x, 1)[1]) and len(first) == 6
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scales_are_found_without_a_join(spark):
+    """The planner takes a filled panel for as small as its roll-up and would send it through the driver."""
+    spec = spec_hourly(4, n_areas=2)
+    panel = panel_frame(spark, {1: two_season(96), 2: np.zeros(96)}, spec)
+    assert "Join" not in plan_of(A.scored(panel, spec, 24))
+    rows = A.seasonal_residuals(panel, spec, 24).withColumn("phase", A.F.pmod("t_index", A.F.lit(24)))
+    scales = A.robust_scale(rows, ("area", "phase"), "residual")
+    assert "Join" not in plan_of(scales)
+    got = {(r["area"], r["phase"]): (r["centre"], r["scale"]) for r in scales.collect()}
+    assert len(got) == 48 and got[2, 5] == (0.0, 0.0)
+    res = two_season(96)
+    res = (res[24:] - res[:-24])[7::24]
+    assert got[1, 7] == pytest.approx((np.median(res), 1.4826 * np.median(np.abs(res - np.median(res)))))
