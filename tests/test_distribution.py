@@ -126,3 +126,15 @@ def test_kolmogorov_smirnov_without_a_spread_is_null(spark):
     for values in (np.full(5, 3.0), np.zeros(4)):
         got = D.lognormal_ks(cells(spark, values)).first()
         assert got["lognormal_ks_stat"] is None and got["lognormal_ks_pvalue"] is None
+
+
+def test_totals_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Equal totals of customers whose orders are added in another order share a value, so that ids break the tie."""
+    from cellpulse.sources import testdata as T
+
+    prices = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]
+    rows = [(k, p) for k in range(40) for p in prices[k % 2]]
+    spark.createDataFrame(rows, "o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    totals = T.customer_totals(spark, str(tmp_path))
+    assert {r["total"] for r in totals.collect()} == {0.6}
+    assert [r["area"] for r in D.ccdf(totals).orderBy("position").collect()] == list(range(40))
