@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cellpulse.functions import exprs as X
 from cellpulse.operators.series import column, difference, key_columns
+from cellpulse.operators.panel import PLACED_STEPS
 from cellpulse.plans.series import over_series, running_total, spread, with_halo
 from cellpulse.settings import PanelSpec
 
@@ -43,12 +44,58 @@ def kpss(panel: DataFrame, spec: PanelSpec, value: str = "value") -> DataFrame:
 
     The Bartlett-weighted long-run variance with bandwidth l equals the sum of squared sums over all
     windows of l + 1 residuals, divided by n (l + 1). Window sums are differences of the running sums
-    the statistic needs anyway, so any bandwidth costs one join instead of l lag products. The series
-    must have no inner gaps.
+    the statistic needs anyway, so any bandwidth costs two look-ups a step instead of l lag products. The series
+    must have no inner gaps. Up to ``PLACED_STEPS`` an area lies whole in one partition and is reduced to its sums there,
+    so nothing is joined or moved; longer series are joined in chunks.
     """
-    clean = panel.filter(F.col(value).isNotNull()).select("area", "t_index", F.col(value).alias("v"))
+    clean = panel.filter(F.col(value).isNotNull()).select("area", "t_index", F.col(value).cast("double").alias("v"))
+    totals = _kpss_placed(clean) if spec.n_steps <= PLACED_STEPS else _kpss_joined(clean, spec)
+    return totals.select("area", F.col("n").alias("n_obs"), *_kpss_columns())
+
+
+def _kpss_columns() -> list[Column]:
+    """Bandwidth, statistic and p-value from the sums ``n``, ``l``, ``eta`` and ``w``."""
+    n = F.col("n").cast("double")
+    variance = F.col("w") / (n * (F.col("l") + 1))
+    stat = X.safe_div(F.col("eta") / (n * n), F.when(variance > 0, variance))
+    return [F.col("l").cast("int").alias("kpss_lags"), stat.alias("kpss_stat"), kpss_pvalue(stat).alias("kpss_pvalue")]
+
+
+def kpss_sums(v: np.ndarray) -> tuple[int, float, float]:
+    """Bandwidth, squared running sums, and squared window sums of the residuals of one series."""
+    n = len(v)
+    if v.min() == v.max():
+        return n - 1, 0.0, 0.0
+    e = v - v.mean()
+    cover = min(int(math.floor(n ** (2.0 / 9.0))), n - 1)
+    c = [float(e[k:] @ e[: n - k]) for k in range(cover + 1)]
+    s0 = c[0] / n + sum(x / (n / 2) for x in c[1:])
+    s1 = sum(k * x / (n / 2) for k, x in enumerate(c))
+    s = np.cumsum(e)
+    ratio = s1 / s0 if s0 else math.inf
+    wide = 1.1447 * (ratio * ratio) ** (1.0 / 3.0) * n ** (1.0 / 3.0)
+    width = 0 if math.isnan(wide) else int(min(wide, n - 1))
+    inside = s.copy()
+    inside[width + 1 :] -= s[: n - width - 1]
+    tail = s[max(0, n - width - 1) : n - 1]
+    return width, float(s @ s), float(inside @ inside + tail @ tail)
+
+
+def _kpss_placed(clean: DataFrame) -> DataFrame:
+    """``(area, n, l, eta, w)`` from whole series."""
+
+    def sums(group: tuple, rows: pa.Table) -> pa.Table:
+        width, eta, w = kpss_sums(column(rows.sort_by("t_index"), "v"))
+        made = {"n": pa.array([len(rows)], type=pa.int64()), "l": pa.array([width], type=pa.int64()), "eta": pa.array([eta]), "w": pa.array([w])}
+        return pa.table({**key_columns(("area",), group, 1), **made})
+
+    return clean.groupBy("area").applyInArrow(sums, "area long, n long, l long, eta double, w double")
+
+
+def _kpss_joined(clean: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The same sums of longer series, by windows over chunks and joins; the panel's side of a join is never sent to all tasks."""
     stats = clean.groupBy("area").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.min("t_index").alias("t_first"))
-    resid = clean.join(stats, "area").select(
+    resid = clean.hint("merge").join(stats, "area").select(
         "area", "n", (F.col("t_index") - F.col("t_first")).alias("t_index"), (F.col("v") - F.col("m")).alias("e")
     )
 
@@ -70,85 +117,97 @@ def kpss(panel: DataFrame, spec: PanelSpec, value: str = "value") -> DataFrame:
     bandwidth = F.floor(F.lit(1.1447) * F.pow(ratio * ratio, F.lit(1.0 / 3.0)) * F.pow(n, F.lit(1.0 / 3.0)))
     chosen = sums.select("area", F.least(bandwidth, F.col("n") - 1).cast("long").alias("l"))
 
-    running = running_total(resid, "e", "s").select("area", "n", "t_index", "s").join(chosen, "area")
+    running = running_total(resid, "e", "s").select("area", "n", "t_index", "s").hint("merge").join(chosen, "area")
     earlier = running.select("area", (F.col("t_index") + F.col("l") + 1).alias("t_index"), F.col("s").alias("s_before"))
-    windows = running.join(earlier, ["area", "t_index"], "left")
+    windows = running.hint("merge").join(earlier, ["area", "t_index"], "left")
     inside = F.col("s") - F.coalesce("s_before", F.lit(0.0))
     tail = F.when(F.col("t_index").between(F.col("n") - F.col("l") - 1, F.col("n") - 2), F.col("s") * F.col("s")).otherwise(0.0)
-    totals = windows.groupBy("area", "n", "l").agg(
+    return windows.groupBy("area", "n", "l").agg(
         F.sum(F.col("s") * F.col("s")).alias("eta"), F.sum(inside * inside + tail).alias("w")
     )
-    variance = F.col("w") / (n * (F.col("l") + 1))
-    stat = X.safe_div(F.col("eta") / (n * n), F.when(variance > 0, variance))
-    out = totals.select("area", F.col("n").alias("n_obs"), F.col("l").cast("int").alias("kpss_lags"), stat.alias("kpss_stat"))
-    return out.withColumn("kpss_pvalue", kpss_pvalue(F.col("kpss_stat")))
 
 
 def adf_max_lag(n: int) -> int:
     return max(0, min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
 
 
+ADF = "adf_stat double, adf_pvalue double, adf_lags int, adf_nobs long"
+
+
 def adf(panel: DataFrame, spec: PanelSpec, value: str = "value", max_lag: int | None = None, chunk: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller with a constant, lag order by AIC.
 
-    One Gram matrix of (dy, y(t-1), lagged dy, 1) per area carries every nested lag order. Chunks
+    One Gram matrix of (dy, y(t-1), lagged dy, 1) per area carries every nested lag order. Up to ``PLACED_STEPS`` it is made and
+    solved where the area lies; of longer series, or with ``chunk``, chunks
     build partial Gram matrices in parallel; the solve sees a (p + 3) square matrix per area. The highest order
     that is tried follows from the number of values the area has, unless ``max_lag`` is given.
     """
-    n_steps = spec.n_steps
-    p = adf_max_lag(n_steps) if max_lag is None else max_lag
-    clean = panel.filter(F.col(value).isNotNull()).select("area", "t_index", F.col(value).alias("v"))
-    parts = with_halo(clean, before=p + 1, chunk=chunk)
+    p = adf_max_lag(spec.n_steps) if max_lag is None else max_lag
+    clean = panel.filter(F.col(value).isNotNull()).select("area", "t_index", F.col(value).cast("double").alias("v"))
+
+    def tested(group: tuple, found: tuple) -> pa.Table:
+        columns = {n: pa.array([x], type=t) for (n, t), x in zip(ADF_TYPES.items(), found, strict=True)}
+        return pa.table({**key_columns(("area",), group, 1), **columns})
+
+    def whole(group: tuple, rows: pa.Table) -> pa.Table:
+        return tested(group, adf_of(column(rows.sort_by("t_index"), "v"), p, max_lag is not None))
+
+    if chunk is None and spec.n_steps <= PLACED_STEPS:
+        return clean.groupBy("area").applyInArrow(whole, f"area long, {ADF}")
 
     def gram(group: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("t_index")
-        y, own = column(rows, "v"), column(rows, "_home").astype(bool)
-        dy = np.diff(y)  # dy[i] = y[i + 1] - y[i]
-        at = np.flatnonzero(own)
-        # fewer than p + 1 rows before the first own row: the series starts in this chunk
-        full = at[at >= p + 1]
-        z = np.column_stack([dy[full - 1], y[full - 1], *[dy[full - 1 - k] for k in range(1, p + 1)], np.ones(len(full))])
-        # rows that only lower lag orders can use: position, dy, level, lagged dy as far as they exist
-        heads = []
-        for i in at[(at >= 1) & (at < p + 1)]:
-            lags = [dy[i - 1 - k] if i - 1 - k >= 0 else 0.0 for k in range(1, p + 1)]
-            heads += [float(i), dy[i - 1], y[i - 1], *lags]
+        g, n, length, heads = adf_gram(column(rows, "v"), column(rows, "_home").astype(bool), p)
         return pa.table(
             {
                 **key_columns(("area",), group, 1),
-                "gram": pa.array([(z.T @ z).ravel()], type=pa.list_(pa.float64())),
-                "rows": pa.array([len(full)], type=pa.int64()),
-                "length": pa.array([len(at)], type=pa.int64()),
-                "heads": pa.array([heads], type=pa.list_(pa.float64())),
+                "gram": pa.array([g.ravel()], type=pa.list_(pa.float64())),
+                "rows": pa.array([n], type=pa.int64()),
+                "length": pa.array([length], type=pa.int64()),
+                "heads": pa.array([heads.ravel()], type=pa.list_(pa.float64())),
             }
         )
 
-    partial = (
-        spread(parts, "area", "_chunk")
-        .groupBy("area", "_chunk")
-        .applyInArrow(gram, "area long, gram array<double>, rows long, length long, heads array<double>")
-    )
-
     def solve(group: tuple, rows: pa.Table) -> pa.Table:
         width = p + 3
         g = np.sum(np.array(rows.column("gram").to_pylist(), dtype=float), axis=0).reshape(width, width)
         heads = np.array([v for part in rows.column("heads").to_pylist() for v in part], dtype=float).reshape(-1, 3 + p)
-        n = int(column(rows, "rows").sum())
-        own = p if max_lag is not None else min(p, adf_max_lag(int(column(rows, "length").sum())))
-        g, n, heads = lower_order(g, n, heads, p, own)
-        stat, lags, used = adf_from_gram(g, n, heads, own)
-        return pa.table(
-            {
-                **key_columns(("area",), group, 1),
-                "adf_stat": pa.array([stat]),
-                "adf_pvalue": pa.array([mackinnon_p(stat)]),
-                "adf_lags": pa.array([lags], type=pa.int32()),
-                "adf_nobs": pa.array([used], type=pa.int64()),
-            }
-        )
+        n, length = int(column(rows, "rows").sum()), int(column(rows, "length").sum())
+        return tested(group, adf_solved(g, n, length, heads, p, max_lag is not None))
+
+    parts = spread(with_halo(clean, before=p + 1, chunk=chunk), "area", "_chunk")
+    partial = parts.groupBy("area", "_chunk").applyInArrow(gram, "area long, gram array<double>, rows long, length long, heads array<double>")
+    return spread(partial, "area").groupBy("area").applyInArrow(solve, f"area long, {ADF}")
+
+
+ADF_TYPES = {"adf_stat": pa.float64(), "adf_pvalue": pa.float64(), "adf_lags": pa.int32(), "adf_nobs": pa.int64()}
+
+
+def adf_gram(y: np.ndarray, own: np.ndarray, p: int) -> tuple[np.ndarray, int, int, np.ndarray]:
+    """The Gram matrix of the own rows with a whole history, their number, that of all own rows, and the rows that only lower orders can use."""
+    dy = np.diff(y)  # dy[i] = y[i + 1] - y[i]
+    at = np.flatnonzero(own)
+    # fewer than p + 1 rows before the first own row: the series starts in this chunk
+    full = at[at >= p + 1]
+    z = np.column_stack([dy[full - 1], y[full - 1], *[dy[full - 1 - k] for k in range(1, p + 1)], np.ones(len(full))])
+    # rows that only lower lag orders can use: position, dy, level, lagged dy as far as they exist
+    heads = []
+    for i in at[(at >= 1) & (at < p + 1)]:
+        lags = [dy[i - 1 - k] if i - 1 - k >= 0 else 0.0 for k in range(1, p + 1)]
+        heads += [float(i), dy[i - 1], y[i - 1], *lags]
+    return z.T @ z, len(full), len(at), np.array(heads, dtype=float).reshape(-1, 3 + p)
+
+
+def adf_solved(g: np.ndarray, n: int, length: int, heads: np.ndarray, p: int, fixed: bool) -> tuple[float, float, int, int]:
+    """Statistic, p-value, lag order and rows used; unless ``fixed``, the highest order follows from the length."""
+    own = p if fixed else min(p, adf_max_lag(length))
+    stat, lags, used = adf_from_gram(*lower_order(g, n, heads, p, own), own)
+    return stat, mackinnon_p(stat), lags, used
+
 
-    schema = "area long, adf_stat double, adf_pvalue double, adf_lags int, adf_nobs long"
-    return spread(partial, "area").groupBy("area").applyInArrow(solve, schema)
+def adf_of(y: np.ndarray, p: int, fixed: bool = False) -> tuple[float, float, int, int]:
+    """The test of one whole series."""
+    return adf_solved(*adf_gram(y, np.ones(len(y), bool), p), p, fixed)
 
 
 def _fit(g: np.ndarray, index: Sequence[int]):
@@ -233,30 +292,54 @@ def verdict(adf_p: Column, kpss_p: Column, alpha: float) -> Column:
 
 
 def stationarity_table(panel: DataFrame, spec: PanelSpec, seasonal: int, alpha: float = 0.05) -> DataFrame:
-    """Both tests on the raw series, its first difference and its seasonal difference."""
-    base = panel.select("area", "t_index", "value")
-    forms = {
-        "raw": base,
-        "first difference": difference(base, 1, name="d").select("area", "t_index", F.col("d").alias("value")),
-        f"seasonal difference (lag {seasonal})": difference(base, seasonal, name="d").select(
-            "area", "t_index", F.col("d").alias("value")
-        ),
-    }
+    """Both tests on the raw series, its first difference and its seasonal difference.
+
+    Up to ``PLACED_STEPS`` an area makes its three forms and all tests where it lies, from one pass over the panel.
+    """
+    base = panel.select("area", "t_index", F.col("value").cast("double").alias("value"))
+    lags = {"raw": 0, "first difference": 1, f"seasonal difference (lag {seasonal})": seasonal}
+    both = _placed_tests(base, spec, lags) if spec.n_steps <= PLACED_STEPS else _joined_tests(base, spec, lags)
+    return both.select(
+        "area",
+        "transform",
+        "n_obs",
+        "adf_stat",
+        "adf_pvalue",
+        "adf_lags",
+        (F.col("adf_pvalue") < alpha).alias("adf_rejects_unit_root"),
+        "kpss_stat",
+        "kpss_pvalue",
+        "kpss_lags",
+        (F.col("kpss_pvalue") < alpha).alias("kpss_rejects_stationarity"),
+        verdict(F.col("adf_pvalue"), F.col("kpss_pvalue"), alpha).alias("verdict"),
+    )
+
+
+def _placed_tests(base: DataFrame, spec: PanelSpec, lags: dict[str, int]) -> DataFrame:
+    p = adf_max_lag(spec.n_steps)
+
+    def tests(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("t_index")
+        v, known, out = column(rows, "value"), rows.column("value").is_valid().to_numpy(), []
+        for label, lag in lags.items():
+            made = known if lag == 0 else known[lag:] & known[:-lag]
+            form = (v if lag == 0 else v[lag:] - v[:-lag])[made]
+            if len(form):
+                out.append((label, len(form), *kpss_sums(form), *adf_of(form, p)))
+        found = list(zip(*out, strict=True)) or [()] * (len(types) - 1)
+        columns = {c: pa.array(x, type=t) for (c, t), x in zip(list(types.items())[1:], found, strict=True)}
+        return pa.table({**key_columns(("area",), group, len(out)), **columns})
+
+    kinds = {"transform": pa.string(), "n": pa.int64(), "l": pa.int64(), "eta": pa.float64(), "w": pa.float64(), **ADF_TYPES}
+    types = {"area": pa.int64(), **kinds}
+    schema = f"area long, transform string, n long, l long, eta double, w double, {ADF}"
+    return base.groupBy("area").applyInArrow(tests, schema).select("area", "transform", F.col("n").alias("n_obs"), *ADF_TYPES, *_kpss_columns())
+
+
+def _joined_tests(base: DataFrame, spec: PanelSpec, lags: dict[str, int]) -> DataFrame:
     out = None
-    for label, form in forms.items():
-        both = adf(form, spec).join(kpss(form, spec), "area").select(
-            "area",
-            F.lit(label).alias("transform"),
-            "n_obs",
-            "adf_stat",
-            "adf_pvalue",
-            "adf_lags",
-            (F.col("adf_pvalue") < alpha).alias("adf_rejects_unit_root"),
-            "kpss_stat",
-            "kpss_pvalue",
-            "kpss_lags",
-            (F.col("kpss_pvalue") < alpha).alias("kpss_rejects_stationarity"),
-            verdict(F.col("adf_pvalue"), F.col("kpss_pvalue"), alpha).alias("verdict"),
-        )
+    for label, lag in lags.items():
+        form = difference(base, lag, name="d").select("area", "t_index", F.col("d").alias("value")) if lag else base
+        both = adf(form, spec).join(kpss(form, spec), "area").withColumn("transform", F.lit(label))
         out = both if out is None else out.unionByName(both)
     return out

@@ -248,3 +248,22 @@ def test_scales_are_found_without_a_join(spark):
     res = two_season(96)
     res = (res[24:] - res[:-24])[7::24]
     assert got[1, 7] == pytest.approx((np.median(res), 1.4826 * np.median(np.abs(res - np.median(res)))))
+
+
+def test_stationarity_in_place_equals_the_joined_form(spark, monkeypatch):
+    """Series that lie whole are tested without a join; longer ones, cut into chunks, give the same figures."""
+    rng = np.random.default_rng(5)
+    n = 10 * 24
+    holed = rng.normal(size=n)
+    holed[:30] = np.nan
+    spec = spec_hourly(10, n_areas=4)
+    panel = panel_frame(spark, {1: rng.normal(size=n), 2: np.cumsum(rng.normal(size=n)), 3: holed, 4: np.full(n, 2.0)}, spec)
+    placed = ST.stationarity_table(panel, spec, 24)
+    assert "Join" not in plan_of(placed) and "Join" not in plan_of(ST.kpss(panel, spec))
+    got = {(r["area"], r["transform"]): r.asDict() for r in placed.collect()}
+    monkeypatch.setattr(ST, "PLACED_STEPS", 0)
+    want = {(r["area"], r["transform"]): r.asDict() for r in ST.stationarity_table(panel, spec, 24).collect()}
+    assert len(want) == 12 and got.keys() == want.keys()
+    for key, row in want.items():
+        for name, value in row.items():
+            assert got[key][name] == (pytest.approx(value, rel=1e-7, nan_ok=True) if isinstance(value, float) else value), (key, name)
