@@ -67,17 +67,13 @@ def error_by_daytype(predictions: DataFrame, spec: PanelSpec, keys: Sequence[str
 def residual_acf(predictions: DataFrame, n_lags: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Autocorrelation of the residuals with the 95 % white-noise bound; NULL when every residual is equal."""
     rows = predictions.select(*keys, "t_index", (F.col("observed") - F.col("predicted")).alias("residual"))
-    sizes = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("residual").alias("_lo"), F.max("residual").alias("_hi")
-    )
-    products = lag_products(rows, n_lags, keys, "residual").drop("n")
-    joined = products.join(sizes, list(keys)).filter(F.col("lag") <= F.col("n") - 1)
-    flat = F.col("_lo") == F.col("_hi")
-    return joined.select(
+    products = lag_products(rows, n_lags, keys, "residual").filter(F.col("lag") <= F.col("n_rows") - 1)
+    flat = F.col("lowest") == F.col("highest")
+    return products.select(
         *keys,
         "lag",
         F.when(~flat, X.safe_div(F.col("product"), F.col("c0"))).alias("acf"),
-        F.when(flat, F.lit(0.0)).otherwise(1.96 / F.sqrt(F.col("n").cast("double"))).alias("confidence"),
+        F.when(flat, F.lit(0.0)).otherwise(1.96 / F.sqrt(F.col("n_rows").cast("double"))).alias("confidence"),
     )
 
 

@@ -37,13 +37,6 @@ def rolling_stats(panel: DataFrame, window: int, value: str = "value") -> DataFr
 # --- autocorrelation -----------------------------------------------------------------------------
 
 
-def dense(t: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Values placed by time from the first step on; a missing step counts as zero."""
-    out = np.zeros(int(t[-1] - t[0]) + 1)
-    out[t - t[0]] = np.nan_to_num(x)
-    return out
-
-
 def column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy(zero_copy_only=False)
 
@@ -52,39 +45,105 @@ def key_columns(keys: Sequence[str], group: tuple, n: int) -> dict:
     return {k: pa.array([v.as_py()] * n, type=v.type) for k, v in zip(keys, group)}
 
 
+def lag_sums(t: np.ndarray, x: np.ndarray, own: np.ndarray, n_lags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every lag over the own steps whose partner is known: sum of products, sum of both values, and number of pairs."""
+    size = int(t[-1] - t[0]) + 1
+    lags = min(n_lags, size - 1)
+    full, known, home = np.zeros(lags + size), np.zeros(lags + size), np.zeros(size)
+    seen = ~np.isnan(x)
+    full[lags + t - t[0]] = np.where(seen, x, 0.0)
+    known[lags + t - t[0]] = seen
+    home[t - t[0]] = seen & own
+    back = [np.lib.stride_tricks.sliding_window_view(v, lags + 1) for v in (full, known)]
+    here = home * full[lags:]
+    return tuple(v[::-1] for v in (here @ back[0], here @ back[1] + home @ back[0], home @ back[1]))
+
+
+def _arrays(rows: pa.Table, name: str) -> list[np.ndarray]:
+    """The arrays of a list column, one a row."""
+    lists = rows.column(name).combine_chunks()
+    return np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
+def _series_bounds(rows: pa.Table, keys: Sequence[str]) -> np.ndarray:
+    """Where each series of rows in the order of ``keys`` begins, and the end."""
+    new = np.zeros(len(rows) + 1, bool)
+    new[[0, -1]] = True
+    for k in keys:
+        code = rows.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        new[1:-1] |= code[1:] != code[:-1]
+    return np.flatnonzero(new)
+
+
 def lag_products(
     panel: DataFrame, n_lags: int, keys: Sequence[str] = ("area",), value: str = "value", chunk: int | None = None
 ) -> DataFrame:
     """``sum over t of x(t) x(t - k)`` for k = 0..n_lags per series, x centred on the series mean.
 
     Exploding the lags and joining would multiply the panel by ``n_lags``. Here Spark cuts each series
-    into chunks with a halo of ``n_lags`` rows, each chunk is reduced to its ``n_lags + 1`` products
-    where it lies, and only those partial sums are shuffled and added. ``n`` is the series length.
+    into chunks with a halo of ``n_lags`` rows, each chunk is reduced where it lies to sums about its own mean, and only those
+    are shuffled, moved to the mean of the series and added. A panel that lies by its first key is not moved, and all series of
+    that key share a group. ``n`` is the series length, ``n_rows`` counts NULLs too, ``lowest`` and ``highest`` are its range.
     """
-    means = panel.groupBy(*keys).agg(F.avg(value).alias("_mean"))
-    centred = panel.join(means, list(keys)).select(*keys, "t_index", (F.col(value) - F.col("_mean")).alias("x"))
-    parts = with_halo(centred, before=n_lags, chunk=chunk)
-
-    def products(group: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("t_index")
-        t, x, own = column(rows, "t_index"), column(rows, "x"), column(rows, "_home").astype(bool)
-        full = dense(t, x)
-        home = np.zeros_like(full)
-        home[t[own] - t[0]] = np.nan_to_num(x[own])
-        lags = np.arange(min(n_lags, len(full) - 1) + 1, dtype=np.int32)
-        sums = np.array([home[k:] @ full[: len(full) - k] for k in lags])
-        seen = np.full(len(lags), int((own & ~np.isnan(x)).sum()))
-        return pa.table({**key_columns(keys, group, len(lags)), "lag": lags, "product": sums, "n": seen})
-
+    first, rest = keys[0], list(keys[1:])
+    order = [*[(k, "ascending") for k in rest], ("t_index", "ascending")]
+    parts = with_halo(panel.select(*keys, "t_index", F.col(value).cast("double").alias("x")), before=n_lags, chunk=chunk)
     types = dict(panel.dtypes)
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "lag int", "product double", "n long"])
-    partial = spread(parts, *keys, "_chunk").groupBy(*keys, "_chunk").applyInArrow(products, schema)
-    # a short chunk reports fewer lags, so the length is counted at lag 0, which all report
-    sums = partial.groupBy(*keys, "lag").agg(F.sum("product").alias("product"), F.sum("n").alias("_n"))
-    first = Window.partitionBy(*keys).orderBy("lag")  # at most n_lags + 1 rows per series
-    return sums.select(
-        *keys, "lag", "product", F.first("_n").over(first).alias("n"), F.first("product").over(first).alias("c0")
-    )
+    listed = pa.list_(pa.float64())
+    scalars, lists = ("n_rows", "n", "lowest", "highest", "centre"), ("product", "both", "pairs")
+
+    def sums(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(order)
+        t, x, own = column(rows, "t_index"), column(rows, "x").astype(float), column(rows, "_home").astype(bool)
+        bounds, at, out = _series_bounds(rows, rest), [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            mine = x[a:b][own[a:b]]
+            if not len(mine):
+                continue
+            known = mine[~np.isnan(mine)]
+            # the mean of equal values may be off by rounding
+            centre = 0.0 if not len(known) else known[0] if known.min() == known.max() else known.mean()
+            ends = (known.min(), known.max()) if len(known) else (None, None)
+            at.append(a)
+            out.append((len(mine), len(known), *ends, centre, *lag_sums(t[a:b], x[a:b] - centre, own[a:b], n_lags)))
+        kinds = dict.fromkeys(scalars[:2], pa.int64()) | dict.fromkeys(scalars[2:], pa.float64()) | dict.fromkeys(lists, listed)
+        made = zip(kinds.items(), list(zip(*out, strict=True)) or [()] * len(kinds), strict=True)
+        names = {k: rows.column(k).take(pa.array(at, type=pa.int64())) for k in rest}
+        return pa.table({**key_columns((first,), group, len(at)), **names, **{c: pa.array(list(v), type=kind) for (c, kind), v in made}})
+
+    def added(group: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(k, "ascending") for k in rest]) if rest else rows
+        bounds, out, at = _series_bounds(rows, rest), [], []
+        number = {c: column(rows, c) for c in scalars}
+        sums_of = [_arrays(rows, c) for c in lists]
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            weight, centre = number["n"][a:b], number["centre"][a:b]
+            n = int(weight.sum())
+            away = (float((centre - centre[0]) @ weight) / n if n else 0.0) + centre[0] - centre
+            total = np.zeros(max(len(sums_of[0][i]) for i in range(a, b)))
+            for i, shift in zip(range(a, b), away):
+                product, both, pairs = (v[i] for v in sums_of)
+                # a short chunk has fewer lags
+                total[: len(product)] += product - shift * both + shift * shift * pairs
+            low, high = (float(end.reduce(number[c][a:b].astype(float))) for end, c in ((np.fmin, "lowest"), (np.fmax, "highest")))
+            at += [a] * len(total)
+            out.append((total, n, int(number["n_rows"][a:b].sum()), low, high))
+        sizes = [len(o[0]) for o in out]
+        table = {**key_columns((first,), group, len(at)), **{k: rows.column(k).take(pa.array(at, type=pa.int64())) for k in rest}}
+        table["lag"] = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes])
+        table["product"] = np.concatenate([o[0] for o in out])
+        table["n"] = np.repeat([o[1] for o in out], sizes)
+        table["c0"] = np.repeat([o[0][0] for o in out], sizes)
+        table["n_rows"] = np.repeat([o[2] for o in out], sizes)
+        for i, name in ((3, "lowest"), (4, "highest")):
+            table[name] = pa.array(np.repeat(np.array([o[i] for o in out], dtype=float), sizes), from_pandas=True)
+        return pa.table(table)
+
+    named = ", ".join(f"{k} {types[k]}" for k in keys)
+    arrays = ", ".join(f"{c} array<double>" for c in lists)
+    partial = parts.groupBy(first, "_chunk").applyInArrow(sums, f"{named}, n_rows long, n long, lowest double, highest double, centre double, {arrays}")
+    found = spread(partial, first).groupBy(first).applyInArrow(added, f"{named}, lag int, product double, n long, c0 double, n_rows long, lowest double, highest double")
+    return found.select(*keys, "lag", "product", "n", "c0", "n_rows", "lowest", "highest")
 
 
 def acf(

@@ -267,3 +267,20 @@ def test_stationarity_in_place_equals_the_joined_form(spark, monkeypatch):
     for key, row in want.items():
         for name, value in row.items():
             assert got[key][name] == (pytest.approx(value, rel=1e-7, nan_ok=True) if isinstance(value, float) else value), (key, name)
+
+
+def test_lag_products_need_no_join(spark):
+    """Chunks are centred on their own mean and moved to that of the series; NULLs, a constant and a level far from zero included."""
+    spec = spec_hourly(10, n_areas=3)
+    holed = two_season(240, level=1e6)
+    holed[[3, 77, 200]] = np.nan
+    panel = panel_frame(spark, {1: holed, 2: np.full(240, 0.1), 3: two_season(240)}, spec)
+    for chunk in (60, None):
+        products = S.lag_products(panel, 20, chunk=chunk)
+        assert "Join" not in plan_of(products)
+        got = ordered(products, "area", "lag")
+        x = np.nan_to_num(holed - np.nanmean(holed))
+        mine = got[got.area == 1]
+        assert np.allclose(mine["product"], [x[k:] @ x[: 240 - k] for k in range(21)], rtol=1e-9)
+        assert set(mine["n"]) == {237} and set(mine["n_rows"]) == {240}
+        assert (got[got.area == 2]["product"] == 0).all()
