@@ -125,15 +125,16 @@ def _filled_in_place(
     are moved to it.
     """
     types = dict(known.dtypes)
+    cells = spec.n_areas * spec.n_steps
     by_area = spec.n_steps <= PLACED_STEPS
     chunk = X.idiv("t_index", size)
     marks = starts.select("area", "t_index", *[F.lit(None).cast(types[n]).alias(n) for n in silent], F.lit(True).alias("_mark"))
     rows = known.select("area", "t_index", *silent, F.lit(False).alias("_mark"))
     if placed and by_area:
-        rows = rows.unionByName(spread(marks, "area")).withColumn("_chunk", chunk)
+        rows = rows.unionByName(spread(marks, "area", rows=cells)).withColumn("_chunk", chunk)
     else:
         rows = rows.unionByName(marks).withColumn("_chunk", chunk)
-        rows = spread(rows, "area") if by_area else spread(rows, "area", "_chunk")
+        rows = spread(rows, "area", rows=cells) if by_area else spread(rows, "area", "_chunk", rows=cells)
     w = Window.partitionBy("area", "_chunk").orderBy("t_index", F.desc("_mark"))
     end = F.least((F.col("_chunk") + 1) * size, F.lit(spec.n_steps))
     after = rows.withColumn("_next", F.coalesce(F.lead("t_index").over(w), end))

@@ -103,10 +103,15 @@ def whole_numbers(bounds: DataFrame, low: str, high: str, name: str) -> DataFram
     return spread(blocks, *kept, "_block").select(*kept, F.explode(inside).alias(name))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` and keep the full number of partitions.
+PARTITION_ROWS = 250_000
+"""Rows that one partition should hold where their number is known beforehand."""
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 0) -> DataFrame:
+    """Hash-partition by ``keys`` and keep the full number of partitions, or more if ``rows`` are too many for it.
 
     Adaptive execution merges partitions by bytes; the steps after this one cost time per group or
-    multiply their rows. A grouping on the same keys reuses this partitioning, so it adds no shuffle.
+    multiply their rows. A grouping on the same keys reuses this partitioning, so it adds no shuffle. With ``rows`` the size of a
+    task stays the same however large the table is.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PARTITION_ROWS)), *keys)

@@ -284,3 +284,14 @@ def test_lag_products_need_no_join(spark):
         assert np.allclose(mine["product"], [x[k:] @ x[: 240 - k] for k in range(21)], rtol=1e-9)
         assert set(mine["n"]) == {237} and set(mine["n_rows"]) == {240}
         assert (got[got.area == 2]["product"] == 0).all()
+
+
+def test_partitions_follow_the_rows_of_the_panel(spark, monkeypatch):
+    """A task of a large panel holds no more rows than one of a small panel."""
+    from cellpulse.operators import panel as P
+    from cellpulse.plans import series as PS
+
+    monkeypatch.setattr(PS, "PARTITION_ROWS", 100)
+    spec = spec_hourly(10, n_areas=30)
+    rollup = spark.createDataFrame([(1, 5, 2.0, 1)], "area long, t_index long, value double, n_rows long")
+    assert P.full_panel(rollup, spec).rdd.getNumPartitions() == 72
