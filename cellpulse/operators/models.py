@@ -9,11 +9,12 @@ estimator of the study they stand in for, so their numbers are only comparable w
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from cellpulse.functions import exprs as X
 from cellpulse.operators import features as FE
 from cellpulse.operators import forecast as FC
 from cellpulse.operators import metrics as M
+from cellpulse.operators.panel import PLACED_STEPS
 from cellpulse.operators.series import column, key_columns
 from cellpulse.plans.dims import literal_table
 from cellpulse.plans.series import over_series, spread, with_halo
@@ -64,36 +66,63 @@ def harmonic_solve(level: np.ndarray, cross: np.ndarray, p: int):
     c = np.append(-beta, 1.0)  # residual = (regressors, y) . c
     if p == 0:
         return beta, np.zeros(0), float(c @ level @ c)
+    phi, rss = ar_solve(residual_products(c, cross, p), p)
+    return beta, phi, rss
+
+
+def residual_products(c: np.ndarray, cross: np.ndarray, p: int) -> np.ndarray:
+    """Products of the residuals ``(regressors, y) . c`` of a step and its ``p`` predecessors."""
     w = len(c)
-    e = np.array([[c @ cross[i * w : (i + 1) * w, j * w : (j + 1) * w] @ c for j in range(p + 1)] for i in range(p + 1)])
+    return (cross.reshape(p + 1, w, p + 1, w) @ c).transpose(0, 2, 1) @ c
+
+
+def ar_solve(e: np.ndarray, p: int) -> tuple[np.ndarray, float]:
+    """Autoregressive coefficients of order ``p`` and the sum of squares that is left; a lower order is a corner of a higher one's products."""
+    e = e[: p + 1, : p + 1]
     phi = np.linalg.lstsq(e[1:, 1:], e[1:, 0], rcond=None)[0]
-    return beta, phi, max(0.0, float(e[0, 0] - 2 * phi @ e[1:, 0] + phi @ e[1:, 1:] @ phi))
+    return phi, max(0.0, float(e[0, 0] - 2 * phi @ e[1:, 0] + phi @ e[1:, 1:] @ phi))
 
 
-def harmonic_products(labelled: DataFrame, periods: Mapping[int, int], p: int, fit_on: Sequence[str]) -> DataFrame:
-    """Per chunk of an area the flattened products of ``harmonic_sums`` and the number of rows in them, from one pass."""
-    rows = labelled.filter(F.col("split").isin(list(fit_on)) & F.col("value").isNotNull())
-    parts = with_halo(rows.select("area", "t_index", F.log1p("value").alias("y")), before=p)
+def harmonic_products(
+    labelled: DataFrame, spec: PanelSpec, periods: Mapping[int, int], p: int, fit_on: Sequence[str], solve: Callable[[np.ndarray, np.ndarray, int], dict], schema: str
+) -> DataFrame:
+    """What ``solve`` makes of the products of ``harmonic_sums`` and the number of rows in them, per area, from one pass.
+
+    Up to ``PLACED_STEPS`` an area is solved where it lies; of longer series the products of chunks are shuffled and added.
+    """
+    rows = labelled.filter(F.col("split").isin(list(fit_on)) & F.col("value").isNotNull()).select("area", "t_index", F.log1p("value").alias("y"))
     listed = pa.list_(pa.float64())
 
+    def products(part: pa.Table, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        level, cross, n, n_cross = harmonic_sums(column(part, "t_index"), column(part, "y"), own, periods, p)
+        return level, cross, n_cross if p else n
+
+    def solved(group: tuple, level: np.ndarray, cross: np.ndarray, n: int) -> pa.Table:
+        columns = solve(level, cross, n)
+        return pa.table({**key_columns(("area",), group, len(next(iter(columns.values())))), **columns})
+
+    def whole(group: tuple, part: pa.Table) -> pa.Table:
+        return solved(group, *products(part.sort_by("t_index"), np.ones(len(part), bool)))
+
+    if spec.n_steps <= PLACED_STEPS:
+        return rows.groupBy("area").applyInArrow(whole, schema)
+
     def sums(group: tuple, part: pa.Table) -> pa.Table:
         part = part.sort_by("t_index")
-        level, cross, n, n_cross = harmonic_sums(column(part, "t_index"), column(part, "y"), column(part, "_home").astype(bool), periods, p)
-        return pa.table(
-            {
-                **key_columns(("area",), group, 1),
-                "level": pa.array([level.ravel()], type=listed),
-                "cross": pa.array([cross.ravel()], type=listed),
-                "n": pa.array([n_cross if p else n], type=pa.int64()),
-            }
-        )
+        level, cross, n = products(part, column(part, "_home").astype(bool))
+        lists = {"level": pa.array([level.ravel()], type=listed), "cross": pa.array([cross.ravel()], type=listed)}
+        return pa.table({**key_columns(("area",), group, 1), **lists, "n": pa.array([n], type=pa.int64())})
 
-    return spread(parts, "area", "_chunk").groupBy("area", "_chunk").applyInArrow(sums, "area long, level array<double>, cross array<double>, n long")
+    def added(group: tuple, part: pa.Table) -> pa.Table:
+        return solved(group, *_summed(part), int(column(part, "n").sum()))
+
+    partial = spread(with_halo(rows, before=p), "area", "_chunk").groupBy("area", "_chunk").applyInArrow(sums, "area long, level array<double>, cross array<double>, n long")
+    return spread(partial, "area").groupBy("area").applyInArrow(added, schema)
 
 
 def _summed(part: pa.Table) -> list[np.ndarray]:
     """The products of all chunks added up, as square matrices."""
-    flat = [np.sum(np.array(part.column(c).to_pylist(), dtype=float), axis=0) for c in ("level", "cross")]
+    flat = [part.column(c).combine_chunks().flatten().to_numpy().reshape(len(part), -1).sum(axis=0) for c in ("level", "cross")]
     return [m.reshape(int(round(len(m) ** 0.5)), -1) for m in flat]
 
 
@@ -121,20 +150,12 @@ class Harmonic:
         listed = pa.list_(pa.float64())
         p = self.ar
 
-        def solve(group: tuple, part: pa.Table) -> pa.Table:
-            beta, phi, rss = harmonic_solve(*_summed(part), p)
-            return pa.table(
-                {
-                    **key_columns(("area",), group, 1),
-                    "beta": pa.array([beta], type=listed),
-                    "phi": pa.array([phi], type=listed),
-                    "rss": pa.array([rss]),
-                    "n": pa.array([int(column(part, "n").sum())], type=pa.int64()),
-                }
-            )
-
-        partial = harmonic_products(labelled, self.periods, p, self.fit_on)
-        fitted = spread(partial, "area").groupBy("area").applyInArrow(solve, "area long, beta array<double>, phi array<double>, rss double, n long")
+        def solve(level: np.ndarray, cross: np.ndarray, n: int) -> dict:
+            beta, phi, rss = harmonic_solve(level, cross, p)
+            return {"beta": pa.array([beta], type=listed), "phi": pa.array([phi], type=listed), "rss": pa.array([rss]), "n": pa.array([n], type=pa.int64())}
+
+        schema = "area long, beta array<double>, phi array<double>, rss double, n long"
+        fitted = harmonic_products(labelled, self.spec, self.periods, p, self.fit_on, solve, schema)
         return fitted.withColumn("k", F.size("beta") + F.size("phi") + 1)
 
     def predict(self, labelled: DataFrame, model: DataFrame) -> DataFrame:
@@ -225,15 +246,18 @@ class BoostedTrees:
         vectors = _learnable(design, seen).select(
             "features", F.col("scaled").alias("label"), (~F.col("split").isin(list(self.fit_on))).alias("held_out")
         )
-        # every boosting round reads the rows again
-        vectors = durable(vectors, "design")
+        # every pass of the learner reads the rows again, in the partitions of the panel: a stored table is cut by its bytes, of which
+        # these rows have few, and a task would hold the more rows the larger the table
+        vectors = vectors.persist(StorageLevel.DISK_ONLY)
         learner = GBTRegressor(
             featuresCol="features", labelCol="label", lossType="absolute", maxIter=self.trees, maxDepth=self.depth,
             stepSize=self.step, subsamplingRate=self.subsample, minInstancesPerNode=self.min_rows, seed=self.seed,
         )
         if self.early_stop:
             learner = learner.setParams(validationIndicatorCol="held_out", validationTol=0.001)
-        return Pooled(learner.fit(vectors), stats)
+        model = learner.fit(vectors)
+        vectors.unpersist()
+        return Pooled(model, stats)
 
     def predict(self, labelled: DataFrame, model: Pooled) -> DataFrame:
         return _to_units(model.model.transform(self.design(labelled, model.stats)), model.stats, labelled.columns)
@@ -317,23 +341,25 @@ def harmonic_grid(
     p_most = max(ar)
     width = 2 + 2 * sum(most.values())
     listed = pa.list_(pa.float64())
-    grid = [(d, w, p) for d in k_daily for w in k_weekly for p in ar]
-
-    def solve(group: tuple, part: pa.Table) -> pa.Table:
-        level, cross = _summed(part)
-        out = []
-        for d, w, p in grid:
-            mine = np.concatenate((np.arange(1 + 2 * d), 1 + 2 * most[spec.daily] + np.arange(2 * w), [width - 1]))
-            lagged = np.concatenate([i * width + mine for i in range(p + 1)])
-            out.append((d, w, p, *harmonic_solve(level[np.ix_(mine, mine)], cross[np.ix_(lagged, lagged)], p)))
+
+    def solve(level: np.ndarray, cross: np.ndarray, n: int) -> dict:
+        out, square = [], cross.reshape(p_most + 1, width, p_most + 1, width)
+        for d in k_daily:
+            for w in k_weekly:
+                mine = np.concatenate((np.arange(1 + 2 * d), 1 + 2 * most[spec.daily] + np.arange(2 * w), [width - 1]))
+                beta, _, rss = harmonic_solve(level[np.ix_(mine, mine)], cross, 0)
+                # the residuals are those of every order
+                c = np.zeros(width)
+                c[mine] = np.append(-beta, 1.0)
+                e = residual_products(c, square, p_most)
+                out += [(d, w, p, beta, *(ar_solve(e, p) if p else (np.zeros(0), rss))) for p in ar]
         names = ("k_daily", "k_weekly", "ar", "beta", "phi", "rss")
         kinds = (pa.int32(), pa.int32(), pa.int32(), listed, listed, pa.float64())
         columns = {c: pa.array(x, type=t) for c, x, t in zip(names, zip(*out, strict=True), kinds, strict=True)}
-        return pa.table({**key_columns(("area",), group, len(grid)), **columns, "n": pa.array([int(column(part, "n").sum())] * len(grid), type=pa.int64())})
+        return {**columns, "n": pa.array([n] * len(out), type=pa.int64())}
 
     schema = "area long, k_daily int, k_weekly int, ar int, beta array<double>, phi array<double>, rss double, n long"
-    sums = harmonic_products(labelled, most, p_most, fit_on)
-    return spread(sums, "area").groupBy("area").applyInArrow(solve, schema).withColumn("k", F.size("beta") + F.size("phi") + 1)
+    return harmonic_products(labelled, spec, most, p_most, fit_on, solve, schema).withColumn("k", F.size("beta") + F.size("phi") + 1)
 
 
 def order_scores(labelled: DataFrame, fits: DataFrame, spec: PanelSpec, k_daily: int, k_weekly: int, orders: Sequence[int], split: str = "validation") -> DataFrame:
