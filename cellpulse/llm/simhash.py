@@ -203,6 +203,18 @@ def near_duplicates(
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """Pairs of ids ``(u, v)`` that link what fingerprints within ``radius`` bits link: each id with the smallest of its fingerprint, and
+    those along the links between fingerprints. Rows without an id are left out."""
+    rows = durable(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, words), "fingerprints")
+    nodes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "nodes")
+    shared = nodes.filter("n > 1").select("fp", "rep", "n")
+    same = rows.join(shared, "fp").filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
+    ends = [nodes.select(F.col("fp").alias(f"_{c}"), F.col("rep").alias(c)) for c in ("u", "v")]
+    found = links(nodes.select("fp"), radius, bucket).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    return same.unionByName(found.join(ends[0], "_u").join(ends[1], "_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+
+
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """The rows of ``docs`` whose id names their component, and rows without an id that are alone."""
     judged = near_duplicates(docs, id_col, text_col, **how)

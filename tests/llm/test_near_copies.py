@@ -98,3 +98,18 @@ def test_tallies_never_tell_more_than_the_difference():
             assert told <= len(set(one) ^ set(two)) and told == near_copies.distance(b, a) and near_copies.distance(a, a) == 0
     packed = np.unique(np.arange(2_000, dtype=np.int64) * 2**20)
     assert near_copies.distance(near_copies.tally(packed).tobytes(), near_copies.tally(packed[:1_999]).tobytes()) <= 1
+
+
+def test_the_stage_goes_by_fingerprints_first(spark, monkeypatch):
+    """SimHash links that the check confirms stand without the search; links between strangers fall."""
+    words = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-1], "v"])), (2, "stranger"), (3, "one more stranger")]
+    pairs = spark.createDataFrame([(0, 1), (2, 3)], "u long, v long")
+    assert [tuple(r) for r in near_copies.checked(documents(spark, rows).select("doc_id", "text"), pairs).collect()] == [(0, 1)]
+    proposed = {tuple(r) for r in simhash.proposals(documents(spark, rows)).collect()}
+    near = {(a, b) for a in range(4) for b in range(a) if ((simhash.fingerprint(rows[a][1], 4) ^ simhash.fingerprint(rows[b][1], 4)) % 2**64).bit_count() <= 4}
+    assert proposed == {(b, a) for a, b in near}
+    monkeypatch.setattr(near_copies, "links", lambda *_: spark.createDataFrame([], "u long, v long"))
+    monkeypatch.setattr(simhash, "proposals", lambda docs: pairs)
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert {r.doc_id for r in stage(spark, documents(spark, rows), "").collect()} == {0, 2, 3}
