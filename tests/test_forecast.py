@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from cellpulse.operators import diagnostics as DG
@@ -316,3 +317,35 @@ def test_the_final_fit_keeps_the_trees_that_validation_chose(world):
     assert final.trees == trees.fit(labelled).model.getNumTrees and not final.early_stop and final.fit_on == MO.REFIT
     table = MO.tune_grid([("k=1", MO.Harmonic(spec, 1, 0, 0)), ("k=2", MO.Harmonic(spec, 2, 1, 1))], labelled, spec)
     assert MO.best_candidate(table) == "k=2" and MO.log_rows(table, "next").count() == 2
+
+
+def test_window_models_are_tuned_from_a_few_passes(spark, world):
+    """All candidates share one pass over train, and those of a stage one over validation; a NULL costs what it costs the fit row by row."""
+    spec, _, labelled = world
+    lost = (F.col("area") == 2) & F.col("t_index").between(100, 103)
+    labelled = labelled.withColumn("value", F.when(~lost, F.col("value")))
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    stages = [("sequence_length", [{"length": n} for n in (5, 24, 30)]), ("regularisation", [{"reg": r, "mix": m} for r in (0.001, 0.1) for m in (0.0, 0.5)]), ("calendar", [{"calendar": True}, {"calendar": False}])]
+    winner, table = MO.tune_windows(MO.WindowRegression(spec), stages, labelled.mapInArrow(counted, labelled.schema), spec)
+    assert seen.value <= 5 * labelled.count()
+    plain, beside = MO.tune_stages(MO.WindowRegression(spec), stages, labelled, spec)
+    assert winner == plain
+    for a, b in zip(table.collect(), beside.collect(), strict=True):
+        assert a["candidate"] == b["candidate"] and a["n"] == b["n"] and a["n_without_forecast"] == b["n_without_forecast"] and a["selected"] == b["selected"]
+        assert a["valid_mae"] == pytest.approx(b["valid_mae"], rel=1e-9) and a["valid_rmse"] == pytest.approx(b["valid_rmse"], rel=1e-9)
+
+
+def test_window_fit_equals_the_learner_on_all_rows(world):
+    spec, _, labelled = world
+    model = MO.WindowRegression(spec, length=24, reg=0.01)
+    found = model.fit(labelled)
+    rows = model.design(labelled, found.stats).filter("split = 'train' and complete").select("features", F.col("scaled").alias("label"))
+    direct = LinearRegression(regParam=0.01, elasticNetParam=0.5, solver="auto").fit(rows)
+    np.testing.assert_allclose(found.model.coefficients, direct.coefficients.toArray(), atol=1e-8)
+    assert found.model.intercept == pytest.approx(direct.intercept, abs=1e-8)
