@@ -4,8 +4,10 @@ import random
 import re
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from __spark_entry__ import oracle_sql, queries
+from pyspark.sql import functions as F
 
 from cellpulse.llm import pii
 from cellpulse.llm.queries import PII_KEY
@@ -79,3 +81,16 @@ def test_every_operator_has_one_query():
     names = [n for n in queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14)) and "pipeline" in queries()
     assert {"op1_exact_dedup", "op9_url_filter", "op13_lexical"} <= set(oracle_sql())
+
+
+def test_texts_go_to_python_in_small_batches(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").filter("doc_id < 20")
+    corpus_pipeline.hide_personal_data(spark, docs, corpus)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [len(batch)], "bytes": [batch.nbytes]})
+
+    wide = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 400_000).alias("text"))
+    got = wide.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert sum(r.rows for r in got) == 64 and max(r.bytes for r in got) <= corpus_pipeline.BATCH_BYTES + 500_000
