@@ -349,3 +349,24 @@ def test_window_fit_equals_the_learner_on_all_rows(world):
     direct = LinearRegression(regParam=0.01, elasticNetParam=0.5, solver="auto").fit(rows)
     np.testing.assert_allclose(found.model.coefficients, direct.coefficients.toArray(), atol=1e-8)
     assert found.model.intercept == pytest.approx(direct.intercept, abs=1e-8)
+
+
+def test_trees_share_their_rows(spark, world):
+    """Candidates on the same features are fitted from one stored table and scored in one pass, as each would be alone."""
+    spec, _, labelled = world
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    grid = [("a", MO.BoostedTrees(spec, trees=2, depth=1)), ("b", MO.BoostedTrees(spec, trees=2, depth=2))]
+    got = MO.tree_scores(grid, labelled.mapInArrow(counted, labelled.schema), spec).collect()
+    assert seen.value <= 3 * labelled.count()
+    alone = {label: MO.tune_grid([(label, m)], labelled, spec, "trees").first() for label, m in grid[1:]}
+    for r in got:
+        if r["candidate"] in alone:
+            want = alone[r["candidate"]]
+            assert r["n"] == want["n"] and r["n_without_forecast"] == want["n_without_forecast"]
+            assert r["valid_mae"] == pytest.approx(want["valid_mae"], rel=0.05)
