@@ -69,13 +69,12 @@ def list_day_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("file_integrity_audit")
 def file_integrity_audit(spark: SparkSession, sf: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(sf)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.col("name")
     # one digest and one size of the manifest are wrong on purpose
-    manifest = files.select(
-        name.alias("name"),
+    manifest = R.file_digests(spark, sf, "*.parquet", recursive=False).select(
+        "name",
         F.when(name == "nation.parquet", F.col("length") + 1).otherwise(F.col("length")).alias("length"),
-        F.when(name == "region.parquet", F.lit("0")).otherwise(F.md5("content")).alias("md5"),
+        F.when(name == "region.parquet", F.lit("0")).otherwise(F.col("md5")).alias("md5"),
     )
     return R.file_integrity_audit(spark, sf, manifest, "*.parquet")
 

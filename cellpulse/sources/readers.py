@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellpulse.operators.quality import PanelError
+from cellpulse.sources.digests import TASK_BYTES, file_digests
 
 # Column order of the headerless day files.
 CDR_SCHEMA = T.StructType(
@@ -67,13 +68,12 @@ def undated_files(files: DataFrame) -> DataFrame:
     return files.filter("date is null")
 
 
-def file_integrity_audit(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*") -> DataFrame:
+def file_integrity_audit(spark: SparkSession, path: str, manifest: DataFrame, glob: str = "*", task_bytes: int = TASK_BYTES) -> DataFrame:
     """Size and MD5 of each file against the published ``(name, length, md5)``.
 
-    The digest is computed where the file is read, so only names, sizes and digests are joined.
+    The digest is computed where the file is read, large files range by range, so only names, sizes and digests are joined.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.md5("content").alias("md5"))
+    named = file_digests(spark, path, glob, task_bytes=task_bytes)
     wanted = manifest.select("name", F.col("length").alias("expected_length"), F.col("md5").alias("expected_md5"))
     joined = named.join(wanted, "name", "full_outer")
     same_size = F.col("length") == F.col("expected_length")
