@@ -104,7 +104,7 @@ def log_histogram(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {CUSTOMERS} SELECT area, round(total, 4) AS total, row_number() OVER (ORDER BY total DESC, area) AS position, round(row_number() OVER (ORDER BY total DESC, area) / count(*) OVER (), 9) AS ccdf FROM cells",
 )
 def ccdf(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(D.ccdf(T.customer_totals(spark, sf)), 4, ccdf=9)
+    return rounded(D.ccdf(T.customer_totals_by_key(spark, sf)), 4, ccdf=9)
 
 
 @query(

@@ -138,3 +138,24 @@ def test_totals_do_not_depend_on_the_order_of_rows(spark, tmp_path):
     totals = T.customer_totals(spark, str(tmp_path))
     assert {r["total"] for r in totals.collect()} == {0.6}
     assert [r["area"] for r in D.ccdf(totals).orderBy("position").collect()] == list(range(40))
+
+
+def test_ccdf_ranks_totals_as_sql_adds_them(spark, tmp_path):
+    """Two customers whose totals are equal as decimals but not as doubles, repeated under shifted keys, stand as in the SQL; orders lie in several files."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    prices = [(0.3, 0.2, 0.1), (0.1, 0.2, 0.3), (7.0, None, 0.25)]
+    rows = [(3 * (3 * c + k) + i, 3 * c + k, p) for c in range(6) for k in range(3) for i, p in enumerate(prices[k])]
+    frame = pd.DataFrame(rows, columns=["o_orderkey", "o_custkey", "o_totalprice"])
+    frame.to_parquet(tmp_path / "whole.parquet")
+    schema = "o_orderkey long, o_custkey long, o_totalprice double"
+    listed = [(o, c, None if pd.isna(p) else p) for o, c, p in rows]
+    spark.createDataFrame(listed, schema).repartition(5, "o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/whole.parquet'")
+    want = con.execute(oracle_sql()["ccdf"]).fetchall()
+    got = [tuple(r) for r in queries()["ccdf"](spark, str(tmp_path)).select("area", "total", "position", "ccdf").collect()]
+    assert sorted(got) == sorted(want)
