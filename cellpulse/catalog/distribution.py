@@ -112,7 +112,7 @@ def ccdf(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {TOTALS} SELECT area, round(total, 4) AS total, row_number() OVER (ORDER BY total DESC, area)::INTEGER AS position FROM totals ORDER BY total DESC, area LIMIT 3",
 )
 def top_areas(spark: SparkSession, sf: str) -> DataFrame:
-    totals = P.cell_totals(T.events_panel(spark, sf)[0])
+    totals = T.exact_totals(T.events_panel(spark, sf)[0])
     return rounded(D.top_areas(totals).select("area", "total", "position"), 4)
 
 
@@ -125,7 +125,7 @@ def top_areas(spark: SparkSession, sf: str) -> DataFrame:
 )
 def select_areas(spark: SparkSession, sf: str) -> DataFrame:
     panel, spec = T.events_panel(spark, sf)
-    out = D.select_areas(P.cell_totals(panel), spec)
+    out = D.select_areas(T.exact_totals(panel), spec)
     pairs = F.transform(
         F.array_sort(F.transform(F.map_entries("ranks"), lambda e: F.struct(e["key"].cast("long").alias("k"), e["value"].alias("v")))),
         lambda e: F.concat(e["k"].cast("string"), F.lit("="), e["v"].cast("string")),
@@ -159,7 +159,7 @@ def rank_of_cell(spark: SparkSession, sf: str) -> DataFrame:
 )
 def plotted_areas(spark: SparkSession, sf: str) -> DataFrame:
     panel, spec = T.events_panel(spark, sf)
-    return D.plotted_areas(P.cell_totals(panel), spec)
+    return D.plotted_areas(T.exact_totals(panel), spec)
 
 
 @query(

@@ -79,6 +79,15 @@ def events_panel(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelSpec
     return P.full_panel(events_rollup(spark, sf_dir, spec), spec), spec
 
 
+def exact_totals(panel: DataFrame) -> DataFrame:
+    """``cell_totals`` of a panel as a ranking needs them: equal totals share a value, however a cell's records lay and in whatever order tasks added them.
+
+    Summed as decimals of six digits; the events hold two.
+    """
+    totals = P.cell_totals(panel.withColumn("value", F.col("value").cast("decimal(18,6)")))
+    return totals.select("area", *[F.col(c).cast("double").alias(c) for c in ("total", "mean")])
+
+
 def events_total_10min(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PanelSpec]:
     """All users summed per 10-minute step, as one cell with id 1; steps without events are missing."""
     spec = HOURLY.but(step_seconds=600, daily=144, weekly=1008, n_areas=1)

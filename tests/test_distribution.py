@@ -159,3 +159,17 @@ def test_ccdf_ranks_totals_as_sql_adds_them(spark, tmp_path):
     want = con.execute(oracle_sql()["ccdf"]).fetchall()
     got = [tuple(r) for r in queries()["ccdf"](spark, str(tmp_path)).select("area", "total", "position", "ccdf").collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_selected_areas_do_not_depend_on_where_events_lie(spark, tmp_path):
+    """Areas of equal totals stand by id, also if the three events of an hour are added in another order."""
+    from __spark_entry__ import queries
+
+    prices = [(0.1, 0.2, 0.3), (0.3, 0.2, 0.1)]
+    rows = [(k, p) for k in range(20) for p in prices[k % 2]]
+    events = spark.createDataFrame(rows, "user_id long, value double").coalesce(1)
+    events = events.selectExpr("user_id", "timestamp_ntz'2024-01-02 03:00:00' AS ts", "'view' AS event_type", "value")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = queries()["select_areas"](spark, str(tmp_path)).first()
+    assert got["top_three"] == "1,2,3" and got["ranks"] == "1=1,2=2,3=3,5=5"
+    assert [r["area"] for r in queries()["top_areas"](spark, str(tmp_path)).orderBy("position").collect()] == [1, 2, 3]
