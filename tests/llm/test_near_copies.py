@@ -113,3 +113,15 @@ def test_the_stage_goes_by_fingerprints_first(spark, monkeypatch):
     monkeypatch.setattr(simhash, "proposals", lambda docs: pairs)
     stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
     assert {r.doc_id for r in stage(spark, documents(spark, rows), "").collect()} == {0, 2, 3}
+
+
+def test_a_refused_link_does_not_hide_the_others_of_its_group(spark, monkeypatch):
+    """SimHash gives a spanning forest: two similar texts may hang together by a third only, to which neither is similar."""
+    rng = random.Random(5)
+    own = rng.choices([f"w{k}" for k in range(900)], k=60)
+    rows = [(0, "an entirely other text of some words " * 3), (1, " ".join(own)), (2, " ".join(own[:-1])), (3, " ".join(own))]
+    docs = documents(spark, rows)
+    none = spark.createDataFrame([], "u long, v long"), spark.createDataFrame([], "digest long, members array<long>")
+    monkeypatch.setattr(near_copies, "candidates", lambda heads, members: none)
+    proposed = spark.createDataFrame([(0, 2), (0, 3)], "u long, v long")
+    assert {r.doc_id for r in near_copies.keep_one_each(docs, proposed=proposed).collect()} == {0, 1}
